@@ -50,13 +50,14 @@ class _Target:
 
 
 def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float],
+                    known: dict[str, tuple] | None = None,
                     direct_rows: int | None = None,
                     bracket_rows: int | None = None) -> dict[str, list[float | None]]:
     """Exact quantiles of several double expressions; NULLs are ignored.
 
     The returned numbers are one per (expression, probability); everything larger stays in
-    Spark.  ``direct_rows`` is the checked size up to which the plain percentile aggregate
-    is used.
+    Spark.  ``known`` gives (count, min, max) per expression when an earlier pass has them.
+    ``direct_rows`` is the checked size up to which the plain percentile aggregate is used.
     """
     if not values:
         return {}
@@ -64,19 +65,19 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
     bracket_rows = BRACKET_ROWS if bracket_rows is None else bracket_rows
     names = list(values)
     base = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    counts = base.agg(*[e for i in range(len(names)) for e in (
-        F.count(f"v{i}").alias(f"n{i}"), F.min(f"v{i}").alias(f"l{i}"),
-        F.max(f"v{i}").alias(f"h{i}"))]).first().asDict()
+    if known is None:
+        row = base.agg(*[F.struct(F.count(f"v{i}"), F.min(f"v{i}"), F.max(f"v{i}"))
+                         for i in range(len(names))]).first()
+        known = {n: tuple(row[i]) for i, n in enumerate(names)}
 
-    if max(counts[f"n{i}"] for i in range(len(names))) <= direct_rows:
+    if max(known[n][0] for n in names) <= direct_rows:
         got = base.agg(*[F.percentile(f"v{i}", F.array(*map(F.lit, probs))).alias(f"q{i}")
                          for i in range(len(names))]).first()
         return {n: list(got[i]) if got[i] is not None else [None] * len(probs)
                 for i, n in enumerate(names)}
 
-    targets = [_Target(f"v{i}", p, counts[f"n{i}"], counts[f"l{i}"], counts[f"h{i}"],
-                       inside=counts[f"n{i}"])
-               for i in range(len(names)) for p in probs if counts[f"n{i}"]]
+    targets = [_Target(f"v{i}", p, *known[n], inside=known[n][0])
+               for i, n in enumerate(names) for p in probs if known[n][0]]
     for t in targets:
         if t.low == t.high:
             t.found = {r: t.low for r in t.ranks}

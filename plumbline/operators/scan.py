@@ -77,8 +77,8 @@ def table_stats(df: DataFrame, moments: bool = True, constants: bool = True,
             aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
                      F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}")]
             if family(f.dataType) == "integer":
-                exact = groupable(f).cast("decimal(20,0)")
-                aggs.append((F.max(exact) - F.min(exact) + 1).alias(f"w{i}"))
+                top, bottom = (agg(groupable(f)).cast("decimal(20,0)") for agg in (F.max, F.min))
+                aggs.append((top - bottom + 1).alias(f"w{i}"))
     row = df.agg(*aggs).first().asDict()
     n = row["n"]
     columns = []

@@ -44,8 +44,12 @@ def rolling_zscore(df: DataFrame, value: str, order_cols: list[str], series_cols
         measured = _measure(_blocks(slim, series, list(order_cols), window, block),
                             [*series, "__block"], [F.col("__at")], window).where("__own")
         sizes = slim.groupBy(*series).agg(F.count(F.lit(1)).alias("__len"))
-        measured = (measured.join(sizes, series) if series
-                    else measured.crossJoin(F.broadcast(sizes)))  # one row
+        if series:
+            lengths = sizes.select(*[F.col(c).alias(f"__{c}") for c in series], "__len")
+            same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in series]
+            measured = measured.join(lengths, same)
+        else:
+            measured = measured.crossJoin(F.broadcast(sizes))  # one row
     ok = (F.col("__n") == window) & (F.col("__len") >= 2 * window)
     z = F.abs(ratio(F.col("__v") - F.col("__mean"), F.col("__std")))
     return measured.select(*names, F.col("__v").alias(value),

@@ -64,8 +64,16 @@ def snapshot_from_schema(schema: T.StructType, rows: int | None, name: str, sour
 
 
 def _mix(columns: list[Column]) -> list[Column]:
-    """Order-free digest parts of a set of rows: xor and sum of 64-bit row hashes, and a count."""
-    h = F.xxhash64(*columns)
+    """Order-free digest parts of a set of rows: xor and sum of 64-bit row hashes, and a count.
+
+    The hash skips NULLs, so a bit mask of the NULL columns is hashed along with the values.
+    """
+    masks = []
+    for start in range(0, len(columns), 62):
+        bits = [F.when(c.isNull(), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+                for i, c in enumerate(columns[start:start + 62])]
+        masks.append(sum(bits[1:], bits[0]))
+    h = F.xxhash64(*columns, *masks)
     return [F.bit_xor(h), F.sum(h.cast("decimal(38,0)")), F.count(F.lit(1))]
 
 

@@ -40,41 +40,59 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def raw(field: T.StructField) -> Column:
-    return F.col(quoted(field.name))
+def is_floating(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.FloatType, T.DoubleType))
 
 
-def present(field: T.StructField) -> Column:
-    """The column with NaN turned into NULL."""
-    col = raw(field)
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(col), col)
-    return col
+def present_sql(field: T.StructField) -> str:
+    """The column with NaN turned into NULL.
 
+    Wide operators build SQL text: one expression per table column is then one call.
+    """
+    col = quoted(field.name)
+    return f"CASE WHEN NOT isnan({col}) THEN {col} END" if is_floating(field) else col
 
-def is_missing(field: T.StructField) -> Column:
-    col = raw(field)
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return col.isNull() | F.isnan(col)
-    return col.isNull()
 
+def missing_sql(field: T.StructField) -> str:
+    col = quoted(field.name)
+    return f"({col} IS NULL OR isnan({col}))" if is_floating(field) else f"({col} IS NULL)"
 
-def groupable(field: T.StructField) -> Column:
+
+def groupable_sql(field: T.StructField) -> str:
     """A form of the column that can be a grouping key and has an order."""
-    kind = family(field.dataType)
+    col, kind = quoted(field.name), family(field.dataType)
     if kind == "nested":
         if isinstance(field.dataType, T.VariantType):
-            return F.to_json(raw(field))
+            return f"to_json({col})"
         # a struct wrapper lets to_json take any nested type; NULL stays NULL
-        return F.when(raw(field).isNotNull(), F.to_json(F.struct(raw(field).alias("v"))))
-    if kind == "interval":
-        return raw(field).cast("string")
-    return present(field)
+        return f"CASE WHEN {col} IS NOT NULL THEN to_json(named_struct('v', {col})) END"
+    return f"CAST({col} AS STRING)" if kind == "interval" else present_sql(field)
+
+
+def double_sql(field: T.StructField) -> str:
+    return f"CAST({present_sql(field)} AS DOUBLE)"
+
+
+def number(value: float) -> str:
+    """A double as a SQL literal, exact and safe for infinities."""
+    return f"CAST('{value!r}' AS DOUBLE)"
+
+
+def raw(field: T.StructField) -> Column:
+    return F.col(quoted(field.name))
+
+
+def is_missing(field: T.StructField) -> Column:
+    return F.expr(missing_sql(field))
+
+
+def as_double(field: T.StructField) -> Column:
+    return F.expr(double_sql(field))
 
 
 def normalise(df: DataFrame) -> DataFrame:
     """NaN to NULL everywhere; nested values to text so that rows can be compared."""
-    return df.select(*[groupable(f).alias(f.name) for f in df.schema.fields])
+    return df.selectExpr(*[f"{groupable_sql(f)} AS {quoted(f.name)}" for f in df.schema.fields])
 
 
 def numeric_fields(df: DataFrame) -> list[T.StructField]:
@@ -85,10 +103,6 @@ def string_fields(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if family(f.dataType) == "string"]
 
 
-def as_double(field: T.StructField) -> Column:
-    return present(field).cast("double")
-
-
 def drop_missing(df: DataFrame, column: str) -> DataFrame:
     """Rows in which ``column`` holds a value."""
     return df.where(~is_missing(df.schema[column]))

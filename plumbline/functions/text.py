@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 # Regular expressions in Java syntax.
 EDGE_SPACE = r"(?U)^\s|\s$"
+EDGE_SPACES = r"(?U)^\s+|\s+$"
 NUMERIC_TEXT = (
     r"(?i)^[+-]?(\d(_?\d)*(\.(\d(_?\d)*)?)?|\.\d(_?\d)*)(e[+-]?\d(_?\d)*)?$"
     r"|^[+-]?(inf|infinity|nan)$"
@@ -18,7 +19,7 @@ def has_edge_space(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, EDGE_SPACES, "")
 
 
 def looks_numeric(text: Column) -> Column:

@@ -7,50 +7,53 @@ text finds values that differ only by case; a third gives one row per column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from plumbline.functions.columns import family, groupable, present, raw
-from plumbline.functions.text import has_edge_space, looks_numeric
+from plumbline.functions.columns import double_sql, family, groupable_sql, normalise, number, quoted
+from plumbline.functions.sizing import local_frame
+from plumbline.functions.text import EDGE_SPACE, EDGE_SPACES, NUMERIC_TEXT
 from plumbline.operators.scan import TableStats, stats_frame
 
 
-def _typed(field: T.StructField) -> tuple[Column, Column, Column]:
+def _typed(field: T.StructField) -> tuple[str, str, str]:
     """The cell as (text, long, double), one of them set; decimals keep text and value."""
-    no_text, no_long, no_double = (F.lit(None).cast(t) for t in ("string", "bigint", "double"))
-    kind = family(field.dataType)
-    if kind == "integer":
-        return no_text, raw(field).cast("bigint"), no_double
-    if kind == "boolean":
-        return no_text, raw(field).cast("bigint"), no_double
+    no_text, no_long, no_double = (f"CAST(NULL AS {t})" for t in ("STRING", "BIGINT", "DOUBLE"))
+    col, kind = quoted(field.name), family(field.dataType)
+    if kind in ("integer", "boolean"):
+        return no_text, f"CAST({col} AS BIGINT)", no_double
     if kind == "datetime":
         if isinstance(field.dataType, T.DateType):
-            return no_text, F.unix_date(raw(field)).cast("bigint"), no_double
-        return no_text, F.unix_micros(raw(field).cast("timestamp")), no_double
+            return no_text, f"CAST(unix_date({col}) AS BIGINT)", no_double
+        return no_text, f"unix_micros(CAST({col} AS TIMESTAMP))", no_double
     if kind == "float":
-        return no_text, no_long, present(field).cast("double")
+        return no_text, no_long, double_sql(field)
     if kind == "decimal":
-        return raw(field).cast("string"), no_long, raw(field).cast("double")
-    return groupable(field), no_long, no_double
+        return f"CAST({col} AS STRING)", no_long, f"CAST({col} AS DOUBLE)"
+    return groupable_sql(field), no_long, no_double
+
+
+def _cells(df: DataFrame, fields: list[tuple[int, T.StructField]], *keep: str) -> DataFrame:
+    """Unpivot to one row per present cell: kept columns, position, s, l, d."""
+    parts = ", ".join(f"{i}, {', '.join(_typed(f))}" for i, f in fields)
+    long = df.selectExpr(*keep, f"stack({len(fields)}, {parts}) AS (position, s, l, d)")
+    return long.where("s IS NOT NULL OR l IS NOT NULL OR d IS NOT NULL")
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per (column, distinct present value): position, s, l, d, cnt."""
     wanted = [(i, f) for i, f in enumerate(df.schema.fields) if columns is None or f.name in columns]
     if not wanted:
-        return df.sparkSession.createDataFrame([], "position int, s string, l bigint, d double, cnt bigint")
-    cells = df.select(F.stack(
-        F.lit(len(wanted)),
-        *[e for i, f in wanted for e in (F.lit(i), *_typed(f))]).alias("position", "s", "l", "d"))
-    return (cells.where(F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull())
-            .groupBy("position", "s", "l", "d").agg(F.count(F.lit(1)).alias("cnt")))
+        return df.sparkSession.range(0).selectExpr(
+            "CAST(id AS INT) AS position", "'' AS s", "id AS l", "0.0D AS d", "id AS cnt")
+    return _cells(df, wanted).groupBy("position", "s", "l", "d").agg(F.expr("count(1) AS cnt"))
 
 
-def _as_text(kind: Column, dtype: Column) -> Column:
-    """The frequency key as text, by the column's own type."""
-    return (F.when(kind == "boolean", F.when(F.col("l") == 1, "true").otherwise("false"))
-            .when(dtype == "date", F.date_from_unix_date(F.col("l").cast("int")).cast("string"))
-            .when(kind == "datetime", F.timestamp_micros(F.col("l")).cast("string"))
-            .otherwise(F.coalesce("s", F.col("l").cast("string"), F.col("d").cast("string"))))
+# The frequency key as text, by the column's own type.
+_AS_TEXT = """CASE WHEN kind = 'boolean' THEN CASE WHEN l = 1 THEN 'true' ELSE 'false' END
+  WHEN dtype = 'date' THEN CAST(date_from_unix_date(CAST(l AS INT)) AS STRING)
+  WHEN kind = 'datetime' THEN CAST(timestamp_micros(l) AS STRING)
+  ELSE coalesce(s, CAST(l AS STRING), CAST(d AS STRING)) END"""
 
 
 def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None = None,
@@ -62,48 +65,39 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
     max_length, total_length, total_words.
     """
     freq = value_frequencies(df, columns)
-    meta = stats_frame(df.sparkSession, stats).select("position", "kind", "dtype", "mean", "std")
-    is_text = F.col("kind") == "string"
-    value = F.coalesce("d", F.when(F.col("kind") == "integer", F.col("l").cast("double")))
-    cnt = F.col("cnt")
-    z = F.abs(F.try_divide(value - F.col("mean"), F.col("std")))
-
-    def cells(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, cnt)), F.lit(0))
-
-    joined = freq.join(F.broadcast(meta), "position")  # meta: one row per column of the table
-    by_case = joined.groupBy("position", F.when(is_text, F.lower("s")).alias("folded")).agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.count_if(cnt == 1).alias("single"),
-        F.min(F.struct((-cnt).alias("rank"), "l", "d", "s")).alias("top"),
-        cells(z > z_threshold).alias("outliers"),
-        cells(value == 0).alias("zeros"),
-        cells(value < 0).alias("negatives"),
-        F.max(is_text & has_edge_space(F.col("s"))).alias("edge_space"),
-        cells(is_text & looks_numeric(F.col("s"))).alias("numeric_cells"),
-        cells(is_text).alias("text_cells"),
-        F.min(F.when(is_text, F.length("s"))).alias("min_length"),
-        F.max(F.when(is_text, F.length("s"))).alias("max_length"),
-        F.sum(F.when(is_text, F.length("s") * cnt)).alias("total_length"),
-        F.sum(F.when(is_text, F.size(F.filter(F.split("s", r"(?U)\s+"), lambda w: w != "")) * cnt)
-              ).alias("total_words"),
-    )
-    per_column = by_case.groupBy("position").agg(
-        F.sum("distinct").alias("distinct"),
-        F.sum("single").alias("single"),
-        F.min("top").alias("top"),
-        F.max(F.col("folded").isNotNull() & (F.col("distinct") > 1)).alias("mixed_case"),
-        *[F.sum(c).alias(c) for c in ("outliers", "zeros", "negatives", "numeric_cells",
-                                      "text_cells", "total_length", "total_words")],
-        F.max("edge_space").alias("edge_space"),
-        F.min("min_length").alias("min_length"), F.max("max_length").alias("max_length"),
-    )
+    meta = stats_frame(df.sparkSession, stats).selectExpr(
+        "position", "kind", "dtype", "kind = 'string' AS is_text", "mean", "std")
+    typed = freq.join(F.broadcast(meta), "position").selectExpr(  # meta: one row per column of the table
+        "position", "is_text", "s", "l", "d", "cnt", "CASE WHEN is_text THEN lower(s) END AS folded",
+        "coalesce(d, CASE WHEN kind = 'integer' THEN CAST(l AS DOUBLE) END) AS v", "mean", "std")
+
+    def cells(test: str) -> str:
+        return f"coalesce(sum(CASE WHEN {test} THEN cnt END), 0)"
+
+    text_aggs = {
+        "edge_space": f"max(is_text AND s RLIKE r'{EDGE_SPACE}')",
+        "numeric_cells": cells(f"is_text AND regexp_replace(s, r'{EDGE_SPACES}', '') RLIKE r'{NUMERIC_TEXT}'"),
+        "text_cells": cells("is_text"),
+        "min_length": "min(CASE WHEN is_text THEN length(s) END)",
+        "max_length": "max(CASE WHEN is_text THEN length(s) END)",
+        "total_length": "sum(CASE WHEN is_text THEN length(s) * cnt END)",
+        "total_words": r"sum(CASE WHEN is_text THEN size(filter(split(s, r'(?U)\s+'), w -> w <> '')) * cnt END)",
+    }
+    by_case = typed.groupBy("position", "folded").agg(*map(F.expr, (
+        "count(1) AS distinct", "count_if(cnt = 1) AS single",
+        "min(named_struct('rank', -cnt, 'l', l, 'd', d, 's', s)) AS top",
+        f"{cells(f'abs(try_divide(v - mean, std)) > {number(float(z_threshold))}')} AS outliers",
+        f"{cells('v = 0')} AS zeros", f"{cells('v < 0')} AS negatives",
+        *[f"{agg} AS {name}" for name, agg in text_aggs.items()])))
+    per_column = by_case.groupBy("position").agg(*map(F.expr, (
+        "sum(distinct) AS distinct", "sum(single) AS single", "min(top) AS top",
+        "max(folded IS NOT NULL AND distinct > 1) AS mixed_case", "max(edge_space) AS edge_space",
+        "min(min_length) AS min_length", "max(max_length) AS max_length",
+        *[f"sum({c}) AS {c}" for c in ("outliers", "zeros", "negatives", "numeric_cells", "text_cells",
+                                       "total_length", "total_words")])))
     named = per_column.join(F.broadcast(meta.select("position", "kind", "dtype")), "position")
-    mode = named.select("*", *[F.col("top")[k].alias(k) for k in ("l", "d", "s")])
-    return mode.select(
-        "position", "distinct", "single",
-        _as_text(F.col("kind"), F.col("dtype")).alias("mode"),
-        (-F.col("top")["rank"]).alias("mode_count"),
+    return named.selectExpr("*", "top.l", "top.d", "top.s").selectExpr(
+        "position", "distinct", "single", f"{_AS_TEXT} AS mode", "-top.rank AS mode_count",
         "outliers", "zeros", "negatives", "mixed_case", "edge_space", "numeric_cells",
         "text_cells", "min_length", "max_length", "total_length", "total_words")
 
@@ -114,23 +108,19 @@ def sample_values(df: DataFrame, k: int = 5, order_col: str | None = None) -> Da
     Without an order the smallest distinct values are shown; with ``order_col`` the first
     present values in that order.  Both rank-limit before the shuffle.
     """
-    fields = df.schema.fields
-    names = F.array(*[F.lit(f.name) for f in fields])
-    kinds = F.array(*[F.lit(family(f.dataType)) for f in fields])
-    dtypes = F.array(*[F.lit(f.dataType.simpleString()) for f in fields])
+    fields = list(enumerate(df.schema.fields))
+    about = local_frame(df.sparkSession, {
+        "position": (pa.int32(), [i for i, _ in fields]),
+        "column_name": (pa.string(), [f.name for _, f in fields]),
+        "kind": (pa.string(), [family(f.dataType) for _, f in fields]),
+        "dtype": (pa.string(), [f.dataType.simpleString() for _, f in fields])})
     if order_col is None:
-        cells, order = value_frequencies(df), [F.col("l"), F.col("d"), F.col("s")]
+        cells, order = value_frequencies(df), ["l", "d", "s"]
     else:
-        cells = df.select(raw(df.schema[order_col]).alias("__at"), F.stack(
-            F.lit(len(fields)),
-            *[e for i, f in enumerate(fields) for e in (F.lit(i), *_typed(f))]
-        ).alias("position", "s", "l", "d")).where(
-            F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull())
-        order = [F.col("__at")]
+        cells, order = _cells(df, fields, f"{quoted(order_col)} AS __at"), ["__at"]
     ranked = cells.withColumn("rank", F.row_number().over(W.partitionBy("position").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select(
-        names[F.col("position")].alias("column_name"), "rank",
-        _as_text(kinds[F.col("position")], dtypes[F.col("position")]).alias("value"))
+    return ranked.where(F.col("rank") <= k).join(F.broadcast(about), "position").selectExpr(
+        "column_name", "rank", f"{_AS_TEXT} AS value")
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -146,9 +136,5 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: total_rows and duplicate_rows, the rows beyond the first of each equal set."""
-    from plumbline.functions.columns import normalise
-    same = normalise(df).groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(
-        F.count(F.lit(1)).alias("__n"))
-    return same.agg(
-        F.coalesce(F.sum("__n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
+    same = normalise(df).groupBy(*[quoted(c) for c in df.columns]).agg(F.expr("count(1) AS __n"))
+    return same.selectExpr("coalesce(sum(__n), 0) AS total_rows", "coalesce(sum(__n - 1), 0) AS duplicate_rows")

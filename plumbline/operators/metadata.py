@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.functions.columns import family, groupable, normalise
+from plumbline.functions.columns import family, normalise
 from plumbline.functions.sizing import ratio
 from plumbline.operators.frequency import duplicate_rows, frequency_facts, value_frequencies
 from plumbline.operators.overview import estimated_bytes

@@ -17,6 +17,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.functions.columns import number
+
 DIRECT_ROWS = 200_000      # below this the plain percentile aggregate holds few enough values
 BRACKET_ROWS = 2_000_000   # a bracket with more values than this is narrowed again
 SKETCH_ACCURACY = 1000
@@ -71,8 +73,8 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
         known = {n: tuple(row[i]) for i, n in enumerate(names)}
 
     if max(known[n][0] for n in names) <= direct_rows:
-        got = base.agg(*[F.percentile(f"v{i}", F.array(*map(F.lit, probs))).alias(f"q{i}")
-                         for i in range(len(names))]).first()
+        at = f"array({', '.join(number(p) for p in probs)})"
+        got = base.selectExpr(*[f"percentile(v{i}, {at}) AS q{i}" for i in range(len(names))]).first()
         return {n: list(got[i]) if got[i] is not None else [None] * len(probs)
                 for i, n in enumerate(names)}
 
@@ -87,6 +89,10 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
     return {n: [by_key.get((f"v{i}", p)) for p in probs] for i, n in enumerate(names)}
 
 
+def _inside(t: _Target) -> str:
+    return f"{t.name} BETWEEN {number(t.low)} AND {number(t.high)}"
+
+
 def _narrow(base: DataFrame, targets: list[_Target], bracket_rows: int) -> None:
     active = [t for t in targets if not t.found and t.inside > min(bracket_rows, t.n // 50)]
     for _ in range(MAX_ROUNDS):
@@ -95,19 +101,18 @@ def _narrow(base: DataFrame, targets: list[_Target], bracket_rows: int) -> None:
         sketches, bounds = [], {}
         for k, t in enumerate(active):
             at = (t.position - t.below) / max(t.inside - 1, 1)
-            inner = F.when(F.col(t.name).between(t.low, t.high), F.col(t.name))
             whole = t.below == 0 and t.inside == t.n
-            sketches.append(F.percentile_approx(
-                F.col(t.name) if whole else inner,
-                F.array(F.lit(max(at - t.margin, 0.0)), F.lit(min(at + t.margin, 1.0))),
-                SKETCH_ACCURACY).alias(f"k{k}"))
+            inner = t.name if whole else f"CASE WHEN {_inside(t)} THEN {t.name} END"
+            sketches.append(
+                f"percentile_approx({inner}, array({number(max(at - t.margin, 0.0))}, "
+                f"{number(min(at + t.margin, 1.0))}), {SKETCH_ACCURACY}) AS k{k}")
             bounds[k] = (at - t.margin <= 0, at + t.margin >= 1)
-        guess = base.agg(*sketches).first()
+        guess = base.selectExpr(*sketches).first()
         trial = [(t.low if bounds[k][0] else guess[k][0], t.high if bounds[k][1] else guess[k][1])
                  for k, t in enumerate(active)]
-        seen = base.agg(*[e for k, t in enumerate(active) for e in (
-            F.count_if(F.col(t.name) < trial[k][0]).alias(f"b{k}"),
-            F.count_if(F.col(t.name) <= trial[k][1]).alias(f"u{k}"))]).first()
+        seen = base.selectExpr(*[e for k, t in enumerate(active) for e in (
+            f"count_if({t.name} < {number(trial[k][0])}) AS b{k}",
+            f"count_if({t.name} <= {number(trial[k][1])}) AS u{k}")]).first()
         still = []
         for k, t in enumerate(active):
             below, upto = seen[f"b{k}"], seen[f"u{k}"]
@@ -130,24 +135,16 @@ def _rank(base: DataFrame, targets: list[_Target]) -> None:
     todo = [t for t in targets if not t.found]
     if not todo:
         return
-    hits = [F.col(t.name).between(t.low, t.high) for t in todo]
-    some = hits[0]
-    for h in hits[1:]:
-        some = some | h
-    cells = base.where(some).select(F.stack(
-        F.lit(len(todo)),
-        *[e for k, t in enumerate(todo)
-          for e in (F.lit(k), F.when(hits[k], F.col(t.name)))]).alias("target", "v"))
-    freq = cells.where(F.col("v").isNotNull()).groupBy("target", "v").agg(
-        F.count(F.lit(1)).alias("cnt"))
+    hits = [_inside(t) for t in todo]
+    parts = ", ".join(f"{k}, CASE WHEN {hits[k]} THEN {t.name} END" for k, t in enumerate(todo))
+    cells = base.where(" OR ".join(hits)).selectExpr(f"stack({len(todo)}, {parts}) AS (target, v)")
+    freq = cells.where("v IS NOT NULL").groupBy("target", "v").agg(F.expr("count(1) AS cnt"))
     running = W.partitionBy("target").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     upto = F.sum("cnt").over(running)
     ranked = freq.select("target", "v", (upto - F.col("cnt")).alias("start"), upto.alias("stop"))
-    wanted = None
-    for k, t in enumerate(todo):
-        for r in set(t.ranks):
-            at = (F.col("target") == k) & (F.col("start") <= r - t.below) & (F.col("stop") > r - t.below)
-            wanted = at if wanted is None else wanted | at
+    wanted = " OR ".join(
+        f"(target = {k} AND start <= {r - t.below} AND stop > {r - t.below})"
+        for k, t in enumerate(todo) for r in set(t.ranks))
     for row in ranked.where(wanted).collect():  # at most two rows per target
         t = todo[row["target"]]
         for r in t.ranks:

@@ -10,10 +10,10 @@ from dataclasses import dataclass
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.functions.columns import (
-    NUMERIC_FAMILIES, as_double, family, groupable, is_missing, type_label,
+    NUMERIC_FAMILIES, double_sql, family, groupable_sql, type_label,
 )
 from plumbline.functions.sizing import local_frame
 
@@ -66,27 +66,27 @@ def table_stats(df: DataFrame, moments: bool = True, constants: bool = True,
     ``constants`` compares min with max instead of counting distinct values: a column is
     constant exactly when they agree, and that needs no shuffle.
     """
-    aggs = [F.count(F.lit(1)).alias("n")]
+    exprs = ["count(1) AS n"]
     for i, f in enumerate(df.schema.fields):
-        aggs.append(F.count_if(is_missing(f)).alias(f"m{i}"))
+        key = groupable_sql(f)
+        numeric = moments and family(f.dataType) in NUMERIC_FAMILIES
+        exprs.append(f"count({key}) AS p{i}")
         if constants:
-            key = groupable(f)
-            aggs.append((F.min(key) == F.max(key)).alias(f"c{i}"))
-        if moments and family(f.dataType) in NUMERIC_FAMILIES:
-            v = as_double(f)
-            aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
-                     F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}")]
+            exprs.append(f"min({key}) = max({key}) AS c{i}")
+        if numeric:
+            v = double_sql(f)
+            exprs += [f"avg({v}) AS a{i}", f"stddev_samp({v}) AS s{i}",
+                      f"CAST(min({key}) AS DOUBLE) AS l{i}", f"CAST(max({key}) AS DOUBLE) AS h{i}"]
             if family(f.dataType) == "integer":
-                top, bottom = (agg(groupable(f)).cast("decimal(20,0)") for agg in (F.max, F.min))
-                aggs.append((top - bottom + 1).alias(f"w{i}"))
-    row = df.agg(*aggs).first().asDict()
+                exprs.append(f"CAST(max({key}) AS DECIMAL(20,0)) - CAST(min({key}) AS DECIMAL(20,0)) + 1 AS w{i}")
+    row = df.selectExpr(*exprs).first().asDict()
     n = row["n"]
     columns = []
     for i, f in enumerate(df.schema.fields):
         columns.append(ColumnStats(
             name=f.name, position=i, dtype=f.dataType.simpleString(),
             kind=family(f.dataType), label=type_label(f.dataType, f.name in categorical),
-            present=n - row[f"m{i}"], missing=row[f"m{i}"],
+            present=row[f"p{i}"], missing=n - row[f"p{i}"],
             constant=bool(row.get(f"c{i}")),
             mean=row.get(f"a{i}"), std=row.get(f"s{i}"),
             low=row.get(f"l{i}"), high=row.get(f"h{i}"),

@@ -178,7 +178,7 @@ def variable_status(spark, sf_dir):
 TEXT_LENGTHS = "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, max(length({c})) AS max_length, min(length({c})) AS min_length, "
     f"round(avg(length({c})), 4) AS mean_length, "
-    f"round(avg(len(list_filter(regexp_split_to_array({c}, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+'), x -> x <> ''))), 4) AS mean_words "
+    f"round(avg(len(list_filter(regexp_split_to_array({c}, '[\\s\\p{{Z}}\\x0b\\x1c-\\x1f\\x85]+'), lambda x: x <> ''))), 4) AS mean_words "
     f"FROM documents" for c in ("text", "lang", "source")) + ")"
 
 
@@ -419,7 +419,7 @@ def recommendation_summary(spark, sf_dir):
 
 FACT_LINES = S.facts("dirty_lineitem", S.DIRTY_LINEITEM) + f""", t AS (SELECT *, {VAR_TYPE} AS var_type,
   data_type = 'string' AND present_count > 0 AS counted FROM facts),
-words AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, avg(len(list_filter(regexp_split_to_array({c}, '[ ]+'), x -> x <> ''))) AS w FROM v" for c, k in S.DIRTY_LINEITEM if k == 'string')})
+words AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, avg(len(list_filter(regexp_split_to_array({c}, '[ ]+'), lambda x: x <> ''))) AS w FROM v" for c, k in S.DIRTY_LINEITEM if k == 'string')})
 SELECT position, t.column_name, concat_ws(chr(10), 'Column: ' || t.column_name, '  - Data Type: ' || var_type,
   '  - Missing Values: ' || null_count || ' (' || printf('%.1f', null_percentage) || '%)',
   CASE WHEN counted THEN '  - Unique Values: ' || unique_count || ' (' || printf('%.1f', CAST(unique_count AS DOUBLE) / total_count * 100) || '%)' END,

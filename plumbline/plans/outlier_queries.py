@@ -70,10 +70,10 @@ def percentile_tail(spark, sf_dir):
 
 @query("stats_summary", " UNION ALL ".join(f"""
 SELECT '{c}' AS column_name, round(mean, 4) AS mean, round(med, 4) AS median, round(sd, 4) AS std, round(md, 4) AS mad,
-  round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr, round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound,
-  round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound FROM {stats_cte(c, sql('skewed_orders'))}""" for c in S.numeric(S.SKEWED_ORDERS)))
+  round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr, round(q1 - 1.5 * (q3 - q1), 5) AS lower_bound,
+  round(q3 + 1.5 * (q3 - q1), 5) AS upper_bound FROM {stats_cte(c, sql('skewed_orders'))}""" for c in S.numeric(S.SKEWED_ORDERS)))
 def stats_summary(spark, sf_dir):
-    return rounded(anomaly.statistical_summary(view(spark, sf_dir, "skewed_orders")))
+    return rounded(anomaly.statistical_summary(view(spark, sf_dir, "skewed_orders")), lower_bound=5, upper_bound=5)
 
 
 ALL_ORDERS = scored_sql(S.numeric(S.SKEWED_ORDERS), sql("skewed_orders"), "o_orderkey", list(SCORES))
@@ -131,11 +131,11 @@ def _report(spark, sf_dir):
 
 @query("iqr_outliers", ORDERS + """
 SELECT position, column_name, outliers, total_rows, round(rate, 4) AS rate, n AS data_points,
-  round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound, round(mean, 4) AS mean,
+  round(q1 - 1.5 * (q3 - q1), 5) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 5) AS upper_bound, round(mean, 4) AS mean,
   round(sd, 4) AS std, round(lo, 4) AS min, round(hi, 4) AS max, round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
   'Configurable IQR (threshold=1.5)' AS method FROM o""")
 def iqr_outliers(spark, sf_dir):
-    return rounded(_report(spark, sf_dir)[0])
+    return rounded(_report(spark, sf_dir)[0], lower_bound=5, upper_bound=5)
 
 
 @query("outlier_overview", ORDERS + """, s AS (SELECT coalesce(sum(outliers), 0) AS k, count(*) AS a, max(t.numeric_columns) AS w,
@@ -174,13 +174,13 @@ def outlier_actions(spark, sf_dir):
 
 
 @query("outlier_samples", " UNION ALL ".join(f"""
-SELECT * FROM (SELECT o_orderkey, '{c}' AS column_name, round(value, 4) AS value, direction, round(beyond, 4) AS beyond,
+SELECT * FROM (SELECT o_orderkey, '{c}' AS column_name, round(value, 4) AS value, direction, round(beyond, 5) AS beyond,
   CAST(row_number() OVER (ORDER BY beyond DESC, o_orderkey) AS INTEGER) AS rank FROM (
   SELECT o_orderkey, CAST({c} AS DOUBLE) AS value, CASE WHEN {c} > q3 + 1.5 * (q3 - q1) THEN 'above' ELSE 'below' END AS direction,
     CASE WHEN {c} < q1 - 1.5 * (q3 - q1) THEN q1 - 1.5 * (q3 - q1) - {c} WHEN {c} > q3 + 1.5 * (q3 - q1) THEN {c} - (q3 + 1.5 * (q3 - q1)) END AS beyond
   FROM {sql('skewed_orders')} v, {stats_cte(c, sql('skewed_orders'))} s) WHERE beyond IS NOT NULL) WHERE rank <= 8""" for c in S.numeric(S.SKEWED_ORDERS)))
 def outlier_samples(spark, sf_dir):
-    return rounded(outliers.outlier_samples(view(spark, sf_dir, "skewed_orders"), ["o_orderkey"]))
+    return rounded(outliers.outlier_samples(view(spark, sf_dir, "skewed_orders"), ["o_orderkey"]), beyond=5)
 
 
 @query("boxplot_data", f"""
@@ -191,9 +191,9 @@ SELECT 'value' AS column_name, q1, med AS median, q3, q1 - 1.5 * (q3 - q1) AS lo
   (SELECT count(*) FROM events WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS anomaly_points
 FROM {stats_cte('value', 'events')}""".replace("SELECT 'value' AS column_name, q1,", "SELECT 'value' AS column_name, round(q1, 4) AS q1,")
        .replace("med AS median, q3, q1 - 1.5 * (q3 - q1) AS lower_bound, q3 + 1.5 * (q3 - q1) AS upper_bound",
-                "round(med, 4) AS median, round(q3, 4) AS q3, round(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 4) AS upper_bound"))
+                "round(med, 4) AS median, round(q3, 4) AS q3, round(q1 - 1.5 * (q3 - q1), 5) AS lower_bound, round(q3 + 1.5 * (q3 - q1), 5) AS upper_bound"))
 def boxplot_data(spark, sf_dir):
-    return rounded(outliers.box_plot(base(spark, sf_dir, "events"), ["value"]))
+    return rounded(outliers.box_plot(base(spark, sf_dir, "events"), ["value"]), lower_bound=5, upper_bound=5)
 
 
 @query("outlier_context", ORDERS + """

@@ -11,10 +11,14 @@ from plumbline.plans.catalog import query
 from plumbline.plans.fixtures import base, sql, view
 
 
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles to a fixed number of digits, so that summation order does not show."""
-    return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`")
-                       for n, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
+    """Doubles to a fixed number of digits, so that summation order does not show.
+
+    ``special`` names columns whose values can sit half-way between two such numbers.
+    Adding zero turns a negative zero into zero.
+    """
+    return df.selectExpr(*[f"round(`{n}`, {special.get(n, digits)}) + 0.0D AS `{n}`" if t == "double" else f"`{n}`"
+                           for n, t in df.dtypes])
 
 
 def profile_view(df: DataFrame) -> DataFrame:
@@ -193,8 +197,8 @@ DETAIL_QUANTILES = (5, 25, 50, 75, 95)
 DETAIL = " UNION ALL ".join(f"""SELECT '{c}' AS column_name, count({c}) AS n, count(*) FILTER (WHERE {c} = 0) AS n_zeros,
   count(*) FILTER (WHERE {c} < 0) AS n_negative, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
   CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
-  round(sum(power({c} - m, 3)) / count(*) / power(var_pop({c}), 1.5), 4) AS skewness,
-  round(sum(power({c} - m, 4)) / count(*) / power(var_pop({c}), 2) - 3, 4) AS kurtosis,
+  round(sum(power({c} - m, 3)) / count(*) / power(var_pop({c}), 1.5), 4) + 0.0 AS skewness,
+  round(sum(power({c} - m, 4)) / count(*) / power(var_pop({c}), 2) - 3, 4) + 0.0 AS kurtosis,
   {', '.join(f"round(quantile_cont({c}, {q / 100}), 4) AS q{q:02d}" for q in DETAIL_QUANTILES)}
 FROM part, (SELECT avg({c}) AS m FROM part)""" for c in S.numeric(S.PART))
 

@@ -153,10 +153,7 @@ def source_edges(queries: DataFrame, database: str, schema: str, table: str, all
 
 def lineage_edges(lineage: DataFrame, database: str, schema: str, table: str, all_pairs: bool = False,
                   numbered: bool = False, **text) -> DataFrame:
-    """All edges: source, target, relationship.
-
-    A repeated pair keeps its last relationship, dependencies last.
-    """
+    """All distinct edges: source, target, relationship."""
     center = F.lit(f"{database}.{schema}.{table}")
     queries = lineage.where(F.col("SOURCE_VIEW").contains("QUERY_HISTORY"))
     nodes = _node(queries, numbered)

@@ -1 +1,191 @@
-"""Registered queries."""
+"""Reading, writing and registering: round trips of the given tables through files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F, types as T
+
+from plumbline.functions.sizing import shared_folder
+from plumbline.operators import metadata, overview, profile, readiness
+from plumbline.plans import profile_sql as S
+from plumbline.plans.catalog import query
+from plumbline.plans.fixtures import TABLES, base, sql, view
+from plumbline.plans.profile_queries import PROFILE_SELECT, profile_view, readiness_sql
+from plumbline.sources import factory, files, registry, sinks
+
+
+@query("csv_roundtrip", " UNION ALL ".join(
+    f"SELECT '{e}' AS encoding, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer" for e in files.ENCODINGS))
+def csv_roundtrip(spark, sf_dir):
+    """The customers through CSV in every offered encoding and delimiter, types inferred."""
+    folder = shared_folder(spark)
+    df = base(spark, sf_dir, "customer")
+    out = None
+    for (name, charset), sep in zip(files.ENCODINGS.items(), files.DELIMITERS.values()):
+        path = f"{folder}/{name}"
+        sinks.write_csv(df, path, encoding=charset, delimiter=sep)
+        back = factory.read_source(spark, "csv", path=path, encoding=name, delimiter=sep).select(
+            F.lit(name).alias("encoding"), F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_nationkey",
+            "c_acctbal", "c_mktsegment")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("csv_text_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_text_roundtrip(spark, sf_dir):
+    """Whole document texts through CSV: quotes and line breaks survive."""
+    df = base(spark, sf_dir, "documents")
+    path = f"{shared_folder(spark)}/documents"
+    sinks.write_csv(df, path)
+    return files.read_csv(spark, path, schema=df.schema)
+
+
+@query("csv_files", "SELECT 'nation' AS dataset, count(*) AS rows, 3 AS columns FROM nation UNION ALL SELECT 'supplier', count(*), 4 FROM supplier UNION ALL SELECT 'orders', count(*), 6 FROM orders")
+def csv_files(spark, sf_dir):
+    """Several CSV datasets, each under its own name; a missing one is reported, not fatal."""
+    folder = shared_folder(spark)
+    names = ["nation", "supplier", "orders"]
+    for n in names:
+        sinks.write_csv(base(spark, sf_dir, n), f"{folder}/{n}")
+    loaded, failed = files.read_csv_files(spark, [f"{folder}/{n}" for n in [*names, "missing"]])
+    if list(failed) != ["missing"]:
+        raise ValueError(f"unexpected failures: {failed}")
+    out = None
+    for name, df in loaded.items():
+        row = files.source_info(df, "csv", name).select(
+            F.col("file_path").alias("dataset"), F.col("row_count").alias("rows"), F.col("column_count").cast("int").alias("columns"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("file_dispatch", " UNION ALL ".join(
+    f"SELECT '{e}' AS extension, count(*) AS rows, CAST(sum(o_custkey) AS BIGINT) AS keys, round(sum(o_totalprice), 2) AS price FROM orders"
+    for e in ("csv", "parquet", "pq", "json", "dat")))
+def file_dispatch(spark, sf_dir):
+    """The orders through each file kind, read back by extension alone."""
+    folder = shared_folder(spark)
+    df = base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    sinks.write_csv(df, f"{folder}/a.csv")
+    sinks.write_csv(df, f"{folder}/a.dat")
+    df.write.parquet(f"{folder}/a.parquet")
+    df.write.parquet(f"{folder}/a.pq")
+    df.write.option("ignoreNullFields", False).json(f"{folder}/lines")
+    # one array per file is the reference's JSON form; a job writes one file per partition
+    df.groupBy(F.floor(F.col("o_orderkey") / 10_000).alias("part")).agg(
+        F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).select("value").write.text(f"{folder}/a.json")
+    out = None
+    for ext in ("csv", "parquet", "pq", "json", "dat"):
+        got = factory.read_source(spark, "hdfs", path=f"{folder}/a.{ext}")
+        row = got.agg(F.lit(ext).alias("extension"), F.count(F.lit(1)).alias("rows"),
+                      F.sum(F.col("o_custkey").cast("bigint")).alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("file_listing", "SELECT unnest([{}]) AS name, 'parquet' AS extension".format(", ".join(f"'{t}.parquet'" for t in TABLES)))
+def file_listing(spark, sf_dir):
+    got = files.list_files(spark, sf_dir, depth=0, data_only=True).where("size_bytes > 0")
+    return got.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "extension")
+
+
+@query("directory_listing", "SELECT count(*) > 0 AS found, CAST(1 AS BIGINT) AS directories FROM region")
+def directory_listing(spark, sf_dir):
+    return files.list_directories(files.list_files(spark, sf_dir)).agg(
+        (F.count(F.lit(1)) > 0).alias("found"), F.count(F.lit(1)).alias("directories"))
+
+
+@query("source_info", "SELECT 'parquet' AS source_type, count(*) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem")
+def source_info(spark, sf_dir):
+    df = base(spark, sf_dir, "lineitem")
+    return files.source_info(df, "parquet", sf_dir).select("source_type", "row_count", "column_count")
+
+
+SUMMARY_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
+
+
+def _registry(spark, sf_dir):
+    reg = registry.Registry(spark)
+    for t in SUMMARY_TABLES:
+        reg.register(t, base(spark, sf_dir, t), "parquet", file_name=f"{t}.parquet")
+    return reg
+
+
+WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
+          "documents": 5, "conversations": 4}
+
+
+@query("dataset_summary", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, 'parquet' AS source_type, count(*) AS rows, CAST({WIDTHS[t]} AS BIGINT) AS columns, CAST(0 AS BIGINT) AS missing_values FROM {t}"
+    for t in SUMMARY_TABLES))
+def dataset_summary(spark, sf_dir):
+    return _registry(spark, sf_dir).summaries().select("name", "source_type", "rows", "columns", "missing_values")
+
+
+@query("dataset_totals", f"""
+SELECT CAST({len(SUMMARY_TABLES)} AS BIGINT) AS total_datasets, CAST({' + '.join(f'(SELECT count(*) FROM {t})' for t in SUMMARY_TABLES)} AS BIGINT) AS total_rows""")
+def dataset_totals(spark, sf_dir):
+    return _registry(spark, sf_dir).totals().drop("total_bytes")
+
+
+@query("registry_query", """
+SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def registry_query(spark, sf_dir):
+    reg = _registry(spark, sf_dir)
+    return reg.query("SELECT n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance "
+                     "FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+
+
+@query("registry_replace", "SELECT count(*) AS rows, count(c_acctbal) AS balances FROM " + sql("dirty_customer") + " c")
+def registry_replace(spark, sf_dir):
+    reg = _registry(spark, sf_dir)
+    reg.replace("customer", view(spark, sf_dir, "dirty_customer"))
+    return reg.get("customer").agg(F.count(F.lit(1)).alias("rows"), F.count("c_acctbal").alias("balances"))
+
+
+@query("row_preview", "SELECT * FROM supplier ORDER BY s_suppkey LIMIT 10")
+def row_preview(spark, sf_dir):
+    return overview.preview(base(spark, sf_dir, "supplier"), 10, ["s_suppkey"])
+
+
+@query("type_counts", """
+SELECT * FROM (VALUES ('bigint', 3), ('int', 1), ('double', 7), ('string', 4)) v(type, columns)
+WHERE FALSE UNION ALL SELECT 'bigint', CAST(3 AS BIGINT) UNION ALL SELECT 'int', 1 UNION ALL SELECT 'double', 6 UNION ALL SELECT 'string', 4
+UNION ALL SELECT 'timestamp_ntz', 1""")
+def type_counts(spark, sf_dir):
+    return overview.type_counts(view(spark, sf_dir, "dirty_lineitem"))
+
+
+@query("issue_export", readiness_sql("dirty_lineitem", S.DIRTY_LINEITEM) + """
+SELECT title AS "Issue", severity AS "Severity", description AS "Description", affected_columns AS "Affected Columns", recommendation AS "Recommendation" FROM found""")
+def issue_export(spark, sf_dir):
+    """Readiness issues written as CSV and read back."""
+    path = f"{shared_folder(spark)}/issues"
+    sinks.write_issues(readiness.readiness_issues(view(spark, sf_dir, "dirty_lineitem")), path)
+    return files.read_csv(spark, path, schema='`Issue` string, `Severity` string, `Description` string, `Affected Columns` string, `Recommendation` string')
+
+
+@query("report_export", S.facts("dirty_customer", S.DIRTY_CUSTOMER) + PROFILE_SELECT)
+def report_export(spark, sf_dir):
+    """A profile written as Parquet and read back."""
+    path = f"{shared_folder(spark)}/report"
+    sinks.write_report(profile.profile_columns(view(spark, sf_dir, "dirty_customer")), path)
+    return profile_view(spark.read.parquet(path))
+
+
+@query("metadata_json", "SELECT 'customer' AS name, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count, count(*) - count(c_acctbal) AS total_null_count FROM " + sql("dirty_customer") + " c")
+def metadata_json(spark, sf_dir):
+    """A snapshot to JSON and back."""
+    snap = metadata.snapshot(view(spark, sf_dir, "dirty_customer"), "customer", "file")
+    back = sinks.from_json(sinks.to_json(snap), T.StructType(snap.schema.fields))
+    return back.select("name", "row_count", "column_count", "total_null_count")
+
+
+@query("snapshot_history", "SELECT 'customer' AS name, count(*) AS row_count, CAST(2 AS BIGINT) AS snapshots FROM customer")
+def snapshot_history(spark, sf_dir):
+    """Two snapshots appended to a partitioned history; the newest is read back."""
+    path = f"{shared_folder(spark)}/history"
+    for name in ("dirty_customer", "customer"):
+        sinks.append_history(metadata.snapshot(view(spark, sf_dir, name), "customer", "file"), path)
+    sinks.append_history(metadata.snapshot(base(spark, sf_dir, "nation"), "nation", "file"), path)
+    latest = sinks.latest_snapshots(spark, path, "customer", 1).select("name", "row_count")
+    count = spark.read.parquet(path).where("dataset = 'customer'").agg(F.count(F.lit(1)).alias("snapshots"))
+    return latest.crossJoin(F.broadcast(count))  # one row each

@@ -116,7 +116,7 @@ def type_counts(df: DataFrame) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a table; no data is read."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def dataset_summary(df: DataFrame, name: str, source_type: str = "file", **facts) -> DataFrame:

@@ -6,25 +6,50 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-# Offered encodings as Java charset names, delimiters, data-file extensions.
-ENCODINGS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "windows-1252", "utf-16": "UTF-16"}
+# Offered encodings as Spark charset names, delimiters, data-file extensions.
+# Spark has no windows-1252: it is read as ISO-8859-1 and the characters that differ are mapped.
+ENCODINGS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "ISO-8859-1", "utf-16": "UTF-16"}
 DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
 FORMATS = {"csv": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "xlsx": "excel"}
 DATA_FILE = r"(?i)\.(csv|parquet|pq|json|xlsx|xls)$"
 
 
+def charset_of(encoding: str) -> str:
+    return "ISO-8859-1" if encoding.lower() == "windows-1252" else ENCODINGS.get(encoding.lower(), encoding)
+
+
+def _cp1252_pairs() -> tuple[str, str]:
+    """The control characters of ISO-8859-1 and what windows-1252 has in their place."""
+    both = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+    return "".join(c for c, w in both if w), "".join(w for _, w in both if w)
+
+
+def map_cp1252(df: DataFrame, writing: bool = False) -> DataFrame:
+    """Text columns (and, when reading, names) between ISO-8859-1 controls and windows-1252."""
+    control, windows = _cp1252_pairs()
+    old, new = (windows, control) if writing else (control, windows)
+    table = str.maketrans(old, new)
+    return df.select(*[
+        (F.translate(F.col(f"`{f.name}`"), old, new) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`"))
+        .alias(f.name.translate(table)) for f in df.schema.fields])
+
+
 def read_csv(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", delimiter: str = ",",
-             schema: T.StructType | str | None = None, limit: int | None = None, strict: bool = False) -> DataFrame:
+             schema: T.StructType | str | None = None, limit: int | None = None, strict: bool = False,
+             multi_line: bool = True) -> DataFrame:
     """CSV with a header row.  Give a schema on big inputs; without one a pass infers it.
 
-    Quoted fields may hold line breaks.  UTF-16 files are read whole, one task per file.
+    Quoted fields may hold line breaks, which keeps a file in one task; ``multi_line=False``
+    splits big files that are known to have none.
     """
-    charset = ENCODINGS.get(encoding.lower(), encoding)
+    charset = charset_of(encoding)
     reader = (spark.read.option("header", True).option("sep", delimiter).option("encoding", charset)
-              .option("multiLine", True).option("escape", '"')
+              .option("multiLine", multi_line).option("escape", '"')
               .option("mode", "FAILFAST" if strict else "PERMISSIVE"))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
+    if encoding.lower() in ("cp1252", "windows-1252"):
+        df = map_cp1252(df)
     return df if limit is None else df.limit(limit)
 
 

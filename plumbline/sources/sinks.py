@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from plumbline.sources.files import charset_of, map_cp1252
 
-def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", delimiter: str = ",", mode: str = "errorifexists") -> None:
-    (df.write.mode(mode).option("header", True).option("sep", delimiter).option("encoding", encoding)
+
+def write_csv(df: DataFrame, path: str, encoding: str = "utf-8", delimiter: str = ",", mode: str = "errorifexists") -> None:
+    if encoding.lower() in ("cp1252", "windows-1252"):
+        df = map_cp1252(df, writing=True)
+    (df.write.mode(mode).option("header", True).option("sep", delimiter).option("encoding", charset_of(encoding))
      .option("escape", '"').csv(path))
 
 

@@ -193,8 +193,7 @@ def fingerprint_order(spark, sf_dir):
 
 
 @query("fingerprint_changes", """
-SELECT * FROM (VALUES ('structure', 'Dataset structure has changed', 'Schema or indexing changes detected'),
-  ('content', 'Dataset content has changed', 'Data values have been modified'),
+SELECT * FROM (VALUES ('content', 'Dataset content has changed', 'Data values have been modified'),
   ('statistics', 'Statistical properties have changed', 'Data distribution or quality metrics changed')) v(hash_type, description, impact)""")
 def fingerprint_changes(spark, sf_dir):
     return diff.fingerprint_changes(_ext(spark, sf_dir, "customer"), _ext(spark, sf_dir, "dirty_customer"))
@@ -205,5 +204,5 @@ SELECT (SELECT count(*) FROM {b} b) - (SELECT count(*) FROM {a} a) AS row_diff,
   round(CAST((SELECT count(*) FROM {b} b) - (SELECT count(*) FROM {a} a) AS DOUBLE) / (SELECT count(*) FROM {a} a) * 100, 4) AS row_diff_pct"""
        .replace("{a}", sql("dirty_lineitem")).replace("{b}", "lineitem"))
 def size_difference(spark, sf_dir):
-    got = diff.size_difference(_ext(spark, sf_dir, "dirty_lineitem"), _ext(spark, sf_dir, "lineitem"))
+    got = diff.size_difference(_snap(spark, sf_dir, "dirty_lineitem"), _snap(spark, sf_dir, "lineitem"))
     return rounded(got.drop("size_diff"))

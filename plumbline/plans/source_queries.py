@@ -68,10 +68,9 @@ def file_dispatch(spark, sf_dir):
     sinks.write_csv(df, f"{folder}/a.dat")
     df.write.parquet(f"{folder}/a.parquet")
     df.write.parquet(f"{folder}/a.pq")
-    df.write.option("ignoreNullFields", False).json(f"{folder}/lines")
-    # one array per file is the reference's JSON form; a job writes one file per partition
+    # JSON files hold one array each
     df.groupBy(F.floor(F.col("o_orderkey") / 10_000).alias("part")).agg(
-        F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).select("value").write.text(f"{folder}/a.json")
+        F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/a.json")
     out = None
     for ext in ("csv", "parquet", "pq", "json", "dat"):
         got = factory.read_source(spark, "hdfs", path=f"{folder}/a.{ext}")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from plumbline.functions.columns import double_sql, family, groupable_sql, normalise, number, quoted
-from plumbline.functions.sizing import local_frame
+from plumbline.functions.sizing import local_frame, spread
 from plumbline.functions.text import EDGE_SPACE, EDGE_SPACES, NUMERIC_TEXT
 from plumbline.operators.scan import TableStats, stats_frame
 
@@ -36,7 +36,7 @@ def _typed(field: T.StructField) -> tuple[str, str, str]:
 def _cells(df: DataFrame, fields: list[tuple[int, T.StructField]], *keep: str) -> DataFrame:
     """Unpivot to one row per present cell: kept columns, position, s, l, d."""
     parts = ", ".join(f"{i}, {', '.join(_typed(f))}" for i, f in fields)
-    long = df.selectExpr(*keep, f"stack({len(fields)}, {parts}) AS (position, s, l, d)")
+    long = spread(df if keep else df.select(*[quoted(f.name) for _, f in fields])).selectExpr(*keep, f"stack({len(fields)}, {parts}) AS (position, s, l, d)")
     return long.where("s IS NOT NULL OR l IS NOT NULL OR d IS NOT NULL")
 
 
@@ -57,12 +57,13 @@ _AS_TEXT = """CASE WHEN kind = 'boolean' THEN CASE WHEN l = 1 THEN 'true' ELSE '
 
 
 def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None = None,
-                    z_threshold: float = 2.0) -> DataFrame:
+                    z_threshold: float = 2.0, digests: bool = False) -> DataFrame:
     """One row per column that has a value.
 
     position, distinct, single (values seen once), mode, mode_count, outliers (z-score),
     zeros, negatives, mixed_case, edge_space, numeric_cells, text_cells, min_length,
-    max_length, total_length, total_words.
+    max_length, total_length, total_words.  ``digests`` adds hash_xor and hash_sum over the
+    distinct values.
     """
     freq = value_frequencies(df, columns)
     meta = stats_frame(df.sparkSession, stats).selectExpr(
@@ -83,23 +84,27 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
         "total_length": "sum(CASE WHEN is_text THEN length(s) * cnt END)",
         "total_words": r"sum(CASE WHEN is_text THEN size(filter(split(s, r'(?U)\s+'), w -> w <> '')) * cnt END)",
     }
+    # each distinct value has one of l, d, s, so the kind of key is part of its hash
+    hashed = "xxhash64(l, d, s, CASE WHEN l IS NOT NULL THEN 1 WHEN s IS NOT NULL THEN 2 ELSE 3 END)"
+    marks = {"hash_xor": f"bit_xor({hashed})", "hash_sum": f"sum(CAST({hashed} AS DECIMAL(38,0)))"} if digests else {}
     by_case = typed.groupBy("position", "folded").agg(*map(F.expr, (
         "count(1) AS distinct", "count_if(cnt = 1) AS single",
         "min(named_struct('rank', -cnt, 'l', l, 'd', d, 's', s)) AS top",
         f"{cells(f'abs(try_divide(v - mean, std)) > {number(float(z_threshold))}')} AS outliers",
         f"{cells('v = 0')} AS zeros", f"{cells('v < 0')} AS negatives",
-        *[f"{agg} AS {name}" for name, agg in text_aggs.items()])))
+        *[f"{agg} AS {name}" for name, agg in (text_aggs | marks).items()])))
     per_column = by_case.groupBy("position").agg(*map(F.expr, (
         "sum(distinct) AS distinct", "sum(single) AS single", "min(top) AS top",
         "max(folded IS NOT NULL AND distinct > 1) AS mixed_case", "max(edge_space) AS edge_space",
         "min(min_length) AS min_length", "max(max_length) AS max_length",
+        *(("bit_xor(hash_xor) AS hash_xor", "sum(hash_sum) AS hash_sum") if digests else ()),
         *[f"sum({c}) AS {c}" for c in ("outliers", "zeros", "negatives", "numeric_cells", "text_cells",
                                        "total_length", "total_words")])))
     named = per_column.join(F.broadcast(meta.select("position", "kind", "dtype")), "position")
     return named.selectExpr("*", "top.l", "top.d", "top.s").selectExpr(
         "position", "distinct", "single", f"{_AS_TEXT} AS mode", "-top.rank AS mode_count",
         "outliers", "zeros", "negatives", "mixed_case", "edge_space", "numeric_cells",
-        "text_cells", "min_length", "max_length", "total_length", "total_words")
+        "text_cells", "min_length", "max_length", "total_length", "total_words", *marks)
 
 
 def sample_values(df: DataFrame, k: int = 5, order_col: str | None = None) -> DataFrame:

@@ -6,9 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import family, normalise
-from plumbline.functions.sizing import ratio
-from plumbline.operators.frequency import duplicate_rows, frequency_facts, value_frequencies
-from plumbline.operators.overview import estimated_bytes
+from plumbline.functions.sizing import estimated_bytes, ratio
+from plumbline.operators.frequency import duplicate_rows, frequency_facts
 from plumbline.operators.scan import TableStats, stats_frame, table_stats
 
 
@@ -78,21 +77,14 @@ def _mix(columns: list[Column]) -> list[Column]:
     return [F.bit_xor(h), F.sum(h.cast("decimal(38,0)")), F.count(F.lit(1))]
 
 
-def column_value_hashes(df: DataFrame) -> DataFrame:
-    """Per column: digest over its distinct present values, independent of row order."""
-    digest = value_frequencies(df).groupBy("position").agg(
-        F.md5(F.concat_ws("|", *[p.cast("string") for p in _mix([F.col("l"), F.col("d"), F.col("s")])])).alias("value_hash"))
-    return digest
-
-
 def extended_columns(df: DataFrame, stats: TableStats | None = None, samples: int = 0) -> DataFrame:
     """Column metadata with distinct and duplicate counts, extremes, moments and digests."""
-    stats = stats or table_stats(df)
-    facts = frequency_facts(df, stats).select("position", "distinct")
-    hashes = column_value_hashes(df)
+    stats = stats or table_stats(df, constants=False)
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("hash_xor", "hash_sum", "distinct")]))
+    facts = frequency_facts(df, stats, digests=True).select("position", "distinct", digest.alias("value_hash"))
     frame = stats_frame(df.sparkSession, stats)
     unique = F.coalesce("distinct", F.lit(0))
-    out = frame.join(F.broadcast(facts), "position", "left").join(F.broadcast(hashes), "position", "left").select(
+    out = frame.join(F.broadcast(facts), "position", "left").select(
         "position", F.col("column_name").alias("name"), F.col("dtype").alias("data_type"), "kind",
         F.col("present_count").alias("non_null_count"), "null_count", _null_share(),
         unique.alias("unique_count"), (F.col("total_count") - unique).alias("duplicate_count"),
@@ -125,7 +117,7 @@ def content_hash(df: DataFrame) -> DataFrame:
 
 def extended_snapshot(df: DataFrame, name: str, source_type: str) -> DataFrame:
     """One row: the snapshot with duplicate rows, score, digests and extended columns."""
-    stats = table_stats(df)
+    stats = table_stats(df, constants=False)
     cols = extended_columns(df, stats)
     listed = F.array_sort(F.collect_list(F.struct(
         "position", "name", "data_type", "non_null_count", "null_count", "null_percentage", "unique_count",

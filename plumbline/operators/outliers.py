@@ -58,7 +58,7 @@ def column_outliers(df: DataFrame, multiplier: float = 1.5, stats: TableStats |
 
     ``all_columns`` keeps columns without outliers too.
     """
-    stats = stats or table_stats(df)
+    stats = stats or table_stats(df, constants=False)
     rails = fences(df, stats, multiplier, **sizes)
     fields = {f.name: as_double(f) for f in numeric_fields(df)}
     counted = df.agg(F.array(*[F.struct(
@@ -150,7 +150,7 @@ def priority_counts(priorities: DataFrame) -> DataFrame:
 def outlier_rows(df: DataFrame, key_cols: list[str], multiplier: float = 1.5,
                  stats: TableStats | None = None, **sizes) -> DataFrame:
     """Every outlying cell: keys, column_name, value, direction, distance beyond the bound."""
-    stats = stats or table_stats(df)
+    stats = stats or table_stats(df, constants=False)
     rails = fences(df, stats, multiplier, **sizes)
     fields = {f.name: as_double(f) for f in numeric_fields(df)}
     tests = [outside(fields[r.column], r.lower, r.upper) for r in rails]
@@ -178,7 +178,7 @@ def outlier_samples(df: DataFrame, key_cols: list[str], k: int = 8, multiplier:
 def split_by_fence(df: DataFrame, column: str, multiplier: float = 1.5, **sizes) -> DataFrame:
     """``df`` with ``is_anomaly`` for one column: the data behind a scatter or box plot."""
     slim = df.select(column)
-    rail = fences(slim, table_stats(slim), multiplier, **sizes)
+    rail = fences(slim, table_stats(slim, constants=False), multiplier, **sizes)
     v = as_double(df.schema[column])
     flag = outside(v, rail[0].lower, rail[0].upper) if rail else F.lit(False)
     return df.withColumn("is_anomaly", F.coalesce(flag, F.lit(False)))
@@ -191,8 +191,9 @@ def box_plot(df: DataFrame, columns: list[str] | None = None, multiplier: float
     """
     fields = [f for f in numeric_fields(df) if columns is None or f.name in columns]
     slim = df.select(*[f.name for f in fields])
-    rails = fences(slim, table_stats(slim), multiplier, **sizes)
-    medians = {n: q[0] for n, q in numeric_quantiles(slim, table_stats(slim), [0.5], **sizes).items()}
+    stats = table_stats(slim, constants=False)
+    rails = fences(slim, stats, multiplier, **sizes)
+    medians = {n: q[0] for n, q in numeric_quantiles(slim, stats, [0.5], **sizes).items()}
     col = {f.name: as_double(f) for f in fields}
     structs = []
     for r in rails:

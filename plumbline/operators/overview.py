@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.sizing import ratio
+from plumbline.functions.sizing import estimated_bytes, ratio
 from plumbline.functions.text import fixed, grouped
 from plumbline.operators.frequency import duplicate_rows, frequency_facts
 from plumbline.operators.readiness import mixed_types
@@ -114,11 +114,6 @@ def type_counts(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("columns"))
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a table; no data is read."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def dataset_summary(df: DataFrame, name: str, source_type: str = "file", **facts) -> DataFrame:
     """One row: size, missing cells and share, estimated bytes, columns per type, extra facts."""
     stats = table_stats(df, moments=False, constants=False)

@@ -28,7 +28,7 @@ def numeric_quantiles(df: DataFrame, stats: TableStats, probs: list[float],
 def profile_columns(df: DataFrame, categorical: tuple[str, ...] = (),
                     z_threshold: float = 2.0, **sizes) -> DataFrame:
     """One row per column: counts, moments, median, mode, outliers, issues and score."""
-    stats = table_stats(df, categorical=categorical)
+    stats = table_stats(df, constants=False, categorical=categorical)
     medians = {n: q[0] for n, q in numeric_quantiles(df, stats, [0.5], **sizes).items()}
     facts = frequency_facts(df, stats, z_threshold=z_threshold)
     frame = stats_frame(df.sparkSession, stats, {"median": (pa.float64(), medians)})
@@ -150,7 +150,7 @@ def profile_detail(df: DataFrame, histogram_bins: int = 10, **sizes) -> DataFram
 
     The histogram counts present values in equal-width bins between min and max.
     """
-    stats = table_stats(df)
+    stats = table_stats(df, constants=False)
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
     quants = numeric_quantiles(df, stats, probs, **sizes)
     fields = {f.name: as_double(f) for f in numeric_fields(df)}
@@ -181,7 +181,7 @@ def profile_detail(df: DataFrame, histogram_bins: int = 10, **sizes) -> DataFram
 
 def describe_numeric(df: DataFrame, **sizes) -> DataFrame:
     """count, mean, std, min, exact quartiles and max of every numeric column."""
-    stats = table_stats(df)
+    stats = table_stats(df, constants=False)
     q = numeric_quantiles(df, stats, [0.25, 0.5, 0.75], **sizes)
     frame = stats_frame(df.sparkSession, stats, {
         f"p{p}": (pa.float64(), {n: v[k] for n, v in q.items()}) for k, p in enumerate((25, 50, 75))})

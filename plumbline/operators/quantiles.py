@@ -93,23 +93,35 @@ def _inside(t: _Target) -> str:
     return f"{t.name} BETWEEN {number(t.low)} AND {number(t.high)}"
 
 
+def _guess(base: DataFrame, active: list[_Target]) -> list[tuple[float, float]]:
+    """A bracket per target from the sketches; targets over the same values share one sketch."""
+    sketches: dict[str, list[float]] = {}
+    wanted = []
+    for t in active:
+        at = (t.position - t.below) / max(t.inside - 1, 1)
+        whole = t.below == 0 and t.inside == t.n
+        source = t.name if whole else f"CASE WHEN {_inside(t)} THEN {t.name} END"
+        probs = sketches.setdefault(source, [])
+        ends = []
+        for p in (at - t.margin, at + t.margin):
+            ends.append(len(probs) if 0 < p < 1 else None)
+            if 0 < p < 1:
+                probs.append(p)
+        wanted.append((source, ends))
+    used = {source: k for k, source in enumerate(s for s, probs in sketches.items() if probs)}
+    row = base.selectExpr(*[
+        f"percentile_approx({source}, array({', '.join(map(number, sketches[source]))}), {SKETCH_ACCURACY}) AS k{k}"
+        for source, k in used.items()]).first() if used else ()
+    return [tuple(edge if at is None else row[used[source]][at] for edge, at in zip((t.low, t.high), ends))
+            for t, (source, ends) in zip(active, wanted)]
+
+
 def _narrow(base: DataFrame, targets: list[_Target], bracket_rows: int) -> None:
     active = [t for t in targets if not t.found and t.inside > min(bracket_rows, t.n // 50)]
     for _ in range(MAX_ROUNDS):
         if not active:
             return
-        sketches, bounds = [], {}
-        for k, t in enumerate(active):
-            at = (t.position - t.below) / max(t.inside - 1, 1)
-            whole = t.below == 0 and t.inside == t.n
-            inner = t.name if whole else f"CASE WHEN {_inside(t)} THEN {t.name} END"
-            sketches.append(
-                f"percentile_approx({inner}, array({number(max(at - t.margin, 0.0))}, "
-                f"{number(min(at + t.margin, 1.0))}), {SKETCH_ACCURACY}) AS k{k}")
-            bounds[k] = (at - t.margin <= 0, at + t.margin >= 1)
-        guess = base.selectExpr(*sketches).first()
-        trial = [(t.low if bounds[k][0] else guess[k][0], t.high if bounds[k][1] else guess[k][1])
-                 for k, t in enumerate(active)]
+        trial = _guess(base, active)
         seen = base.selectExpr(*[e for k, t in enumerate(active) for e in (
             f"count_if({t.name} < {number(trial[k][0])}) AS b{k}",
             f"count_if({t.name} <= {number(trial[k][1])}) AS u{k}")]).first()

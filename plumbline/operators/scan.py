@@ -18,6 +18,9 @@ from plumbline.functions.columns import (
 from plumbline.functions.sizing import local_frame
 
 
+_HASHED = ("string", "nested", "interval")
+
+
 @dataclass(frozen=True)
 class ColumnStats:
     name: str
@@ -64,7 +67,8 @@ def table_stats(df: DataFrame, moments: bool = True, constants: bool = True,
     """Collect the wide aggregate of ``df``.
 
     ``constants`` compares min with max instead of counting distinct values: a column is
-    constant exactly when they agree, and that needs no shuffle.
+    constant exactly when they agree, and that needs no shuffle.  For text and nested values
+    the hashes are compared first, and only columns whose hashes agree are read again.
     """
     exprs = ["count(1) AS n"]
     for i, f in enumerate(df.schema.fields):
@@ -72,7 +76,9 @@ def table_stats(df: DataFrame, moments: bool = True, constants: bool = True,
         numeric = moments and family(f.dataType) in NUMERIC_FAMILIES
         exprs.append(f"count({key}) AS p{i}")
         if constants:
-            exprs.append(f"min({key}) = max({key}) AS c{i}")
+            hashed = family(f.dataType) in _HASHED
+            probe = f"CASE WHEN {key} IS NOT NULL THEN xxhash64({key}) END" if hashed else key
+            exprs.append(f"min({probe}) = max({probe}) AS c{i}")
         if numeric:
             v = double_sql(f)
             exprs += [f"avg({v}) AS a{i}", f"stddev_samp({v}) AS s{i}",
@@ -81,6 +87,10 @@ def table_stats(df: DataFrame, moments: bool = True, constants: bool = True,
                 exprs.append(f"CAST(max({key}) AS DECIMAL(20,0)) - CAST(min({key}) AS DECIMAL(20,0)) + 1 AS w{i}")
     row = df.selectExpr(*exprs).first().asDict()
     n = row["n"]
+    unsure = [(i, f) for i, f in enumerate(df.schema.fields) if row.get(f"c{i}") and family(f.dataType) in _HASHED]
+    if unsure:
+        row |= df.selectExpr(*[f"min({groupable_sql(f)}) = max({groupable_sql(f)}) AS c{i}"
+                               for i, f in unsure]).first().asDict()
     columns = []
     for i, f in enumerate(df.schema.fields):
         columns.append(ColumnStats(

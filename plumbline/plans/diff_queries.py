@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.sizing import settle
 from plumbline.operators import diff, metadata
 from plumbline.plans import profile_sql as S
 from plumbline.plans.catalog import query
@@ -117,7 +118,8 @@ col AS (SELECT name AS column_name, 'content_changed' AS change_type, 'Content i
 
 
 def _ext(spark, sf_dir, name):
-    return metadata.extended_snapshot(view(spark, sf_dir, name), name, "file")
+    """A stored snapshot: one row, written once and read by every comparison."""
+    return settle(metadata.extended_snapshot(view(spark, sf_dir, name), name, "file"))
 
 
 @query("column_changes", RESTATED_PAIR + COLUMN_CHANGES + " SELECT column_name, change_type, description, round(amount, 4) AS amount FROM col")

@@ -125,7 +125,7 @@ PRIORITY = "CASE WHEN rate > 10 THEN 'Critical' WHEN rate > 5 THEN 'High' WHEN r
 
 def _report(spark, sf_dir):
     df = view(spark, sf_dir, "skewed_orders")
-    stats = table_stats(df)
+    stats = table_stats(df, constants=False)
     return outliers.column_outliers(df, stats=stats), stats
 
 

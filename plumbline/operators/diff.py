@@ -1,7 +1,7 @@
 """Differences between two snapshots, as rows.
 
-Snapshots are one row per dataset with the columns packed inside, so the joins here run
-over column names, not data.
+Snapshots are one row per dataset with the columns packed inside, so a comparison is a
+projection over one pair of rows: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -31,32 +31,31 @@ ADVICE = [
 ]
 
 
+def _pair(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both snapshots as one row: structs ``o`` and ``n``, ``cols`` (name, old, new) sorted by
+    name, and the lists added, removed and retyped."""
+    pair = old.select(F.struct("*").alias("o")).crossJoin(F.broadcast(new.select(F.struct("*").alias("n"))))  # one row each
+    return pair.selectExpr(
+        "o", "n", "map_from_entries(transform(o.columns, c -> struct(c.name, c))) AS was",
+        "map_from_entries(transform(n.columns, c -> struct(c.name, c))) AS now",
+    ).selectExpr(
+        "o", "n", """transform(array_sort(array_union(map_keys(was), map_keys(now))),
+            x -> named_struct('name', x, 'old', try_element_at(was, x), 'new', try_element_at(now, x))) AS cols""",
+    ).selectExpr(
+        "o", "n", "cols", "transform(filter(cols, c -> c.old IS NULL), c -> c.name) AS added",
+        "transform(filter(cols, c -> c.new IS NULL), c -> c.name) AS removed",
+        """transform(filter(cols, c -> c.old.data_type <> c.new.data_type),
+            c -> named_struct('name', c.name, 'was', c.old.data_type, 'now', c.new.data_type)) AS retyped""")
+
+
 def column_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Columns of two snapshots side by side: name, old, new, change.
 
     change is added, removed, retyped or kept.
     """
-    def unpacked(snap: DataFrame, side: str) -> DataFrame:
-        return snap.select(F.explode("columns").alias(side)).select(F.col(f"{side}.name").alias("name"), side)
-
-    both = unpacked(old, "old").join(unpacked(new, "new"), "name", "full_outer")
-    return both.withColumn("change", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
-                           .when(F.col("old.data_type") != F.col("new.data_type"), "retyped").otherwise("kept"))
-
-
-def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Both snapshots as one row: structs ``o`` and ``n``, and the sorted name lists."""
-    changes = column_changes(old, new)
-
-    def names(kind: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("change") == kind, F.col("name")))).alias(kind)
-
-    retyped = F.array_sort(F.collect_list(F.when(F.col("change") == "retyped", F.struct(
-        "name", F.col("old.data_type").alias("was"), F.col("new.data_type").alias("now"))))).alias("retyped")
-    lists = changes.agg(names("added"), names("removed"), retyped)  # names only
-    o = old.select(F.struct(*[c for c in old.columns if c != "columns"]).alias("o"))
-    n = new.select(F.struct(*[c for c in new.columns if c != "columns"]).alias("n"))
-    return o.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(lists))  # one row each
+    return _pair(old, new).select(F.inline("cols")).withColumn(
+        "change", F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
+        .when(F.col("old.data_type") != F.col("new.data_type"), "retyped").otherwise("kept"))
 
 
 def _change(rank: int, test: Column, kind, severity, text: Column) -> Column:
@@ -67,7 +66,7 @@ def _change(rank: int, test: Column, kind, severity, text: Column) -> Column:
 
 def simple_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Change rows: added and removed columns, type changes, row and missing-cell counts."""
-    sides = _sides(old, new)
+    sides = _pair(old, new)
     rows = F.col("n.row_count") - F.col("o.row_count")
     nulls = F.col("n.total_null_count") - F.col("o.total_null_count")
 
@@ -112,50 +111,59 @@ def simple_diff(old: DataFrame, new: DataFrame) -> DataFrame:
             F.when(F.col("total_changes") == 0, F.lit("No significant changes detected")))).alias("recommendations"))
 
 
+def _details(c: Column) -> Column:
+    """Detail changes of one column present on both sides."""
+    mean1, mean2 = c["old"]["mean_value"], c["new"]["mean_value"]
+    u1, u2 = c["old"]["unique_count"], c["new"]["unique_count"]
+    mean_pct = F.when(mean1 != 0, F.abs(F.try_divide(mean2 - mean1, mean1) * 100)).otherwise(0.0)
+    unique_pct = F.when(u1 > 0, F.abs(ratio(u2 - u1, u1) * 100)).otherwise(0.0)
+
+    def detail(test: Column, kind: str, text: Column, amount: Column) -> Column:
+        return F.when(test, F.struct(c["name"].alias("column_name"), F.lit(kind).alias("change_type"),
+                                     text.alias("description"), amount.cast("double").alias("amount")))
+
+    return F.array_compact(F.array(
+        detail(c["old"]["value_hash"] != c["new"]["value_hash"], "content_changed",
+               F.concat(F.lit("Content in column '"), c["name"], F.lit("' has changed")), u2 - u1),
+        detail(mean1.isNotNull() & mean2.isNotNull() & (mean_pct > 10), "statistical_change",
+               F.concat(F.lit("Mean value in '"), c["name"], F.lit("' changed by "), fixed(mean_pct, 1), F.lit("%")), mean_pct),
+        detail(unique_pct > 20, "cardinality_change",
+               F.concat(F.lit("Unique values in '"), c["name"], F.lit("' changed by "), fixed(unique_pct, 1), F.lit("%")),
+               unique_pct)))
+
+
+def _detail_list() -> Column:
+    kept = F.filter("cols", lambda c: c["old"].isNotNull() & c["new"].isNotNull())
+    return F.flatten(F.transform(kept, _details))
+
+
 def column_level_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Common columns whose content, mean (> 10 %) or cardinality (> 20 %) changed."""
-    kept = column_changes(old, new).where(F.col("change").isin("kept", "retyped"))
-    mean1, mean2 = F.col("old.mean_value"), F.col("new.mean_value")
-    u1, u2 = F.col("old.unique_count"), F.col("new.unique_count")
-    mean_pct = F.when(mean1 != 0, F.abs((mean2 - mean1) / mean1 * 100)).otherwise(0.0)
-    unique_pct = F.when(u1 > 0, F.abs((u2 - u1) / u1 * 100)).otherwise(0.0)
-    name = F.col("name")
-    rows = F.array_compact(F.array(
-        F.when(F.col("old.value_hash") != F.col("new.value_hash"), F.struct(
-            F.lit("content_changed").alias("change_type"),
-            F.concat(F.lit("Content in column '"), name, F.lit("' has changed")).alias("description"),
-            (u2 - u1).cast("double").alias("amount"))),
-        F.when(mean1.isNotNull() & mean2.isNotNull() & (mean_pct > 10), F.struct(
-            F.lit("statistical_change").alias("change_type"),
-            F.concat(F.lit("Mean value in '"), name, F.lit("' changed by "), fixed(mean_pct, 1), F.lit("%"))
-            .alias("description"), mean_pct.alias("amount"))),
-        F.when(unique_pct > 20, F.struct(
-            F.lit("cardinality_change").alias("change_type"),
-            F.concat(F.lit("Unique values in '"), name, F.lit("' changed by "), fixed(unique_pct, 1), F.lit("%"))
-            .alias("description"), unique_pct.alias("amount")))))
-    return kept.select(name.alias("column_name"), F.inline(rows))
+    return _pair(old, new).select(F.inline(_detail_list()))
 
 
-def fingerprint_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Digests that differ: hash_type, description, impact."""
-    # Digest, name, description, impact.
-    kinds = [("structure_hash", "structure", "Dataset structure has changed", "Schema or indexing changes detected"),
-             ("content_hash", "content", "Dataset content has changed", "Data values have been modified"),
-             ("stats_hash", "statistics", "Statistical properties have changed",
-              "Data distribution or quality metrics changed")]
-    sides = old.select(F.struct(*[k[0] for k in kinds]).alias("o")).crossJoin(
-        F.broadcast(new.select(F.struct(*[k[0] for k in kinds]).alias("n"))))  # one row each
-    return sides.select(F.inline(F.array_compact(F.array(*[
+# Digest, name, description, impact.
+PRINTS = [("structure_hash", "structure", "Dataset structure has changed", "Schema or indexing changes detected"),
+          ("content_hash", "content", "Dataset content has changed", "Data values have been modified"),
+          ("stats_hash", "statistics", "Statistical properties have changed",
+           "Data distribution or quality metrics changed")]
+
+
+def _print_list() -> Column:
+    return F.array_compact(F.array(*[
         F.when(F.col(f"o.{h}") != F.col(f"n.{h}"), F.struct(
             F.lit(k).alias("hash_type"), F.lit(d).alias("description"), F.lit(i).alias("impact")))
-        for h, k, d, i in kinds]))))
+        for h, k, d, i in PRINTS]))
+
+
+def fingerprint_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Digests that differ: hash_type, description, impact."""
+    return _pair(old, new).select(F.inline(_print_list()))
 
 
 def extended_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Change rows of two extended snapshots: size, schema, quality, columns, fingerprints."""
-    details = column_level_changes(old, new).agg(F.count(F.lit(1)).alias("detail_count"))
-    prints = fingerprint_changes(old, new).agg(F.count(F.lit(1)).alias("print_count"))
-    sides = _sides(old, new).crossJoin(F.broadcast(details)).crossJoin(F.broadcast(prints))  # one row each
+    sides = _pair(old, new).withColumns({"detail_count": F.size(_detail_list()), "print_count": F.size(_print_list())})
     rows_pct = F.when(F.col("o.row_count") > 0, ratio(
         F.col("n.row_count") - F.col("o.row_count"), F.col("o.row_count")) * 100).otherwise(0.0)
     score = F.col("n.data_quality_score") - F.col("o.data_quality_score")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+from decimal import Decimal
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from plumbline.functions.columns import family, normalise
-from plumbline.functions.sizing import estimated_bytes, ratio
+from plumbline.functions.columns import NUMERIC_FAMILIES, normalise
+from plumbline.functions.sizing import estimated_bytes, local_frame, ratio
 from plumbline.operators.frequency import duplicate_rows, frequency_facts
 from plumbline.operators.scan import TableStats, stats_frame, table_stats
 
@@ -24,37 +27,35 @@ def _null_share() -> Column:
         "null_percentage")
 
 
-def _names(df: DataFrame, kinds: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(f.name) for f in df.schema.fields if family(f.dataType) in kinds]).cast("array<string>")
-
-
 def snapshot(df: DataFrame, name: str, source_type: str, source_metadata: dict[str, str] | None = None) -> DataFrame:
     """One row describing the table: counts, names, types, type groups, missing cells, columns.
 
     Booleans count as numeric here.
     """
     stats = table_stats(df, moments=False, constants=False)
-    cols = F.array(*[F.struct(
-        F.lit(c.name).alias("name"), F.lit(c.dtype).alias("data_type"),
-        F.lit(c.present).cast("bigint").alias("non_null_count"), F.lit(c.missing).cast("bigint").alias("null_count"),
-        F.lit(round(c.missing / stats.rows * 100, 2) if stats.rows else 0.0).alias("null_percentage"))
-        for c in stats.columns])
-    numeric = ("integer", "float", "decimal", "boolean")
-    return df.sparkSession.range(1).select(
-        F.lit(name).alias("name"), F.lit(source_type).alias("source_type"),
-        F.lit(stats.rows).cast("bigint").alias("row_count"),
-        F.lit(len(stats.columns)).cast("bigint").alias("column_count"),
-        F.current_timestamp().alias("creation_time"),
-        F.lit(estimated_bytes(df)).cast("decimal(38,0)").alias("size_bytes"),
-        F.array(*[F.lit(c.name) for c in stats.columns]).alias("column_names"),
-        F.create_map(*[F.lit(x) for c in stats.columns for x in (c.name, c.dtype)]).alias("column_types"),
-        _names(df, numeric).alias("numeric_columns"),
-        _names(df, ("string", "nested", "interval")).alias("categorical_columns"),
-        _names(df, ("datetime",)).alias("datetime_columns"),
-        F.lit(stats.missing_cells).cast("bigint").alias("total_null_count"),
-        cols.alias("columns"),
-        F.create_map(*[F.lit(x) for kv in (source_metadata or {}).items() for x in kv])
-        .cast("map<string,string>").alias("source_metadata"))
+    numeric = (*NUMERIC_FAMILIES, "boolean")
+
+    def named(kinds: tuple[str, ...]) -> list[list[str]]:
+        return [[c.name for c in stats.columns if c.kind in kinds]]
+
+    text, count, names = pa.string(), pa.int64(), pa.list_(pa.string())
+    column = pa.struct([("name", text), ("data_type", text), ("non_null_count", count), ("null_count", count),
+                        ("null_percentage", pa.float64())])
+    return local_frame(df.sparkSession, {
+        "name": (text, [name]), "source_type": (text, [source_type]), "row_count": (count, [stats.rows]),
+        "column_count": (count, [len(stats.columns)]),
+        "creation_time": (pa.timestamp("us", tz="UTC"), [datetime.now(timezone.utc)]),
+        "size_bytes": (pa.decimal128(38, 0), [Decimal(estimated_bytes(df))]),
+        "column_names": (names, [[c.name for c in stats.columns]]),
+        "column_types": (pa.map_(text, text), [[(c.name, c.dtype) for c in stats.columns]]),
+        "numeric_columns": (names, named(numeric)),
+        "categorical_columns": (names, named(("string", "nested", "interval"))),
+        "datetime_columns": (names, named(("datetime",))),
+        "total_null_count": (count, [stats.missing_cells]),
+        "columns": (pa.list_(column), [[{
+            "name": c.name, "data_type": c.dtype, "non_null_count": c.present, "null_count": c.missing,
+            "null_percentage": round(c.missing / stats.rows * 100, 2) if stats.rows else 0.0} for c in stats.columns]]),
+        "source_metadata": (pa.map_(text, text), [list((source_metadata or {}).items())])})
 
 
 def snapshot_from_schema(schema: T.StructType, rows: int | None, name: str, source_type: str):

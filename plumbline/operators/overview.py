@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions.sizing import estimated_bytes, ratio
+from plumbline.functions.sizing import estimated_bytes, local_frame, ratio
 from plumbline.functions.text import fixed, grouped
 from plumbline.operators.frequency import duplicate_rows, frequency_facts
 from plumbline.operators.readiness import mixed_types
@@ -114,20 +117,20 @@ def type_counts(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("columns"))
 
 
-def dataset_summary(df: DataFrame, name: str, source_type: str = "file", **facts) -> DataFrame:
+def dataset_summary(df: DataFrame, name: str, source_type: str = "file", **facts: str) -> DataFrame:
     """One row: size, missing cells and share, estimated bytes, columns per type, extra facts."""
     stats = table_stats(df, moments=False, constants=False)
     per_type: dict[str, int] = {}
     for _, t in df.dtypes:
         per_type[t] = per_type.get(t, 0) + 1
-    return df.sparkSession.range(1).select(
-        F.lit(name).alias("name"), F.lit(source_type).alias("source_type"),
-        F.lit(stats.rows).cast("bigint").alias("rows"), F.lit(len(stats.columns)).cast("bigint").alias("columns"),
-        F.lit(stats.missing_cells).cast("bigint").alias("missing_values"),
-        F.lit(stats.missing_cells / stats.cells * 100 if stats.cells else 0.0).alias("missing_percentage"),
-        F.lit(estimated_bytes(df)).cast("decimal(38,0)").alias("estimated_bytes"),
-        F.create_map(*[F.lit(x) for kv in sorted(per_type.items()) for x in kv]).alias("data_types"),
-        *[F.lit(v).alias(k) for k, v in facts.items()])
+    text, count = pa.string(), pa.int64()
+    return local_frame(df.sparkSession, {
+        "name": (text, [name]), "source_type": (text, [source_type]), "rows": (count, [stats.rows]),
+        "columns": (count, [len(stats.columns)]), "missing_values": (count, [stats.missing_cells]),
+        "missing_percentage": (pa.float64(), [stats.missing_cells / stats.cells * 100 if stats.cells else 0.0]),
+        "estimated_bytes": (pa.decimal128(38, 0), [Decimal(estimated_bytes(df))]),
+        "data_types": (pa.map_(text, count), [sorted(per_type.items())]),
+        **{k: (text, [v]) for k, v in facts.items()}})
 
 
 def dataset_totals(summaries: DataFrame) -> DataFrame:

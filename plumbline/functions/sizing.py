@@ -42,16 +42,6 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Share a small table out over all cores before work that is heavy per row.
-
-    A file of one row group is one task however many cores are idle.  Large tables have
-    enough splits of their own and stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 << 20 <= estimated_bytes(df) <= cores * (16 << 20) else df
-
-
 def ratio(top: Column, bottom: Column) -> Column:
     """Division that gives NULL for a zero denominator."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

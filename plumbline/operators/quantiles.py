@@ -34,6 +34,7 @@ class _Target:
     high: float
     below: int = 0
     inside: int = 0
+    open: bool = False  # whether the bracket excludes its two ends
     margin: float = 3.0 / SKETCH_ACCURACY
     found: dict[int, float] = field(default_factory=dict)
 
@@ -45,6 +46,10 @@ class _Target:
     def ranks(self) -> tuple[int, int]:
         return math.floor(self.position), math.ceil(self.position)
 
+    @property
+    def pending(self) -> list[int]:
+        return sorted({r for r in self.ranks if r not in self.found})
+
     def value(self) -> float:
         a, b = (self.found[r] for r in self.ranks)
         part = self.position - self.ranks[0]
@@ -90,7 +95,8 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float]
 
 
 def _inside(t: _Target) -> str:
-    return f"{t.name} BETWEEN {number(t.low)} AND {number(t.high)}"
+    low, high = number(t.low), number(t.high)
+    return f"({t.name} > {low} AND {t.name} < {high})" if t.open else f"({t.name} BETWEEN {low} AND {high})"
 
 
 def _guess(base: DataFrame, active: list[_Target]) -> list[tuple[float, float]]:
@@ -98,7 +104,7 @@ def _guess(base: DataFrame, active: list[_Target]) -> list[tuple[float, float]]:
     sketches: dict[str, list[float]] = {}
     wanted = []
     for t in active:
-        at = (t.position - t.below) / max(t.inside - 1, 1)
+        at = (sum(t.pending) / len(t.pending) - t.below) / max(t.inside - 1, 1)
         whole = t.below == 0 and t.inside == t.n
         source = t.name if whole else f"CASE WHEN {_inside(t)} THEN {t.name} END"
         probs = sketches.setdefault(source, [])
@@ -117,7 +123,7 @@ def _guess(base: DataFrame, active: list[_Target]) -> list[tuple[float, float]]:
 
 
 def _narrow(base: DataFrame, targets: list[_Target], bracket_rows: int) -> None:
-    active = [t for t in targets if not t.found and t.inside > min(bracket_rows, t.n // 50)]
+    active = [t for t in targets if t.pending and t.inside > min(bracket_rows, t.n // 50)]
     for _ in range(MAX_ROUNDS):
         if not active:
             return
@@ -125,26 +131,40 @@ def _narrow(base: DataFrame, targets: list[_Target], bracket_rows: int) -> None:
         seen = base.selectExpr(*[e for k, t in enumerate(active) for e in (
             f"count_if({t.name} < {number(trial[k][0])}) AS b{k}",
             f"count_if({t.name} <= {number(trial[k][1])}) AS u{k}")]).first()
-        still = []
+        missed, full = [], []
         for k, t in enumerate(active):
             below, upto = seen[f"b{k}"], seen[f"u{k}"]
-            lo_rank, hi_rank = t.ranks
-            if below <= lo_rank and upto > hi_rank:
-                shrunk = upto - below < t.inside
-                t.low, t.high = trial[k]
-                t.below, t.inside = below, upto - below
+            if below <= t.pending[0] and upto > t.pending[-1]:
+                (t.low, t.high), t.below, t.inside, t.open = trial[k], below, upto - below, False
                 if t.low == t.high:
-                    t.found = {r: t.low for r in t.ranks}
-                elif t.inside > bracket_rows and shrunk:
-                    still.append(t)
+                    t.found |= {r: t.low for r in t.pending}
+                elif t.inside > bracket_rows:
+                    full.append(t)
             elif t.margin < 1:
                 t.margin *= 4  # the sketch missed: try again with a wider bracket
-                still.append(t)
-        active = still
+                missed.append(t)
+        _trim(base, full)
+        active = missed + [t for t in full if t.pending and t.inside > bracket_rows]
+
+
+def _trim(base: DataFrame, full: list[_Target]) -> None:
+    """Settle ranks that fall on the ends of a bracket and take the ends out of it.
+
+    A hot value at an end would otherwise keep a bracket full however often it is narrowed.
+    """
+    if not full:
+        return
+    seen = base.selectExpr(*[e for k, t in enumerate(full) for e in (
+        f"count_if({t.name} <= {number(t.low)}) AS e{k}", f"count_if({t.name} < {number(t.high)}) AS f{k}")]).first()
+    for k, t in enumerate(full):
+        after_low, before_high = seen[f"e{k}"], seen[f"f{k}"]
+        t.found |= {r: t.low for r in t.pending if r < after_low}
+        t.found |= {r: t.high for r in t.pending if r >= before_high}
+        t.below, t.inside, t.open = after_low, before_high - after_low, True
 
 
 def _rank(base: DataFrame, targets: list[_Target]) -> None:
-    todo = [t for t in targets if not t.found]
+    todo = [t for t in targets if t.pending]
     if not todo:
         return
     hits = [_inside(t) for t in todo]
@@ -156,10 +176,10 @@ def _rank(base: DataFrame, targets: list[_Target]) -> None:
     ranked = freq.select("target", "v", (upto - F.col("cnt")).alias("start"), upto.alias("stop"))
     wanted = " OR ".join(
         f"(target = {k} AND start <= {r - t.below} AND stop > {r - t.below})"
-        for k, t in enumerate(todo) for r in set(t.ranks))
+        for k, t in enumerate(todo) for r in t.pending)
     for row in ranked.where(wanted).collect():  # at most two rows per target
         t = todo[row["target"]]
-        for r in t.ranks:
+        for r in t.pending:
             if row["start"] <= r - t.below < row["stop"]:
                 t.found[r] = row["v"]
 

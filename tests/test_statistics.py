@@ -20,15 +20,17 @@ def frame(spark, values, kind="double"):
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id bigint, v {kind}")
 
 
-@pytest.mark.parametrize("shape", ["uniform", "hot", "heavy", "few", "negative"])
+@pytest.mark.parametrize("shape", ["uniform", "hot", "hot_edge", "heavy", "few", "negative"])
 def test_bracketed_quantiles_are_exact(spark, shape):
     rng = np.random.default_rng(7)
-    values = {"uniform": rng.random(30_000), "hot": np.where(rng.random(30_000) < 0.4, 5.0, rng.random(30_000) * 10),
+    values = {"hot_edge": np.concatenate([np.full(10_000, 7.0), 7 + rng.random(5_000), rng.random(15_000) * 7]),
+              "uniform": rng.random(30_000), "hot": np.where(rng.random(30_000) < 0.4, 5.0, rng.random(30_000) * 10),
               "heavy": rng.pareto(0.3, 30_000), "few": rng.integers(0, 4, 30_000).astype(float),
               "negative": -rng.exponential(3, 30_000)}[shape]
     df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(6)
-    got = quantiles.exact_quantiles(df, {"v": F.col("v")}, PROBS, direct_rows=0, bracket_rows=500)["v"]
-    assert got == pytest.approx(list(np.quantile(values, PROBS)), rel=1e-12)
+    probs = [*PROBS, 0.5001, 0.8333, 0.834]
+    got = quantiles.exact_quantiles(df, {"v": F.col("v")}, probs, direct_rows=0, bracket_rows=60)["v"]
+    assert got == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
 
 
 @settings(max_examples=8, deadline=None)

@@ -168,7 +168,8 @@ def anomaly_summary(df: DataFrame, methods=DEFAULT_METHODS, columns: list[str] |
             structs.append(F.struct(F.lit(s.column).alias("column_name"), F.lit(m).alias("method"),
                                     total.alias("total_anomalies"), F.lit(s.n).cast("bigint").alias("n"),
                                     F.lit(float(limits.of(m))).alias("threshold")))
-    one = df.agg(F.array(*structs).alias("r"))
+    shape = "array<struct<column_name:string,method:string,total_anomalies:bigint,n:bigint,threshold:double>>"
+    one = df.agg(F.array(*structs).cast(shape).alias("r"))
     return one.select(F.inline("r")).select(
         "column_name", "method", "total_anomalies",
         (ratio(F.col("total_anomalies"), F.col("n")) * 100).alias("anomaly_percentage"), "threshold")

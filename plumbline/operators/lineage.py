@@ -261,6 +261,12 @@ def recent_reads(queries: DataFrame, k: int = 10, shown: int = 500) -> DataFrame
     return newest(reads, "QUERY_START_TIME", k, "QUERY_ID").withColumn("shown_text", clipped("QUERY_TEXT", shown))
 
 
+def sample_queries(queries: DataFrame, k: int = 3) -> DataFrame:
+    """The newest query texts, whole."""
+    dated = queries.where(F.col("QUERY_TEXT").isNotNull())
+    return newest(dated, "QUERY_START_TIME", k, "QUERY_ID").select("QUERY_ID", "QUERY_TYPE", "QUERY_TEXT")
+
+
 def clipped(column: str, shown: int) -> Column:
     """Text cut to ``shown`` characters with dots; the full text stays in its own column."""
     return F.when(F.length(column) > shown, F.concat(F.substring(column, 1, shown), F.lit("..."))).otherwise(F.col(column))

@@ -6,9 +6,9 @@ from datetime import datetime, timezone
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.functions.columns import NUMERIC_FAMILIES, normalise
+from plumbline.functions.columns import NUMERIC_FAMILIES, family, normalise
 from plumbline.functions.sizing import estimated_bytes, local_frame, ratio
 from plumbline.operators.frequency import duplicate_rows, frequency_facts
 from plumbline.operators.scan import TableStats, stats_frame, table_stats
@@ -33,35 +33,43 @@ def snapshot(df: DataFrame, name: str, source_type: str, source_metadata: dict[s
     Booleans count as numeric here.
     """
     stats = table_stats(df, moments=False, constants=False)
-    numeric = (*NUMERIC_FAMILIES, "boolean")
+    cols = [(c.name, c.dtype, c.kind, c.present, c.missing,
+             round(c.missing / stats.rows * 100, 2) if stats.rows else 0.0) for c in stats.columns]
+    return _snapshot_row(df.sparkSession, name, source_type, source_metadata, cols, stats.rows, stats.missing_cells,
+                         estimated_bytes(df))
 
-    def named(kinds: tuple[str, ...]) -> list[list[str]]:
-        return [[c.name for c in stats.columns if c.kind in kinds]]
+
+def snapshot_from_schema(spark: SparkSession, schema: T.StructType, name: str, source_type: str,
+                         row_count: int | None = None, source_metadata: dict[str, str] | None = None) -> DataFrame:
+    """The snapshot of a warehouse table from its schema (and row count, when known), reading
+    no data.  Missing-cell counts are NULL."""
+    cols = [(f.name, f.dataType.simpleString(), family(f.dataType), None, None, None) for f in schema.fields]
+    return _snapshot_row(spark, name, source_type, source_metadata, cols, row_count, None, None)
+
+
+def _snapshot_row(spark: SparkSession, name: str, source_type: str, facts: dict[str, str] | None, cols: list[tuple],
+                  rows: int | None, missing: int | None, size: int | None) -> DataFrame:
+    def named(*kinds: str) -> list[list[str]]:
+        return [[c[0] for c in cols if c[2] in kinds]]
 
     text, count, names = pa.string(), pa.int64(), pa.list_(pa.string())
     column = pa.struct([("name", text), ("data_type", text), ("non_null_count", count), ("null_count", count),
                         ("null_percentage", pa.float64())])
-    return local_frame(df.sparkSession, {
-        "name": (text, [name]), "source_type": (text, [source_type]), "row_count": (count, [stats.rows]),
-        "column_count": (count, [len(stats.columns)]),
+    return local_frame(spark, {
+        "name": (text, [name]), "source_type": (text, [source_type]), "row_count": (count, [rows]),
+        "column_count": (count, [len(cols)]),
         "creation_time": (pa.timestamp("us", tz="UTC"), [datetime.now(timezone.utc)]),
-        "size_bytes": (pa.decimal128(38, 0), [Decimal(estimated_bytes(df))]),
-        "column_names": (names, [[c.name for c in stats.columns]]),
-        "column_types": (pa.map_(text, text), [[(c.name, c.dtype) for c in stats.columns]]),
-        "numeric_columns": (names, named(numeric)),
-        "categorical_columns": (names, named(("string", "nested", "interval"))),
-        "datetime_columns": (names, named(("datetime",))),
-        "total_null_count": (count, [stats.missing_cells]),
-        "columns": (pa.list_(column), [[{
-            "name": c.name, "data_type": c.dtype, "non_null_count": c.present, "null_count": c.missing,
-            "null_percentage": round(c.missing / stats.rows * 100, 2) if stats.rows else 0.0} for c in stats.columns]]),
-        "source_metadata": (pa.map_(text, text), [list((source_metadata or {}).items())])})
-
-
-def snapshot_from_schema(schema: T.StructType, rows: int | None, name: str, source_type: str):
-    """Column metadata of a warehouse table from its schema, without reading data:
-    (name, data_type, row_count) tuples for the caller to store."""
-    return [(name, source_type, f.name, f.dataType.simpleString(), rows) for f in schema.fields]
+        "size_bytes": (pa.decimal128(38, 0), [None if size is None else Decimal(size)]),
+        "column_names": (names, [[c[0] for c in cols]]),
+        "column_types": (pa.map_(text, text), [[(c[0], c[1]) for c in cols]]),
+        "numeric_columns": (names, named(*NUMERIC_FAMILIES, "boolean")),
+        "categorical_columns": (names, named("string", "nested", "interval")),
+        "datetime_columns": (names, named("datetime")),
+        "total_null_count": (count, [missing]),
+        "columns": (pa.list_(column), [[
+            {"name": n, "data_type": t, "non_null_count": p, "null_count": m, "null_percentage": share}
+            for n, t, _, p, m, share in cols]]),
+        "source_metadata": (pa.map_(text, text), [list((facts or {}).items())])})
 
 
 def _mix(columns: list[Column]) -> list[Column]:

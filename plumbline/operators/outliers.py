@@ -153,6 +153,10 @@ def outlier_rows(df: DataFrame, key_cols: list[str], multiplier: float = 1.5,
     stats = stats or table_stats(df, constants=False)
     rails = fences(df, stats, multiplier, **sizes)
     fields = {f.name: as_double(f) for f in numeric_fields(df)}
+    if not rails:
+        return df.where(F.lit(False)).select(
+            *[F.col(k) for k in key_cols], F.lit("").alias("column_name"), F.lit(0.0).alias("value"),
+            F.lit("").alias("direction"), F.lit(0.0).alias("beyond"))
     tests = [outside(fields[r.column], r.lower, r.upper) for r in rails]
     some = F.lit(False)
     for test in tests:
@@ -193,6 +197,8 @@ def box_plot(df: DataFrame, columns: list[str] | None = None, multiplier: float
     slim = df.select(*[f.name for f in fields])
     stats = table_stats(slim, constants=False)
     rails = fences(slim, stats, multiplier, **sizes)
+    if not rails:
+        raise ValueError("no numeric column with values")
     medians = {n: q[0] for n, q in numeric_quantiles(slim, stats, [0.5], **sizes).items()}
     col = {f.name: as_double(f) for f in fields}
     structs = []

@@ -75,7 +75,7 @@ def variable_types(df: DataFrame, stats: TableStats | None = None,
     return stats_frame(df.sparkSession, stats).join(F.broadcast(facts), "position", "left").select(
         "position", "column_name", var_type.alias("var_type"), "total_count", "null_count",
         F.coalesce(ratio(F.col("null_count"), F.col("total_count")) * 100, F.lit(0.0)).alias("missing_percentage"),
-        "present_count", "is_constant", "distinct", "mean", "std", "min_value", "max_value", "mode",
+        "present_count", "is_constant", "distinct", F.col("single").alias("n_unique"), "mean", "std", "min_value", "max_value", "mode",
         "min_length", "max_length",
         ratio(F.col("total_length"), F.col("text_cells")).alias("mean_length"),
         ratio(F.col("total_words"), F.col("text_cells")).alias("mean_words"))

@@ -189,6 +189,12 @@ def recent_reads(spark, sf_dir):
     return L.recent_reads(history(spark, sf_dir), 10, 20).select("QUERY_ID", "USER_NAME", "shown_text")
 
 
+@query("sample_queries", f"""
+SELECT QUERY_ID, QUERY_TYPE, QUERY_TEXT FROM (SELECT * FROM {QUERIES} ORDER BY QUERY_START_TIME DESC, QUERY_ID LIMIT 3)""")
+def sample_queries(spark, sf_dir):
+    return L.sample_queries(history(spark, sf_dir), 3)
+
+
 @query("lineage_daily", f"""
 SELECT strftime(QUERY_START_TIME, '%Y-%m-%d') AS day, QUERY_TYPE, count(*) AS queries FROM {QUERIES} GROUP BY 1, 2""")
 def lineage_daily(spark, sf_dir):

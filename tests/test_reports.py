@@ -157,3 +157,21 @@ def test_recommendations_for_a_bad_table(spark):
     got = recommend.recommendations(profile.profile_columns(df)).collect()
     assert [r["category"] for r in got] == ["data_validation", "data_monitoring"]
     assert got[0]["affected_columns"] == ["a"] and len(got[1]["action_items"]) == 4
+
+
+def test_snapshot_from_schema_compares_with_a_read_one(spark):
+    df = spark.createDataFrame([(1, "a", True)], "x int, y string, b boolean")
+    bare = metadata.snapshot_from_schema(spark, df.schema, "t", "snowflake", row_count=1)
+    assert bare.first()["numeric_columns"] == ["x", "b"]
+    assert bare.schema == metadata.snapshot(df, "t", "file").schema
+    assert diff.simple_changes(bare, metadata.snapshot(df, "t", "file")).count() == 0
+
+
+def test_numbered_nodes_and_all_pairs(spark):
+    rows = [("q1", "INSERT", "insert into t select * from aaa", "2024-01-01"), ("q2", "MERGE", "merge from bbb", "2024-01-02"),
+            ("q3", "UPDATE", "update t", "2024-01-03")]
+    log = spark.createDataFrame(rows, "QUERY_ID string, QUERY_TYPE string, QUERY_TEXT string, QUERY_START_TIME string")
+    read = {tuple(r)[:2] for r in lineage.source_edges(log, "D", "S", "T", numbered=True).collect()}
+    every = {tuple(r)[:2] for r in lineage.source_edges(log, "D", "S", "T", numbered=True, all_pairs=True).collect()}
+    assert read == {("D.S.AAA", "INSERT_3"), ("D.S.BBB", "MERGE_2")}
+    assert every == {(s, n) for s in ("D.S.AAA", "D.S.BBB") for n in ("INSERT_3", "MERGE_2")}

@@ -198,3 +198,15 @@ def test_rolling_blocks_with_a_hot_series_and_null_keys(spark):
     plain = rolling.rolling_zscore(df, "v", ["id"], ["k"], 5).select("id", F.round("z", 9))
     cut = rolling.rolling_zscore(df, "v", ["id"], ["k"], 5, single_window_rows=0, block_rows=17).select("id", F.round("z", 9))
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_tables_without_numbers(spark):
+    df = spark.createDataFrame([("a",), (None,)], "s string")
+    assert outliers.column_outliers(df).count() == 0
+    assert outliers.outlier_rows(df, ["s"]).count() == 0
+    assert anomaly.detect_anomalies(df, ["s"]).count() == 0
+    assert anomaly.anomaly_summary(df).count() == 0
+    assert anomaly.statistical_summary(df).count() == 0
+    assert outliers.outlier_overview(outliers.column_outliers(df), 2, 0).first()["total_outliers"] == 0
+    with pytest.raises(ValueError):
+        outliers.box_plot(df)

@@ -33,20 +33,41 @@ def _typed(field: T.StructField) -> tuple[str, str, str]:
     return groupable_sql(field), no_long, no_double
 
 
+KEYS = {"s": "STRING", "l": "BIGINT", "d": "DOUBLE"}
+# Kinds whose cells are one number; the others need text keys.
+FIXED_WIDTH = ("integer", "boolean", "datetime", "float")
+
+
 def _cells(df: DataFrame, fields: list[tuple[int, T.StructField]], *keep: str) -> DataFrame:
-    """Unpivot to one row per present cell: kept columns, position, s, l, d."""
-    parts = ", ".join(f"{i}, {', '.join(_typed(f))}" for i, f in fields)
-    long = df.selectExpr(*keep, f"stack({len(fields)}, {parts}) AS (position, s, l, d)")
-    return long.where("s IS NOT NULL OR l IS NOT NULL OR d IS NOT NULL")
+    """Unpivot to one row per present cell: kept columns, position, and the keys in use."""
+    fixed = all(family(f.dataType) in FIXED_WIDTH for _, f in fields)
+    used = ["l", "d"] if fixed else list(KEYS)
+    parts = ", ".join(f"{i}, {', '.join(_typed(f)[-len(used):])}" for i, f in fields)
+    long = df.selectExpr(*keep, f"stack({len(fields)}, {parts}) AS (position, {', '.join(used)})")
+    return long.where(" OR ".join(f"{k} IS NOT NULL" for k in used))
+
+
+def _all_keys(df: DataFrame, *rest: str) -> DataFrame:
+    """The same rows with every key column; keys not in use are NULL."""
+    keys = [k if k in df.columns else f"CAST(NULL AS {t}) AS {k}" for k, t in KEYS.items()]
+    return df.selectExpr("position", *keys, *rest)
 
 
 def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per (column, distinct present value): position, s, l, d, cnt."""
+    """One row per (column, distinct present value): position, s, l, d, cnt.
+
+    Numbers, dates and booleans are grouped by fixed-width keys, apart from text.
+    """
     wanted = [(i, f) for i, f in enumerate(df.schema.fields) if columns is None or f.name in columns]
-    if not wanted:
+    groups = [[w for w in wanted if (family(w[1].dataType) in FIXED_WIDTH) == fixed] for fixed in (True, False)]
+    parts = []
+    for fields in filter(None, groups):
+        cells = _cells(df, fields)
+        parts.append(_all_keys(cells.groupBy(*cells.columns).agg(F.expr("count(1) AS cnt")), "cnt"))
+    if not parts:
         return df.sparkSession.range(0).selectExpr(
             "CAST(id AS INT) AS position", "'' AS s", "id AS l", "0.0D AS d", "id AS cnt")
-    return _cells(df, wanted).groupBy("position", "s", "l", "d").agg(F.expr("count(1) AS cnt"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 # The frequency key as text, by the column's own type.
@@ -65,9 +86,26 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
     max_length, total_length, total_words.  ``digests`` adds hash_xor and hash_sum over the
     distinct values.
     """
-    freq = value_frequencies(df, columns)
     meta = stats_frame(df.sparkSession, stats).selectExpr(
         "position", "kind", "dtype", "kind = 'string' AS is_text", "mean", "std")
+    names = [c.name for c in stats.columns if columns is None or c.name in columns]
+    fixed = [n for n in names if stats.by_name(n).kind in FIXED_WIDTH]
+    other = [n for n in names if n not in fixed]
+    parts = [_column_facts(df, meta, part, part is other, z_threshold, digests)
+             for part in (fixed, other) if part or not names]
+    per_column = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    named = per_column.join(F.broadcast(meta.select("position", "kind", "dtype")), "position")
+    return named.selectExpr("*", "top.l", "top.d", "top.s").selectExpr(
+        "position", "distinct", "single", f"{_AS_TEXT} AS mode", "-top.rank AS mode_count",
+        "outliers", "zeros", "negatives", "mixed_case", "edge_space", "numeric_cells",
+        "text_cells", "min_length", "max_length", "total_length", "total_words",
+        *(("hash_xor", "hash_sum") if digests else ()))
+
+
+def _column_facts(df: DataFrame, meta: DataFrame, columns: list[str], by_case: bool, z_threshold: float,
+                  digests: bool) -> DataFrame:
+    """Facts of some columns from their frequencies; ``by_case`` groups text by lower case first."""
+    freq = value_frequencies(df, columns)
     typed = freq.join(F.broadcast(meta), "position").selectExpr(  # meta: one row per column of the table
         "position", "is_text", "s", "l", "d", "cnt", "CASE WHEN is_text THEN lower(s) END AS folded",
         "coalesce(d, CASE WHEN kind = 'integer' THEN CAST(l AS DOUBLE) END) AS v", "mean", "std")
@@ -84,27 +122,28 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
         "total_length": "sum(CASE WHEN is_text THEN length(s) * cnt END)",
         "total_words": r"sum(CASE WHEN is_text THEN size(filter(split(s, r'(?U)\s+'), w -> w <> '')) * cnt END)",
     }
+    if not by_case:  # no text here
+        text_aggs = {"edge_space": "CAST(NULL AS BOOLEAN)", "numeric_cells": "0L", "text_cells": "0L",
+                     "min_length": "CAST(NULL AS INT)", "max_length": "CAST(NULL AS INT)",
+                     "total_length": "CAST(NULL AS BIGINT)", "total_words": "CAST(NULL AS BIGINT)"}
     # each distinct value has one of l, d, s, so the kind of key is part of its hash
     hashed = "xxhash64(l, d, s, CASE WHEN l IS NOT NULL THEN 1 WHEN s IS NOT NULL THEN 2 ELSE 3 END)"
     marks = {"hash_xor": f"bit_xor({hashed})", "hash_sum": f"sum(CAST({hashed} AS DECIMAL(38,0)))"} if digests else {}
-    by_case = typed.groupBy("position", "folded").agg(*map(F.expr, (
+    first = typed.groupBy("position", *(["folded"] if by_case else [])).agg(*map(F.expr, (
         "count(1) AS distinct", "count_if(cnt = 1) AS single",
         "min(named_struct('rank', -cnt, 'l', l, 'd', d, 's', s)) AS top",
         f"{cells(f'abs(try_divide(v - mean, std)) > {number(float(z_threshold))}')} AS outliers",
         f"{cells('v = 0')} AS zeros", f"{cells('v < 0')} AS negatives",
         *[f"{agg} AS {name}" for name, agg in (text_aggs | marks).items()])))
-    per_column = by_case.groupBy("position").agg(*map(F.expr, (
+    if not by_case:
+        return first.withColumn("mixed_case", F.lit(False))
+    return first.groupBy("position").agg(*map(F.expr, (
         "sum(distinct) AS distinct", "sum(single) AS single", "min(top) AS top",
         "max(folded IS NOT NULL AND distinct > 1) AS mixed_case", "max(edge_space) AS edge_space",
         "min(min_length) AS min_length", "max(max_length) AS max_length",
         *(("bit_xor(hash_xor) AS hash_xor", "sum(hash_sum) AS hash_sum") if digests else ()),
         *[f"sum({c}) AS {c}" for c in ("outliers", "zeros", "negatives", "numeric_cells", "text_cells",
                                        "total_length", "total_words")])))
-    named = per_column.join(F.broadcast(meta.select("position", "kind", "dtype")), "position")
-    return named.selectExpr("*", "top.l", "top.d", "top.s").selectExpr(
-        "position", "distinct", "single", f"{_AS_TEXT} AS mode", "-top.rank AS mode_count",
-        "outliers", "zeros", "negatives", "mixed_case", "edge_space", "numeric_cells",
-        "text_cells", "min_length", "max_length", "total_length", "total_words", *marks)
 
 
 def sample_values(df: DataFrame, k: int = 5, order_col: str | None = None) -> DataFrame:
@@ -122,7 +161,8 @@ def sample_values(df: DataFrame, k: int = 5, order_col: str | None = None) -> Da
     if order_col is None:
         cells, order = value_frequencies(df), ["l", "d", "s"]
     else:
-        cells, order = _cells(df, fields, f"{quoted(order_col)} AS __at"), ["__at"]
+        cells = _all_keys(_cells(df, fields, f"{quoted(order_col)} AS __at"), "__at")
+        order = ["__at"]
     ranked = cells.withColumn("rank", F.row_number().over(W.partitionBy("position").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).join(F.broadcast(about), "position").selectExpr(
         "column_name", "rank", f"{_AS_TEXT} AS value")

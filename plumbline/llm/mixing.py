@@ -137,3 +137,34 @@ class Mixture:
             taken.select(F.col("source_no").alias("s"), F.col("begin").alias("b"), "taken"),
             (F.col("source_no") == F.col("s")) & (F.col("at") == F.col("b")), "left").select(
             "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as rows of ``docs``: one per document and pass that takes words of it, with the words taken as text.
+
+    A pass that takes the whole document keeps its text as it is; otherwise the taken words follow
+    one another, joined by spaces.  A document of which nothing is taken, or without words, has no row.
+    """
+    mixture = Mixture(docs, **options)
+    takes = (mixture.pieces.groupBy("source_no", "begin").agg(
+        F.sort_array(F.collect_list(F.struct("from", "words", "times"))).alias("_takes"), F.max("times").alias("_most"))
+        .join(mixture.placed.where("size > 0").select("doc_id", "source", "text_hash", "size", "source_no", "begin"), ["source_no", "begin"])
+        .select(F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_text_hash"),
+                F.col("size").alias("_size"), "_takes", F.explode(F.sequence(F.lit(1).cast("long"), "_most")).alias("_pass")))
+    repeated = settle(mixture.placed.groupBy("doc_id", "source", "text_hash").agg(F.count("*").alias("_n")).where("_n > 1").select(
+        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_text_hash")))
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_text_hash"))
+    n = repeated.count()
+    if n:  # rows alike in all of this stand once, and each of their places in the stream is joined to that row
+        few = bounded(repeated, n)
+        keyed = keyed.join(few, same, "left_anti").unionByName(
+            keyed.join(few, same, "left_semi").dropDuplicates(["doc_id", "source", "_hash"]))
+    taken = F.filter("_takes", lambda t: t["times"] >= F.col("_pass"))
+    whole = F.aggregate(taken, F.lit(0).cast("long"), lambda s, t: s + t["words"]) == F.col("_size")
+    cut = F.array_join(F.flatten(F.transform(taken, lambda t: F.slice(
+        F.col("_words"), (t["from"] + 1).cast("int"), t["words"].cast("int")))), " ")
+    return (keyed.join(takes, same).withColumn("_whole", whole)
+            .withColumn("_words", F.when(~F.col("_whole"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+            .withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(cut))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.llm import histogram_sort, lang_mixture, mixing, packing, pu_quality
+from plumbline.functions.sizing import settle
+from plumbline.llm import (
+    chosen_path, collision, histogram_sort, lang_mixture, markov_secrets, mixing, multi_index, packing,
+    pii_crf, pu_quality,
+)
 from plumbline.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +45,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op3_skip_chain_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return pii_crf.personal_data(docs, pii_crf.fit(docs))
+
+
 @query("op4_histogram_sort")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -56,8 +66,47 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(documents(spark, sf_dir)).taken()
 
 
+@query("op6_chosen_path")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
+
+
+@query("op7_collision_counting")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
+
+
+@query("op8_markov_secrets")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = markov_secrets.candidates(documents(spark, sf_dir).select("doc_id", "text"))
+    slim = settle(markov_secrets.identifiers(found).drop("text"))
+    told = markov_secrets.with_spans(slim, markov_secrets.train(slim))
+    counts = [markov_secrets.count_of(F.col("_base"), k).alias(f"n_{kind}") for k, kind in enumerate(markov_secrets.KINDS[:3])]
+    return told.select("doc_id", *counts, F.sha2(markov_secrets.written(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+                       markov_secrets.written(F.col("_spans")).alias("spans"))
+
+
+@query("op9_multi_index", """
+    WITH codes AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+                   FROM embeddings WHERE len(embedding) = 64),
+    pairs AS (SELECT q.vec_id AS query_id, a.vec_id AS neighbor_id, CAST(list_sum(list_transform(
+                  range(1, 65), i -> CASE WHEN q.bits[i] = a.bits[i] THEN 0 ELSE 1 END)) AS INTEGER) AS distance
+              FROM codes q JOIN codes a ON q.vec_id <> a.vec_id WHERE q.vec_id % 100 = 0),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
+    SELECT query_id, neighbor_id, distance, rank FROM ranked WHERE rank <= 10""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return multi_index.nearest_codes(vectors, vectors.where("vec_id % 100 = 0"), bits=64, k=10)
+
+
 @query("op10_language_mixture")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return lang_mixture.with_languages(docs.select("doc_id", "text"), lang_mixture.fit(docs)).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)

@@ -7,6 +7,7 @@ columns; there is no row index.
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass
 
@@ -83,20 +84,25 @@ def spreads(df: DataFrame, columns: list[str] | None = None, methods=METHODS, **
                    mads.get(c.name)) for c in stats]
 
 
+def _spread(width: float | None) -> bool:
+    """Whether a width can measure distances: there, not zero, and finite (infinite values leave none)."""
+    return width is not None and width != 0 and math.isfinite(width)
+
+
 def score(value: Column, s: Spread, method: str, limits: Thresholds) -> Column | None:
     """The anomaly score, NULL for normal values; None when the method finds no spread."""
     if method == "zscore":
-        if not s.std:
+        if not _spread(s.std) or not math.isfinite(s.mean):
             return None
         z = F.abs((value - s.mean) / s.std)
         return F.when(z > limits.z, z)
     if method == "modified_zscore":
-        if not s.mad:
+        if not _spread(s.mad):
             return None
         z = F.abs(MODIFIED_Z_FACTOR * (value - s.median) / s.mad)
         return F.when(z > limits.modified_z, z)
     if method == "iqr":
-        if s.q3 - s.q1 == 0:
+        if not _spread(s.q3 - s.q1):
             return None
         low, high = s.bounds(limits.iqr_multiplier)
         unit = s.q3 - s.q1

@@ -115,7 +115,8 @@ def _details(c: Column) -> Column:
     """Detail changes of one column present on both sides."""
     mean1, mean2 = c["old"]["mean_value"], c["new"]["mean_value"]
     u1, u2 = c["old"]["unique_count"], c["new"]["unique_count"]
-    mean_pct = F.when(mean1 != 0, F.abs(F.try_divide(mean2 - mean1, mean1) * 100)).otherwise(0.0)
+    finite = (F.abs(mean1) < float("inf")) & (F.abs(mean2) < float("inf"))  # NaN is above infinity
+    mean_pct = F.when(finite & (mean1 != 0), F.abs(F.try_divide(mean2 - mean1, mean1) * 100)).otherwise(0.0)
     unique_pct = F.when(u1 > 0, F.abs(ratio(u2 - u1, u1) * 100)).otherwise(0.0)
 
     def detail(test: Column, kind: str, text: Column, amount: Column) -> Column:

@@ -71,6 +71,8 @@ def value_frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 # The frequency key as text, by the column's own type.
+_TIME_TEXT = """CASE WHEN dtype = 'date' THEN CAST(date_from_unix_date(CAST({0} AS INT)) AS STRING)
+  WHEN kind = 'datetime' THEN CAST(timestamp_micros({0}) AS STRING) END"""
 _AS_TEXT = """CASE WHEN kind = 'boolean' THEN CASE WHEN l = 1 THEN 'true' ELSE 'false' END
   WHEN dtype = 'date' THEN CAST(date_from_unix_date(CAST(l AS INT)) AS STRING)
   WHEN kind = 'datetime' THEN CAST(timestamp_micros(l) AS STRING)
@@ -81,13 +83,14 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
                     z_threshold: float = 2.0, digests: bool = False) -> DataFrame:
     """One row per column that has a value.
 
-    position, distinct, single (values seen once), mode, mode_count, outliers (z-score),
-    zeros, negatives, mixed_case, edge_space, numeric_cells, text_cells, min_length,
+    position, distinct, single (values seen once), mode, mode_count, first_time, last_time (dates
+    as text), outliers (z-score), zeros, negatives, mixed_case, edge_space, numeric_cells, text_cells, min_length,
     max_length, total_length, total_words.  ``digests`` adds hash_xor and hash_sum over the
     distinct values.
     """
     meta = stats_frame(df.sparkSession, stats).selectExpr(
-        "position", "kind", "dtype", "kind = 'string' AS is_text", "mean", "std")
+        "position", "kind", "dtype", "kind = 'string' AS is_text", "mean",
+        "CASE WHEN abs(std) < double('infinity') THEN std END AS std")  # NaN is above infinity: no score without a finite spread
     names = [c.name for c in stats.columns if columns is None or c.name in columns]
     fixed = [n for n in names if stats.by_name(n).kind in FIXED_WIDTH]
     other = [n for n in names if n not in fixed]
@@ -97,6 +100,7 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
     named = per_column.join(F.broadcast(meta.select("position", "kind", "dtype")), "position")
     return named.selectExpr("*", "top.l", "top.d", "top.s").selectExpr(
         "position", "distinct", "single", f"{_AS_TEXT} AS mode", "-top.rank AS mode_count",
+        f"{_TIME_TEXT.format('low_l')} AS first_time", f"{_TIME_TEXT.format('high_l')} AS last_time",
         "outliers", "zeros", "negatives", "mixed_case", "edge_space", "numeric_cells",
         "text_cells", "min_length", "max_length", "total_length", "total_words",
         *(("hash_xor", "hash_sum") if digests else ()))
@@ -131,14 +135,14 @@ def _column_facts(df: DataFrame, meta: DataFrame, columns: list[str], by_case: b
     marks = {"hash_xor": f"bit_xor({hashed})", "hash_sum": f"sum(CAST({hashed} AS DECIMAL(38,0)))"} if digests else {}
     first = typed.groupBy("position", *(["folded"] if by_case else [])).agg(*map(F.expr, (
         "count(1) AS distinct", "count_if(cnt = 1) AS single",
-        "min(named_struct('rank', -cnt, 'l', l, 'd', d, 's', s)) AS top",
+        "min(named_struct('rank', -cnt, 'l', l, 'd', d, 's', s)) AS top", "min(l) AS low_l", "max(l) AS high_l",
         f"{cells(f'abs(try_divide(v - mean, std)) > {number(float(z_threshold))}')} AS outliers",
         f"{cells('v = 0')} AS zeros", f"{cells('v < 0')} AS negatives",
         *[f"{agg} AS {name}" for name, agg in (text_aggs | marks).items()])))
     if not by_case:
         return first.withColumn("mixed_case", F.lit(False))
     return first.groupBy("position").agg(*map(F.expr, (
-        "sum(distinct) AS distinct", "sum(single) AS single", "min(top) AS top",
+        "sum(distinct) AS distinct", "sum(single) AS single", "min(top) AS top", "min(low_l) AS low_l", "max(high_l) AS high_l",
         "max(folded IS NOT NULL AND distinct > 1) AS mixed_case", "max(edge_space) AS edge_space",
         "min(min_length) AS min_length", "max(max_length) AS max_length",
         *(("bit_xor(hash_xor) AS hash_xor", "sum(hash_sum) AS hash_sum") if digests else ()),

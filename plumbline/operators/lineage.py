@@ -1,19 +1,22 @@
 """Table lineage from object dependencies, query history and DDL history.
 
 Nodes and edges are DataFrames.  Source tables are found in query text by a documented
-heuristic, in column expressions: after every FROM, up to WHERE, GROUP, ORDER or JOIN, the
-first acceptable of the first three words.
+heuristic, in column expressions: every item of the list after a FROM or JOIN, up to the next
+clause, gives its first word; a subquery is read at its own FROM.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+# Statement types, words that are no tables, the slow-query bound.
 MODIFYING = ["INSERT", "UPDATE", "MERGE", "CREATE_TABLE_AS_SELECT", "CREATE_TABLE"]
 TRANSFORMING = ["CREATE_TABLE_AS_SELECT", "INSERT", "MERGE"]
 EVENT_TRANSFORMS = ["INSERT", "UPDATE", "MERGE", "CREATE_TABLE_AS_SELECT", "DELETE"]
 KEYWORDS = ["SELECT", "DISTINCT", "TOP", "ALL"]
 SLOW_MS = 10000
+PAIR_ROWS = 1000  # transformations up to which nodes may be numbered or paired with every source
+CLAUSES = "WHERE|GROUP|ORDER|HAVING|LIMIT|QUALIFY|WINDOW|UNION|INTERSECT|EXCEPT|ON|USING|WHEN"
 
 
 def _same(column: str, text: str) -> Column:
@@ -47,19 +50,18 @@ def newest(df: DataFrame, time_column: str, limit: int | None, *ties: str) -> Da
 
 
 def table_queries(history: DataFrame, database: str, schema: str, table: str, as_of=None,
-                  limit: int | None = 50) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Successful queries of 90 days that create or modify the table, or slow reads of it."""
     kind = F.col("QUERY_TYPE")
     touches = (_contains("INTO", table) | _contains("UPDATE", table) | _contains("TABLE", table)
                | _contains(f"{database}.{schema}.{table}"))
     wanted = ((kind.isin(MODIFYING) & touches)
-              | ((kind == "CREATE_TABLE_AS_SELECT") & _contains("CREATE", "TABLE", table + "%AS", "SELECT"))
               | ((kind == "SELECT") & (F.col("TOTAL_ELAPSED_TIME") > SLOW_MS) & _contains("FROM", table)))
     found = history.where(_recent("QUERY_START_TIME", 90, as_of) & (F.col("EXECUTION_STATUS") == "SUCCESS") & wanted)
     return newest(found.withColumn("SOURCE_VIEW", F.lit("QUERY_HISTORY")), "QUERY_START_TIME", limit, "QUERY_ID")
 
 
-def table_queries_simple(history: DataFrame, table: str, as_of=None, limit: int | None = 30) -> DataFrame:
+def table_queries_simple(history: DataFrame, table: str, as_of=None, limit: int | None = None) -> DataFrame:
     """Fallback: any successful query of 30 days that names the table."""
     kinds = ["INSERT", "UPDATE", "CREATE_TABLE_AS_SELECT", "SELECT", "MERGE"]
     found = history.where(_recent("QUERY_START_TIME", 30, as_of) & (F.col("EXECUTION_STATUS") == "SUCCESS")
@@ -68,7 +70,7 @@ def table_queries_simple(history: DataFrame, table: str, as_of=None, limit: int
 
 
 def ddl_history(ddl: DataFrame, database: str, schema: str, table: str, as_of=None,
-                limit: int | None = 50) -> DataFrame:
+                limit: int | None = None) -> DataFrame:
     """CREATE, ALTER and DROP of the table in 90 days."""
     found = ddl.where(_same("DATABASE_NAME", database) & _same("SCHEMA_NAME", schema) & _same("OBJECT_NAME", table)
                       & _recent("EXECUTION_TIME", 90, as_of) & F.col("DDL_ACTION").isin("CREATE", "ALTER", "DROP")
@@ -77,7 +79,7 @@ def ddl_history(ddl: DataFrame, database: str, schema: str, table: str, as_of=No
 
 
 def ddl_from_queries(history: DataFrame, database: str, schema: str, table: str, as_of=None,
-                     limit: int | None = 20) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     """DDL rows classified from query text, where no DDL history exists."""
     verbs = ("CREATE", "ALTER", "DROP")
     action = F.coalesce(*[F.when(_contains(v, "TABLE"), v) for v in verbs], F.lit("UNKNOWN"))
@@ -98,30 +100,42 @@ def combine(deps: DataFrame, queries: DataFrame, ddl: DataFrame) -> DataFrame:
     return deps.unionByName(queries, allowMissingColumns=True).unionByName(ddl, allowMissingColumns=True)
 
 
-def source_tables(text: Column, database: str, schema: str, table: str, joins: bool = False,
-                  whole_words: bool = False) -> Column:
+def source_tables(text: Column, database: str, schema: str, table: str, first_only: bool = False) -> Column:
     """Source tables named in query text, in order of appearance, without repeats.
 
-    ``whole_words`` cuts only at whole keywords (the default also cuts inside names such as
-    ORDERS); ``joins`` also reads the table after JOIN.
+    Every table of a comma list and every joined table counts.  ``first_only`` reads less: after each
+    FROM, cut also inside longer names, only the first acceptable of the first three words.
     """
     center = f"{database}.{schema}.{table}"
-    edge = r"\b" if whole_words else ""
-    lead = rf"{edge}(?:FROM|JOIN){edge}" if joins else rf"{edge}FROM{edge}"
-    stop = rf"(?s){edge}(?:WHERE|GROUP|ORDER|JOIN){edge}.*$"
-    parts = F.split(F.upper(text), lead)
+    parts = F.split(F.upper(text), "FROM" if first_only else r"\b(?:FROM|JOIN)\b")
     parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
+    def named(word: Column) -> Column:
+        bare = F.regexp_replace(word, "[\"';]", "")
+        return F.when(bare.contains("."), F.when(F.length(bare) > 3, bare)).otherwise(F.when(
+            (F.length(bare) > 2) & ~bare.rlike("^[0-9]+$"), F.concat(F.lit(f"{database}.{schema}."), bare)))
+
+    def words(part: Column) -> Column:
+        return F.filter(F.split(F.regexp_replace(part, r"[,()]", " "), r"\s+"), lambda w: w != "")
+
     def first_table(part: Column) -> Column:
-        cut = F.regexp_replace(part, stop, "")
-        words = F.filter(F.split(F.regexp_replace(cut, r"[,()]", " "), r"\s+"), lambda w: w != "")
-        bare = F.transform(F.filter(F.slice(words, 1, 3), lambda w: ~w.isin(KEYWORDS)),
-                           lambda w: F.regexp_replace(w, "[\"';]", ""))
-        named = F.transform(bare, lambda w: F.when(w.contains("."), F.when(F.length(w) > 3, w)).otherwise(
-            F.when((F.length(w) > 2) & ~w.rlike("^[0-9]+$"), F.concat(F.lit(f"{database}.{schema}."), w))))
-        return F.get(F.filter(named, lambda w: w.isNotNull() & (w != center)), F.lit(0))
+        cut = F.regexp_replace(part, "(?s)(?:WHERE|GROUP|ORDER|JOIN).*$", "")
+        wanted = F.transform(F.filter(F.slice(words(cut), 1, 3), lambda w: ~w.isin(KEYWORDS)), named)
+        return F.slice(F.filter(wanted, lambda w: w.isNotNull() & (w != center)), 1, 1)
+
+    def every_table(part: Column) -> Column:
+        cut = F.regexp_replace(part, rf"(?s)\b(?:{CLAUSES})\b.*$", "")
+        items = F.when(cut.rlike(r"^\s*\(\s*SELECT\b"), F.array().cast("array<string>")).otherwise(F.split(cut, ","))
+        heads = F.filter(F.transform(items, lambda i: F.get(words(i), F.lit(0))), lambda w: ~w.isin(KEYWORDS))
+        return F.filter(F.transform(heads, named), lambda w: w.isNotNull() & (w != center))
+
+    return F.array_distinct(F.flatten(F.transform(parts, first_table if first_only else every_table)))
+
 
-    return F.array_distinct(F.array_compact(F.transform(parts, first_table)))
+def _few(rows: DataFrame) -> None:
+    """Refuse a history that a numbered or paired report cannot hold; give the history a limit first."""
+    if rows.limit(PAIR_ROWS + 1).count() > PAIR_ROWS:
+        raise ValueError(f"more than {PAIR_ROWS} transformations: limit the history for numbered nodes or all pairs")
 
 
 def _node(queries: DataFrame, numbered: bool) -> DataFrame:
@@ -132,6 +146,8 @@ def _node(queries: DataFrame, numbered: bool) -> DataFrame:
     """
     kind = F.col("QUERY_TYPE")
     changed = queries.where(kind.isin(*TRANSFORMING, "UPDATE"))
+    if numbered:
+        _few(changed)
     mark = F.row_number().over(W.orderBy(F.desc("QUERY_START_TIME"), "QUERY_ID")).cast("string") if numbered \
         else F.col("QUERY_ID")
     return changed.withColumn("node", F.concat(kind, F.lit("_"), mark))
@@ -141,12 +157,13 @@ def source_edges(queries: DataFrame, database: str, schema: str, table: str, all
                  numbered: bool = False, **text) -> DataFrame:
     """Edges from source tables to the transformations that read them.
 
-    ``all_pairs`` joins every source to every transformation; use it on limited histories.
+    ``all_pairs`` joins every source to every transformation; longer histories are refused.
     """
     nodes = _node(queries, numbered).where(F.col("QUERY_TYPE").isin(TRANSFORMING))
     found = nodes.select("node", F.explode(source_tables(
         F.col("QUERY_TEXT"), database, schema, table, **text)).alias("source"))
     if all_pairs:
+        _few(nodes)
         found = found.select("source").distinct().crossJoin(nodes.select("node"))
     return found.select("source", F.col("node").alias("target"), F.lit("feeds_into").alias("relationship")).distinct()
 

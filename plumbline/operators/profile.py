@@ -64,8 +64,7 @@ def variable_types(df: DataFrame, stats: TableStats | None = None,
                    categorical_max_distinct: int = CATEGORICAL_MAX_DISTINCT) -> DataFrame:
     """One row per column with its profiling type and the facts shown beside it."""
     stats = stats or table_stats(df)
-    texts = [c.name for c in stats.columns if c.kind in ("string", "boolean")]
-    facts = frequency_facts(df, stats, columns=texts)
+    facts = frequency_facts(df, stats)
     kind = F.col("kind")
     var_type = (F.when(F.col("present_count") == 0, "Unsupported")
                 .when(kind.isin("integer", "float", "decimal"), "Numeric")
@@ -75,7 +74,8 @@ def variable_types(df: DataFrame, stats: TableStats | None = None,
     return stats_frame(df.sparkSession, stats).join(F.broadcast(facts), "position", "left").select(
         "position", "column_name", var_type.alias("var_type"), "total_count", "null_count",
         F.coalesce(ratio(F.col("null_count"), F.col("total_count")) * 100, F.lit(0.0)).alias("missing_percentage"),
-        "present_count", "is_constant", "distinct", F.col("single").alias("n_unique"), "mean", "std", "min_value", "max_value", "mode",
+        "present_count", "is_constant", F.coalesce("distinct", F.lit(0)).alias("distinct"),
+        F.coalesce("single", F.lit(0)).alias("n_unique"), "first_time", "last_time", "mean", "std", "min_value", "max_value", "mode",
         "min_length", "max_length",
         ratio(F.col("total_length"), F.col("text_cells")).alias("mean_length"),
         ratio(F.col("total_words"), F.col("text_cells")).alias("mean_words"))

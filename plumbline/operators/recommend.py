@@ -66,7 +66,7 @@ def recommendation_summary(recs: DataFrame) -> DataFrame:
 def column_facts_text(types: DataFrame) -> DataFrame:
     """One fact text per column from ``variable_types`` output: position, column_name, facts."""
     rows, miss = F.col("total_count"), F.col("missing_percentage")
-    distinct = F.coalesce("distinct", F.lit(0))
+    distinct = F.col("distinct")
     unique_pct = F.coalesce(ratio(distinct, rows) * 100, F.lit(0.0))
     kind = F.col("var_type")
 
@@ -78,16 +78,15 @@ def column_facts_text(types: DataFrame) -> DataFrame:
         line("Column: ", F.col("column_name")),
         line("  - Data Type: ", kind),
         line("  - Missing Values: ", F.col("null_count").cast("string"), " (", fixed(miss, 1), "%)"),
-        F.when(F.col("distinct").isNotNull(), line(
-            "  - Unique Values: ", distinct.cast("string"), " (", fixed(unique_pct, 1), "%)")),
+        line("  - Unique Values: ", distinct.cast("string"), " (", fixed(unique_pct, 1), "%)"),
         F.when(numeric, line("  - Range: ", fixed(F.col("min_value"), 2), " to ", fixed(F.col("max_value"), 2))),
         F.when(numeric, line("  - Mean: ", fixed(F.col("mean"), 2))),
         F.when(numeric, line("  - Std Dev: ", fixed(F.col("std"), 2))),
         F.when(textual, line("  - Most Frequent: ", F.col("mode"))),
         F.when(textual, line("  - Avg Length: ", fixed(F.col("mean_words"), 2))),
+        F.when(kind == "DateTime", line("  - Date Range: ", F.col("first_time"), " to ", F.col("last_time"))),
         F.when(miss > 10, line("  ! HIGH MISSING RATE (", fixed(miss, 1), "%)")),
-        F.when(F.col("distinct").isNotNull() & (unique_pct > 90), line(
-            "  ! HIGH CARDINALITY (", fixed(unique_pct, 1), "% unique)")),
+        F.when(unique_pct > 90, line("  ! HIGH CARDINALITY (", fixed(unique_pct, 1), "% unique)")),
         F.when(kind == "Unsupported", F.lit("  ! UNSUPPORTED DATA TYPE"))))
     return types.select("position", "column_name", F.concat_ws("\n", lines).alias("facts"))
 
@@ -135,11 +134,14 @@ def profile_context(summary: DataFrame, distribution: DataFrame) -> DataFrame:
         fixed(F.col("duplicate_percentage"), 1), F.lit("%\nVariable types: "), F.col("types")).alias("context"))
 
 
-def detailed_context(types: DataFrame, shown: int = 5) -> DataFrame:
-    """One line for each of the first variables: name, type, missing and distinct counts."""
-    return types.where(F.col("position") < shown).select("position", F.concat(
-        F.lit("- "), "column_name", F.lit(": "), "var_type", F.lit(", "), F.col("null_count").cast("string"),
-        F.lit(" missing, "), F.coalesce(F.col("distinct").cast("string"), F.lit("?")), F.lit(" unique values")).alias("line"))
+def detailed_context(types: DataFrame, summary: DataFrame, distribution: DataFrame, shown: int = 5) -> DataFrame:
+    """One row: the dataset header of ``profile_context`` and a line for each of the first variables."""
+    line = F.concat(F.lit("- "), "column_name", F.lit(": "), "var_type", F.lit(", "), F.col("null_count").cast("string"),
+                    F.lit(" missing, "), F.col("distinct").cast("string"), F.lit(" unique values"))
+    lines = types.where(F.col("position") < shown).agg(F.transform(  # at most ``shown`` entries
+        F.array_sort(F.collect_list(F.struct("position", line.alias("t")))), lambda s: s["t"]).alias("lines"))
+    return profile_context(summary, distribution).crossJoin(F.broadcast(lines)).select(  # one row each
+        F.concat_ws("\n", "context", "lines").alias("context"))
 
 
 def outlier_context(outliers: DataFrame, rows: int) -> DataFrame:

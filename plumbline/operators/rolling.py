@@ -50,7 +50,8 @@ def rolling_zscore(df: DataFrame, value: str, order_cols: list[str], series_cols
             measured = measured.join(lengths, same)
         else:
             measured = measured.crossJoin(F.broadcast(sizes))  # one row
-    ok = (F.col("__n") == window) & (F.col("__len") >= 2 * window)
+    # a window that holds an infinite value has no finite spread and no score
+    ok = (F.abs("__std") < float("inf")) & (F.col("__n") == window) & (F.col("__len") >= 2 * window)
     z = F.abs(ratio(F.col("__v") - F.col("__mean"), F.col("__std")))
     return measured.select(*names, F.col("__v").alias(value),
                            F.when(ok, F.col("__mean")).alias("rolling_mean"),

@@ -19,23 +19,29 @@ DEPS = f"""(SELECT * FROM {sql('dependency_log')} d WHERE TARGET_TYPE = 'TABLE'
 QUERIES = f"""(SELECT *, 'QUERY_HISTORY' AS SOURCE_VIEW FROM {sql('query_log')} q WHERE QUERY_START_TIME >= {SINCE} AND EXECUTION_STATUS = 'SUCCESS' AND (
   (QUERY_TYPE IN ('INSERT', 'UPDATE', 'MERGE', 'CREATE_TABLE_AS_SELECT', 'CREATE_TABLE') AND ({UP} LIKE '%INTO%{TABLE}%'
      OR {UP} LIKE '%UPDATE%{TABLE}%' OR {UP} LIKE '%TABLE%{TABLE}%' OR {UP} LIKE '%{DB}.{SCHEMA}.{TABLE}%'))
-  OR (QUERY_TYPE = 'CREATE_TABLE_AS_SELECT' AND {UP} LIKE '%CREATE%TABLE%{TABLE}%AS%SELECT%')
   OR (QUERY_TYPE = 'SELECT' AND TOTAL_ELAPSED_TIME > 10000 AND {UP} LIKE '%FROM%{TABLE}%')))"""
 DDL = f"""(SELECT *, 'DDL_HISTORY' AS SOURCE_VIEW FROM {sql('ddl_log')} d WHERE upper(DATABASE_NAME) = '{DB}' AND upper(SCHEMA_NAME) = '{SCHEMA}'
   AND upper(OBJECT_NAME) = '{TABLE}' AND EXECUTION_TIME >= TIMESTAMP '1998-01-01' - INTERVAL 90 DAY
   AND DDL_ACTION IN ('CREATE', 'ALTER', 'DROP') AND OBJECT_TYPE = 'TABLE')"""
 DDL_AS_OF = "1998-01-01 00:00:00"
 
-# one row per (query, first acceptable word after a FROM)
-SOURCES = f"""(SELECT DISTINCT QUERY_ID, QUERY_TYPE, named[1] AS source FROM (
-  SELECT QUERY_ID, QUERY_TYPE, list_filter(list_transform(list_filter(list_filter(regexp_split_to_array(
-      regexp_replace(regexp_replace(part, '(?s)(WHERE|GROUP|ORDER|JOIN).*$', ''), '[,()]', ' ', 'g'), '\\s+'), lambda w: w <> '')[1:3],
-      lambda w: w NOT IN ('SELECT', 'DISTINCT', 'TOP', 'ALL')),
-      lambda w: CASE WHEN contains(w, '.') THEN CASE WHEN length(regexp_replace(w, '["'';]', '', 'g')) > 3 THEN regexp_replace(w, '["'';]', '', 'g') END
-        WHEN length(regexp_replace(w, '["'';]', '', 'g')) > 2 AND NOT regexp_matches(w, '^[0-9]+$') THEN '{DB}.{SCHEMA}.' || regexp_replace(w, '["'';]', '', 'g') END),
-      lambda w: w IS NOT NULL AND w <> {CENTER}) AS named
-  FROM (SELECT QUERY_ID, QUERY_TYPE, unnest(string_split({UP}, 'FROM')[2:]) AS part FROM {QUERIES} q
-    WHERE QUERY_TYPE IN ('CREATE_TABLE_AS_SELECT', 'INSERT', 'MERGE'))) WHERE named[1] IS NOT NULL)"""
+PARTS = f"""(SELECT QUERY_ID, QUERY_TYPE, unnest({{split}}[2:]) AS part FROM {QUERIES} q
+    WHERE QUERY_TYPE IN ('CREATE_TABLE_AS_SELECT', 'INSERT', 'MERGE'))"""
+NAMED = f"""CASE WHEN contains(w, '.') THEN CASE WHEN length(w) > 3 THEN w END
+    WHEN length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') THEN '{DB}.{SCHEMA}.' || w END"""
+# one row per (query, table in a list after FROM or JOIN)
+SOURCES = rf"""(SELECT DISTINCT QUERY_ID, QUERY_TYPE, {NAMED} AS source FROM (
+  SELECT QUERY_ID, QUERY_TYPE, regexp_replace(regexp_extract(regexp_replace(item, '[()]', ' ', 'g'), '\S+'), '["'';]', '', 'g') AS w
+  FROM (SELECT QUERY_ID, QUERY_TYPE, unnest(string_split(regexp_replace(part, '(?s)\b(WHERE|GROUP|ORDER|HAVING|LIMIT|QUALIFY|WINDOW|UNION|INTERSECT|EXCEPT|ON|USING|WHEN)\b.*$', ''), ',')) AS item
+    FROM {PARTS.format(split=rf"regexp_split_to_array({UP}, '\b(?:FROM|JOIN)\b')")} WHERE NOT regexp_matches(part, '^\s*\(\s*SELECT\b')))
+  WHERE w NOT IN ('SELECT', 'DISTINCT', 'TOP', 'ALL') AND {NAMED} IS NOT NULL AND {NAMED} <> {CENTER})"""
+# one row per (query, first acceptable of three words after a FROM)
+FIRST_SOURCES = rf"""(SELECT DISTINCT QUERY_ID, QUERY_TYPE, named[1] AS source FROM (
+  SELECT QUERY_ID, QUERY_TYPE, list_filter(list_transform(list_transform(list_filter(list_filter(regexp_split_to_array(
+      regexp_replace(regexp_replace(part, '(?s)(WHERE|GROUP|ORDER|JOIN).*$', ''), '[,()]', ' ', 'g'), '\s+'), lambda x: x <> '')[1:3],
+      lambda x: x NOT IN ('SELECT', 'DISTINCT', 'TOP', 'ALL')), lambda x: regexp_replace(x, '["'';]', '', 'g')), lambda w: {NAMED}),
+      lambda x: x IS NOT NULL AND x <> {CENTER}) AS named
+  FROM {PARTS.format(split=f"string_split({UP}, 'FROM')")}) WHERE named[1] IS NOT NULL)"""
 
 
 def deps(spark, sf_dir):
@@ -87,7 +93,7 @@ SELECT QUERY_ID, USER_NAME, QUERY_TYPE FROM (SELECT * FROM {sql('query_log')} q
   WHERE QUERY_START_TIME >= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY AND EXECUTION_STATUS = 'SUCCESS' AND {UP} LIKE '%{TABLE}%'
   AND QUERY_TYPE IN ('INSERT', 'UPDATE', 'CREATE_TABLE_AS_SELECT', 'SELECT', 'MERGE') ORDER BY QUERY_START_TIME DESC, QUERY_ID LIMIT 30)""")
 def lineage_queries_simple(spark, sf_dir):
-    return L.table_queries_simple(view(spark, sf_dir, "query_log"), TABLE, as_of="2024-02-10 00:00:00").select(
+    return L.table_queries_simple(view(spark, sf_dir, "query_log"), TABLE, as_of="2024-02-10 00:00:00", limit=30).select(
         "QUERY_ID", "USER_NAME", "QUERY_TYPE")
 
 
@@ -121,6 +127,12 @@ def lineage_sources(spark, sf_dir):
     return L.transformation_sources(history(spark, sf_dir), *TARGET)
 
 
+@query("lineage_sources_first", f"SELECT source, count(*) AS queries FROM {FIRST_SOURCES} GROUP BY 1")
+def lineage_sources_first(spark, sf_dir):
+    """The narrower reading: one table after each FROM."""
+    return L.transformation_sources(history(spark, sf_dir), *TARGET, first_only=True)
+
+
 EDGES = f"""(SELECT DISTINCT * FROM (
   SELECT QUERY_TYPE || '_' || QUERY_ID AS source, {CENTER} AS target, lower(QUERY_TYPE) AS relationship FROM {QUERIES} WHERE QUERY_TYPE IN ('CREATE_TABLE_AS_SELECT', 'INSERT', 'MERGE')
   UNION ALL SELECT {CENTER}, QUERY_TYPE || '_' || QUERY_ID, 'self_update' FROM {QUERIES} WHERE QUERY_TYPE = 'UPDATE'
@@ -183,10 +195,10 @@ def access_summary(spark, sf_dir):
 
 
 @query("recent_reads", f"""
-SELECT QUERY_ID, USER_NAME, CASE WHEN length(QUERY_TEXT) > 20 THEN substring(QUERY_TEXT, 1, 20) || '...' ELSE QUERY_TEXT END AS shown_text
+SELECT QUERY_ID, USER_NAME, CASE WHEN length(QUERY_TEXT) > 500 THEN substring(QUERY_TEXT, 1, 500) || '...' ELSE QUERY_TEXT END AS shown_text
 FROM (SELECT * FROM {QUERIES} WHERE QUERY_TYPE = 'SELECT' ORDER BY QUERY_START_TIME DESC, QUERY_ID LIMIT 10)""")
 def recent_reads(spark, sf_dir):
-    return L.recent_reads(history(spark, sf_dir), 10, 20).select("QUERY_ID", "USER_NAME", "shown_text")
+    return L.recent_reads(history(spark, sf_dir), 10).select("QUERY_ID", "USER_NAME", "shown_text")
 
 
 @query("sample_queries", f"""

@@ -421,48 +421,69 @@ def recommendation_summary(spark, sf_dir):
     return recommend.recommendation_summary(recommend.recommendations(_profiled(spark, sf_dir)))
 
 
-FACT_LINES = S.facts("dirty_lineitem", S.DIRTY_LINEITEM) + f""", t AS (SELECT *, {VAR_TYPE} AS var_type,
-  data_type = 'string' AND present_count > 0 AS counted FROM facts),
-words AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, avg(len(list_filter(regexp_split_to_array({c}, '[ ]+'), lambda x: x <> ''))) AS w FROM v" for c, k in S.DIRTY_LINEITEM if k == 'string')})
-SELECT position, t.column_name, concat_ws(chr(10), 'Column: ' || t.column_name, '  - Data Type: ' || var_type,
+FACT_LINES = S.facts("dirty_lineitem", S.DIRTY_LINEITEM) + f""", t AS (SELECT *, {VAR_TYPE} AS var_type, data_type = 'string' AND present_count > 0 AS textual,
+  CAST(unique_count AS DOUBLE) / total_count * 100 AS unique_pct FROM facts),
+dates AS (SELECT 'l_shipdate' AS column_name, strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') AS first_time, strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') AS last_time FROM v),
+words AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, avg(len(list_filter(regexp_split_to_array({c}, '[ ]+'), lambda x: x <> ''))) AS w FROM v" for c, k in S.DIRTY_LINEITEM if k == 'string')}),
+lines AS (SELECT position, t.column_name, total_count, null_percentage, unique_count, unique_pct, var_type,
+  concat_ws(chr(10), 'Column: ' || t.column_name, '  - Data Type: ' || var_type,
   '  - Missing Values: ' || null_count || ' (' || printf('%.1f', null_percentage) || '%)',
-  CASE WHEN counted THEN '  - Unique Values: ' || unique_count || ' (' || printf('%.1f', CAST(unique_count AS DOUBLE) / total_count * 100) || '%)' END,
+  '  - Unique Values: ' || unique_count || ' (' || printf('%.1f', unique_pct) || '%)',
   CASE WHEN var_type = 'Numeric' THEN '  - Range: ' || printf('%.2f', min_value) || ' to ' || printf('%.2f', max_value) END,
   CASE WHEN var_type = 'Numeric' THEN '  - Mean: ' || printf('%.2f', mean) END,
   CASE WHEN var_type = 'Numeric' THEN '  - Std Dev: ' || printf('%.2f', std) END,
-  CASE WHEN counted THEN '  - Most Frequent: ' || mode END,
-  CASE WHEN counted THEN '  - Avg Length: ' || printf('%.2f', w) END,
+  CASE WHEN textual THEN '  - Most Frequent: ' || mode END,
+  CASE WHEN textual THEN '  - Avg Length: ' || printf('%.2f', w) END,
+  CASE WHEN var_type = 'DateTime' THEN '  - Date Range: ' || first_time || ' to ' || last_time END,
   CASE WHEN null_percentage > 10 THEN '  ! HIGH MISSING RATE (' || printf('%.1f', null_percentage) || '%)' END,
-  CASE WHEN counted AND CAST(unique_count AS DOUBLE) / total_count * 100 > 90 THEN '  ! HIGH CARDINALITY (' || printf('%.1f', CAST(unique_count AS DOUBLE) / total_count * 100) || '% unique)' END,
+  CASE WHEN unique_pct > 90 THEN '  ! HIGH CARDINALITY (' || printf('%.1f', unique_pct) || '% unique)' END,
   CASE WHEN var_type = 'Unsupported' THEN '  ! UNSUPPORTED DATA TYPE' END) AS facts
-FROM t LEFT JOIN words USING (column_name)"""
+FROM t LEFT JOIN words USING (column_name) LEFT JOIN dates USING (column_name))"""
 
 
-@query("analysis_facts", FACT_LINES)
+@query("analysis_facts", FACT_LINES + " SELECT position, column_name, facts FROM lines")
 def analysis_facts(spark, sf_dir):
     return recommend.column_facts_text(profile.variable_types(view(spark, sf_dir, "dirty_lineitem")))
 
 
-@query("dataset_facts")
+def _block(title: str, item: str, test: str) -> str:
+    return f"'{title}:' || chr(10) || '- ' || string_agg({item}, chr(10) || '- ' ORDER BY position) FILTER (WHERE {test})"
+
+
+@query("dataset_facts", FACT_LINES + f"""
+SELECT 'lineitem' AS dataset_name, concat_ws(chr(10) || chr(10),
+  'Total Rows: ' || format('{{:,}}', max(total_count)) || chr(10) || 'Total Columns: ' || count(*),
+  string_agg(facts, chr(10) || chr(10) ORDER BY position),
+  {_block('Missing Data Issues', "column_name || ' (' || printf('%.1f', null_percentage) || '% missing)'", 'null_percentage > 10')},
+  {_block('High Cardinality Columns', "column_name || ' (' || unique_count || ' unique values)'", 'unique_pct > 90')},
+  {_block('Other Column Issues', "'Unsupported data type in column: ' || column_name", "var_type = 'Unsupported'")},
+  CASE WHEN count(*) FILTER (WHERE null_percentage > 10 OR unique_pct > 90 OR var_type = 'Unsupported') = 0
+    THEN '- No major data quality issues detected' END) AS facts FROM lines""")
 def dataset_facts(spark, sf_dir):
     return recommend.dataset_facts_text(profile.variable_types(view(spark, sf_dir, "dirty_lineitem")), "lineitem")
 
 
-@query("profile_context", SUMMARY + f""", types AS (
-  SELECT string_agg(x, ', ' ORDER BY x) AS t FROM (SELECT var_type || ': ' || count(*) AS x FROM (SELECT {VAR_TYPE} AS var_type FROM facts) GROUP BY var_type))
-SELECT 'Variables: ' || n_var || chr(10) || 'Observations: ' || format('{{:,}}', n) || chr(10) || 'Missing data: ' || printf('%.1f', missing_percentage)
+CONTEXT = SUMMARY + f""", types AS (
+  SELECT string_agg(x, ', ' ORDER BY x) AS t FROM (SELECT var_type || ': ' || count(*) AS x FROM (SELECT {VAR_TYPE} AS var_type FROM facts) GROUP BY var_type)),
+context AS (SELECT 'Variables: ' || n_var || chr(10) || 'Observations: ' || format('{{:,}}', n) || chr(10) || 'Missing data: ' || printf('%.1f', missing_percentage)
   || '% of cells' || chr(10) || 'Duplicate rows: ' || printf('%.1f', duplicate_percentage) || '%' || chr(10) || 'Variable types: ' || t AS context
-FROM summary, types""")
+FROM summary, types)"""
+
+
+@query("profile_context", CONTEXT + " SELECT context FROM context")
 def profile_context(spark, sf_dir):
     df = view(spark, sf_dir, "dirty_lineitem")
     return recommend.profile_context(profile.table_summary(df), profile.type_distribution(profile.variable_types(df)))
 
 
-@query("detailed_context", S.facts("dirty_customer", S.DIRTY_CUSTOMER) + f"""
-SELECT position, '- ' || column_name || ': ' || {VAR_TYPE} || ', ' || null_count || ' missing, '
-  || CASE WHEN data_type = 'string' THEN CAST(unique_count AS VARCHAR) ELSE '?' END || ' unique values' AS line FROM facts WHERE position < 5""")
+@query("detailed_context", CONTEXT + f"""
+SELECT context || chr(10) || (SELECT string_agg('- ' || column_name || ': ' || {VAR_TYPE} || ', ' || null_count || ' missing, ' || unique_count || ' unique values',
+  chr(10) ORDER BY position) FROM facts WHERE position < 5) AS context FROM context""")
 def detailed_context(spark, sf_dir):
-    return recommend.detailed_context(profile.variable_types(view(spark, sf_dir, "dirty_customer")))
+    """The header and the first five of fifteen variables."""
+    df = view(spark, sf_dir, "dirty_lineitem")
+    types = profile.variable_types(df)
+    return recommend.detailed_context(types, profile.table_summary(df), profile.type_distribution(types))
 
 
 @query("readiness_context", readiness_sql("dirty_lineitem", S.DIRTY_LINEITEM) + """

@@ -36,7 +36,22 @@ def csv_text_roundtrip(spark, sf_dir):
     df = base(spark, sf_dir, "documents")
     path = f"{shared_folder(spark)}/documents"
     sinks.write_csv(df, path)
-    return files.read_csv(spark, path, schema=df.schema)
+    return files.read_csv(spark, path, schema=df.schema, multi_line=True)
+
+
+@query("csv_broken_records", """
+SELECT CAST(o_orderkey AS VARCHAR) || ',' || CAST(o_custkey AS VARCHAR) || CASE WHEN o_orderkey % 2 = 0 THEN ',surplus,field' ELSE '' END AS record
+FROM orders WHERE o_orderkey % 97 = 0""")
+def csv_broken_records(spark, sf_dir):
+    """Orders as CSV lines, some with a field too few or too many: those come back as they stand."""
+    path = f"{shared_folder(spark)}/broken"
+    key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    broken = F.when(F.col("o_orderkey") % 2 == 0, F.concat_ws(",", key, customer, F.lit("surplus"), F.lit("field"))).otherwise(
+        F.concat_ws(",", key, customer))
+    line = F.when(F.col("o_orderkey") % 97 == 0, broken).otherwise(F.concat_ws(",", key, customer, "o_orderstatus"))
+    base(spark, sf_dir, "orders").select(line.alias("o_orderkey,o_custkey,o_orderstatus")).write.option("header", True).option(
+        "sep", "\u0001").csv(path)  # the commas are in the lines already
+    return files.broken_records(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string")
 
 
 @query("csv_files", "SELECT 'nation' AS dataset, count(*) AS rows, 3 AS columns FROM nation UNION ALL SELECT 'supplier', count(*), 4 FROM supplier UNION ALL SELECT 'orders', count(*), 6 FROM orders")
@@ -57,26 +72,32 @@ def csv_files(spark, sf_dir):
     return out
 
 
+ORDER_FORMS = ("csv", "parquet", "pq", "json", "json array", "dat")
+
+
 @query("file_dispatch", " UNION ALL ".join(
-    f"SELECT '{e}' AS extension, count(*) AS rows, CAST(sum(o_custkey) AS BIGINT) AS keys, round(sum(o_totalprice), 2) AS price FROM orders"
-    for e in ("csv", "parquet", "pq", "json", "dat")))
+    f"SELECT '{e}' AS form, o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority FROM orders"
+    for e in ORDER_FORMS))
 def file_dispatch(spark, sf_dir):
-    """The orders through each file kind, read back by extension alone."""
+    """The orders through each file kind, read back by extension alone; JSON as lines and as arrays."""
     folder = shared_folder(spark)
-    df = base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    df = base(spark, sf_dir, "orders")
     sinks.write_csv(df, f"{folder}/a.csv")
     sinks.write_csv(df, f"{folder}/a.dat")
     df.write.parquet(f"{folder}/a.parquet")
     df.write.parquet(f"{folder}/a.pq")
-    # JSON files hold one array each
+    df.write.json(f"{folder}/a.json")
+    # files that hold one array each
     df.groupBy(F.floor(F.col("o_orderkey") / 10_000).alias("part")).agg(
-        F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/a.json")
+        F.to_json(F.collect_list(F.struct(*df.columns))).alias("value")).select("value").write.option(
+        "maxRecordsPerFile", 1).text(f"{folder}/array/a.json")
     out = None
-    for ext in ("csv", "parquet", "pq", "json", "dat"):
-        got = factory.read_source(spark, "hdfs", path=f"{folder}/a.{ext}")
-        row = got.agg(F.lit(ext).alias("extension"), F.count(F.lit(1)).alias("rows"),
-                      F.sum(F.col("o_custkey").cast("bigint")).alias("keys"), F.round(F.sum("o_totalprice"), 2).alias("price"))
-        out = row if out is None else out.unionByName(row)
+    for form in ORDER_FORMS:
+        path = f"{folder}/array/a.json" if form == "json array" else f"{folder}/a.{form}"
+        got = factory.read_source(spark, "hdfs", path=path).select(
+            F.lit(form).alias("form"), *[F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")], "o_orderstatus", "o_totalprice",
+            F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"), "o_orderpriority")
+        out = got if out is None else out.unionByName(got)
     return out
 
 
@@ -86,10 +107,15 @@ def file_listing(spark, sf_dir):
     return got.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "extension")
 
 
-@query("directory_listing", "SELECT count(*) > 0 AS found, CAST(1 AS BIGINT) AS directories FROM region")
+@query("directory_listing", """
+SELECT '' AS directory FROM orders UNION SELECT 'o_orderstatus=' || o_orderstatus FROM orders
+UNION SELECT 'o_orderstatus=' || o_orderstatus || '/year=' || year(o_orderdate) FROM orders""")
 def directory_listing(spark, sf_dir):
-    return files.list_directories(files.list_files(spark, sf_dir)).agg(
-        (F.count(F.lit(1)) > 0).alias("found"), F.count(F.lit(1)).alias("directories"))
+    """The folders of the orders written by status and year; those of a status hold only folders."""
+    path = f"{shared_folder(spark)}/orders"
+    base(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("year")).write.partitionBy(
+        "o_orderstatus", "year").parquet(path)
+    return files.list_directories(files.list_files(spark, path, data_only=True), path)
 
 
 @query("source_info", "SELECT 'parquet' AS source_type, count(*) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem")
@@ -98,7 +124,7 @@ def source_info(spark, sf_dir):
     return files.source_info(df, "parquet", sf_dir).select("source_type", "row_count", "column_count")
 
 
-SUMMARY_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
+SUMMARY_TABLES = TABLES
 
 
 def _registry(spark, sf_dir):
@@ -108,12 +134,8 @@ def _registry(spark, sf_dir):
     return reg
 
 
-WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6,
-          "documents": 5, "conversations": 4}
-
-
 @query("dataset_summary", " UNION ALL ".join(
-    f"SELECT '{t}' AS name, 'parquet' AS source_type, count(*) AS rows, CAST({WIDTHS[t]} AS BIGINT) AS columns, CAST(0 AS BIGINT) AS missing_values FROM {t}"
+    f"SELECT '{t}' AS name, 'parquet' AS source_type, count(*) AS rows, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS columns, CAST(0 AS BIGINT) AS missing_values FROM {t}"
     for t in SUMMARY_TABLES))
 def dataset_summary(spark, sf_dir):
     return _registry(spark, sf_dir).summaries().select("name", "source_type", "rows", "columns", "missing_values")
@@ -169,6 +191,15 @@ def report_export(spark, sf_dir):
     return profile_view(spark.read.parquet(path))
 
 
+@query("report_json", S.facts("dirty_customer", S.DIRTY_CUSTOMER) + PROFILE_SELECT)
+def report_json(spark, sf_dir):
+    """A profile written as JSON lines and read back by its extension, whole."""
+    path = f"{shared_folder(spark)}/report.json"
+    found = profile.profile_columns(view(spark, sf_dir, "dirty_customer"))
+    sinks.write_report(found, path, form="json")
+    return profile_view(files.read_file(spark, path, schema=found.schema))
+
+
 @query("metadata_json", "SELECT 'customer' AS name, count(*) AS row_count, CAST(5 AS BIGINT) AS column_count, count(*) - count(c_acctbal) AS total_null_count FROM " + sql("dirty_customer") + " c")
 def metadata_json(spark, sf_dir):
     """A snapshot to JSON and back."""

@@ -30,5 +30,7 @@ def read_source(spark: SparkSession, kind: str, **options) -> DataFrame:
         return databases.read_database(spark, "snowflake", databases.snowflake_options(**options), **load)
     if kind == "oracle":
         split = options.pop("split", {})
+        if split and "query" in load:  # the reader takes split options only with a table or a bracketed query
+            load["table"] = f"({load.pop('query')}) split_query"
         return databases.read_database(spark, "jdbc", {**databases.oracle_options(**options), **split}, **load)
     raise ValueError(f"unsupported source type: {kind}")

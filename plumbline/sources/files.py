@@ -6,12 +6,17 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from plumbline.functions.sizing import settle
+
 # Offered encodings as Spark charset names, delimiters, data-file extensions.
 # Spark has no windows-1252: it is read as ISO-8859-1 and the characters that differ are mapped.
 ENCODINGS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1", "cp1252": "ISO-8859-1", "utf-16": "UTF-16"}
 DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
 FORMATS = {"csv": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "xlsx": "excel"}
-DATA_FILE = r"(?i)\.(csv|parquet|pq|json|xlsx|xls)$"
+DATA_FILE = r"(?i)\.(csv|parquet|pq|json|xlsx)$"
+UNREADABLE = ("xls",)
+# what Spark's errors about the file itself hold
+UNREADABLE_SIGNS = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "MALFORMED_RECORD", "MALFORMED_CSV")
 
 
 def charset_of(encoding: str) -> str:
@@ -36,29 +41,47 @@ def map_cp1252(df: DataFrame, writing: bool = False) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", delimiter: str = ",",
              schema: T.StructType | str | None = None, limit: int | None = None, strict: bool = False,
-             multi_line: bool = True) -> DataFrame:
-    """CSV with a header row.  Give a schema on big inputs; without one a pass infers it.
+             multi_line: bool = False, types: bool = True) -> DataFrame:
+    """CSV with a header row.  Give a schema on big inputs; without one a pass infers it (``types=False``: all text).
 
-    Quoted fields may hold line breaks, which keeps a file in one task; ``multi_line=False``
-    splits big files that are known to have none.
+    Big files are split.  ``multi_line`` allows line breaks in quoted fields and keeps a file in one
+    task.  Records that do not fit are null-filled unless ``strict``; ``broken_records`` returns them.
     """
     charset = charset_of(encoding)
+    multi_line = multi_line or charset.upper().startswith(("UTF-16", "UTF-32"))  # Spark cannot split these
     reader = (spark.read.option("header", True).option("sep", delimiter).option("encoding", charset)
               .option("multiLine", multi_line).option("escape", '"')
               .option("mode", "FAILFAST" if strict else "PERMISSIVE"))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", types)
     df = reader.csv(path)
     if encoding.lower() in ("cp1252", "windows-1252"):
         df = map_cp1252(df)
     return df if limit is None else df.limit(limit)
 
 
-def probe_csv(spark: SparkSession, path: str, rows: int = 5, **options) -> bool:
-    """Whether the first rows can be read."""
+def probe_csv(spark: SparkSession, path: str, rows: int = 5, delimiter: str = ",", encoding: str = "utf-8") -> bool:
+    """Whether the first rows can be read as text under the header; no types are inferred.
+
+    A file that cannot be read, or whose rows do not fit its header, is not; other errors are raised.
+    """
     try:
-        return len(read_csv(spark, path, strict=True, schema=None, **options).take(rows)) >= 0
-    except Exception:
-        return False
+        head = read_csv(spark, path, encoding, delimiter, strict=True, types=False)
+        return bool(head.columns) and head.take(rows) is not None
+    except Exception as problem:
+        if any(sign in str(problem) for sign in UNREADABLE_SIGNS):
+            return False
+        raise
+
+
+def broken_records(spark: SparkSession, path: str | list[str], schema: str, encoding: str = "utf-8", delimiter: str = ",",
+                   multi_line: bool = False) -> DataFrame:
+    """Records that do not fit the schema, as they stand in the file: one column, ``record``.
+
+    They are written to the shared folder, since Spark cannot read them alone.
+    """
+    reader = (spark.read.option("header", True).option("sep", delimiter).option("encoding", charset_of(encoding))
+              .option("multiLine", multi_line).option("escape", '"').option("columnNameOfCorruptRecord", "record"))
+    return settle(reader.schema(f"{schema}, record string").csv(path).where("record IS NOT NULL")).select("record")
 
 
 def read_csv_files(spark: SparkSession, paths: list[str], **options) -> tuple[dict[str, DataFrame], dict[str, str]]:
@@ -81,13 +104,31 @@ def source_info(df: DataFrame, source_type: str, path: str) -> DataFrame:
         F.array(*[F.lit(c) for c in df.columns]).cast("array<string>").alias("columns"))
 
 
+def read_json(spark: SparkSession, path: str | list[str], array: bool | None = None,
+              schema: T.StructType | str | None = None, **options) -> DataFrame:
+    """JSON lines, or files that hold one array (or one object over several lines) each.
+
+    Without ``array`` the first character decides: ``[`` begins an array.  Lines split over tasks;
+    an array keeps its file in one.  What cannot be parsed fails (``mode`` changes that), so no
+    record is lost without a word.
+    """
+    if array is None:
+        head = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v != ''").limit(1).select(F.substring("v", 1, 1)).first()
+        array = head is not None and head[0] == "["
+    reader = spark.read.options(**{"mode": "FAILFAST", **options}).option("multiLine", array)
+    return (reader if schema is None else reader.schema(schema)).json(path)
+
+
 def read_file(spark: SparkSession, path: str, limit: int | None = None, **options) -> DataFrame:
-    """Read by extension; unknown extensions are taken as CSV."""
-    kind = FORMATS.get(path.lower().rsplit(".", 1)[-1], "csv")
+    """Read by extension; options go to the reader.  Unknown extensions are taken as CSV, ``.xls`` is refused."""
+    extension = path.lower().rstrip("/").rsplit(".", 1)[-1]
+    if extension in UNREADABLE:
+        raise ValueError(f".{extension} files cannot be read: {path}")
+    kind = FORMATS.get(extension, "csv")
     if kind == "parquet":
-        df = spark.read.parquet(path)
+        df = spark.read.options(**options).parquet(path)
     elif kind == "json":
-        df = spark.read.option("multiLine", True).json(path)
+        df = read_json(spark, path, **options)
     elif kind == "excel":
         from plumbline.sources.excel import read_sheet
         df = read_sheet(spark, path, **options)
@@ -105,7 +146,7 @@ def list_files(spark: SparkSession, path: str, depth: int | None = None, data_on
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
              .select("path", "modificationTime", "length"))
     plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
-    below = F.size(F.split(F.substring(plain, len(root) + 2, 100_000), "/")) - 1
+    below = F.size(F.split(F.substr(plain, F.lit(len(root) + 2)), "/")) - 1
     if depth is not None:
         files = files.where(below <= depth)
     if data_only:
@@ -120,6 +161,14 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
-def list_directories(files: DataFrame) -> DataFrame:
-    """Folders that hold the listed files."""
-    return files.select(parent(F.col("path")).alias("directory")).distinct()
+def list_directories(files: DataFrame, root: str) -> DataFrame:
+    """Folders from ``root`` down that hold a listed file at any depth, also those that hold only folders.
+
+    ``directory`` is the path below the root (empty for the root).  Folders are known by their files:
+    one without a file anywhere below it is not listed.
+    """
+    plain = F.regexp_replace("path", r"^[a-z]+:/*", "/")
+    below = F.substr(parent(plain), F.lit(len(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/")) + 2))
+    names = F.filter(F.split(below, "/"), lambda n: n != "")
+    return files.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(names)), lambda n: F.array_join(
+        F.slice(names, 1, n), "/"))).alias("directory")).distinct()

@@ -113,24 +113,32 @@ def sources(spark, text, **options):
     return df.select(lineage.source_tables(F.col("t"), "DB", "S", "T", **options)).first()[0]
 
 
-@pytest.mark.parametrize("text,found", [
-    ("insert into t select * from a.b.c where x", ["A.B.C"]),
-    ("select * from items, other", ["DB.S.ITEMS"]),
-    ('create table t as select * from "My".raw.Tab;', ["MY.RAW.TAB"]),
-    ("select * from (select distinct k from deltas) d", ["DB.S.DELTAS"]),
-    ("select * from t where a in (select b from src)", ["DB.S.SRC"]),
-    ("select * from db.s.t", []),
-    ("select * from a1 join b2 on x", []),
-    ("select * from orders", []),
-    ("select 1", []),
+@pytest.mark.parametrize("text,first,every", [
+    ("insert into t select * from a.b.c where x", ["A.B.C"], ["A.B.C"]),
+    ("select * from items, other", ["DB.S.ITEMS"], ["DB.S.ITEMS", "DB.S.OTHER"]),
+    ('create table t as select * from "My".raw.Tab;', ["MY.RAW.TAB"], ["MY.RAW.TAB"]),
+    ("select * from (select distinct k from deltas) d", ["DB.S.DELTAS"], ["DB.S.DELTAS"]),
+    ("select * from (select x1, y11 from deltas, (select zzz from more)) d", ["DB.S.Y11", "DB.S.DELTAS", "DB.S.MORE"], ["DB.S.DELTAS", "DB.S.MORE"]),
+    ("select * from t where a in (select b from src)", ["DB.S.SRC"], ["DB.S.SRC"]),
+    ("select * from db.s.t", [], []),
+    ("select * from a1 join b2 on x", [], []),
+    ("select * from orders", [], ["DB.S.ORDERS"]),
+    ("select * from aaa left join bbb using (k), ccc", ["DB.S.AAA"], ["DB.S.AAA", "DB.S.BBB"]),
+    ("select 1", [], []),
+    (None, None, None),
 ])
-def test_source_tables(spark, text, found):
-    assert sources(spark, text) == found
-
-
-def test_source_tables_by_whole_words_and_joins(spark):
-    assert sources(spark, "select * from orders", whole_words=True) == ["DB.S.ORDERS"]
-    assert sources(spark, "select * from aaa join bbb on x", joins=True) == ["DB.S.AAA", "DB.S.BBB"]
+def test_source_tables(spark, text, first, every):
+    assert sources(spark, text, first_only=True) == first
+    assert sources(spark, text) == every
+
+
+def test_long_histories_are_not_paired(spark):
+    log = spark.range(lineage.PAIR_ROWS + 1).select(
+        F.col("id").cast("string").alias("QUERY_ID"), F.lit("INSERT").alias("QUERY_TYPE"), F.lit("from aaa").alias("QUERY_TEXT"),
+        F.lit("2024-01-01").alias("QUERY_START_TIME"))
+    for form in ({"all_pairs": True}, {"numbered": True}):
+        with pytest.raises(ValueError, match="limit the history"):
+            lineage.source_edges(log, "D", "S", "T", **form)
 
 
 def test_replies(spark):

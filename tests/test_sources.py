@@ -55,11 +55,11 @@ def test_csv_encodings(spark, tmp_path, encoding, delimiter):
         delimiter.join((str(i), '"' + t.replace('"', '""') + '"')) for i, t in enumerate(texts)]
     path = tmp_path / "f.csv"
     path.write_bytes("\n".join(lines).encode(encoding))
-    df = files.read_csv(spark, str(path), encoding=encoding, delimiter=delimiter)
+    df = files.read_csv(spark, str(path), encoding=encoding, delimiter=delimiter, multi_line=True)
     assert df.columns == ["id", "näme"]
     assert [r["näme"] for r in df.orderBy("id").collect()] == texts
     sinks.write_csv(df, str(tmp_path / "out"), encoding=encoding, delimiter=delimiter)
-    back = files.read_csv(spark, str(tmp_path / "out"), encoding=encoding, delimiter=delimiter)
+    back = files.read_csv(spark, str(tmp_path / "out"), encoding=encoding, delimiter=delimiter, multi_line=True)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
 
 
@@ -84,7 +84,35 @@ def test_listing_depth_and_kinds(spark, tmp_path):
     assert names(depth=0) == ["a.csv", "b.txt"] and names(depth=1) == ["a.csv", "b.txt", "c.parquet"]
     row = files.list_files(spark, str(tmp_path), depth=0).first()
     assert (row["size_bytes"], row["size_mb"]) == (10, 0.0)
-    assert files.list_directories(files.list_files(spark, str(tmp_path))).count() == 3
+    found = files.list_directories(files.list_files(spark, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted(r["directory"] for r in found) == ["", "d", "d/e"]
+    (tmp_path / "x" / "y" / "z").mkdir(parents=True)
+    (tmp_path / "x" / "y" / "z" / "g.csv").write_text("a")
+    found = files.list_directories(files.list_files(spark, str(tmp_path)), str(tmp_path)).collect()
+    assert sorted(r["directory"] for r in found) == ["", "d", "d/e", "x", "x/y", "x/y/z"]
+
+
+def test_json_lines_arrays_and_refused_files(spark, tmp_path):
+    spark.range(100).repartition(2).write.json(str(tmp_path / "lines.json"))
+    assert files.read_file(spark, str(tmp_path / "lines.json")).count() == 100
+    (tmp_path / "array.json").write_text('\n [{"id": 1},\n {"id": 2}]')
+    assert files.read_file(spark, str(tmp_path / "array.json")).count() == 2
+    (tmp_path / "bad.json").write_text('{"id": 1}\n{"id": \n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_file(spark, str(tmp_path / "bad.json"), schema="id long").collect()
+    with pytest.raises(ValueError, match="xls"):
+        files.read_file(spark, str(tmp_path / "a.xls"))
+    spark.range(3).write.parquet(str(tmp_path / "p.parquet"))
+    assert files.read_file(spark, str(tmp_path / "p.parquet"), mergeSchema="true").count() == 3
+
+
+def test_broken_csv_records(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("x,y\n1,a\n2,b,c\n3\nz,d\n")
+    got = sorted(r["record"] for r in files.broken_records(spark, str(tmp_path / "b.csv"), "x long, y string").collect())
+    assert got == ["2,b,c", "3", "z,d"]
+    assert not files.probe_csv(spark, str(tmp_path / "b.csv"))
+    (tmp_path / "empty.csv").write_text("")
+    assert not files.probe_csv(spark, str(tmp_path / "empty.csv"))
 
 
 def test_database_options():

@@ -210,3 +210,14 @@ def test_tables_without_numbers(spark):
     assert outliers.outlier_overview(outliers.column_outliers(df), 2, 0).first()["total_outliers"] == 0
     with pytest.raises(ValueError):
         outliers.box_plot(df)
+
+
+def test_no_score_without_a_finite_spread(spark):
+    """One infinite value leaves no standard deviation: no z-score anywhere, quartiles still work."""
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(40)] + [(40, float("inf"))], "k int, v double")
+    found = anomaly.detect_anomalies(df, ["k"], methods=("zscore", "iqr"), columns=["v"]).collect()
+    assert {(r["k"], r["method"]) for r in found} == {(40, "iqr")}
+    row = profile.profile_columns(df).where("column_name = 'v'").first()
+    assert row["outliers_count"] == 0
+    scored = rolling.rolling_zscore(df, "v", ["k"], window=5)
+    assert scored.where("k >= 38 and z is not null").count() == 0 and scored.where("k = 20 and z is not null").count() == 1

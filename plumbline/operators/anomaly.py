@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import math
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.functions.columns import as_double, numeric_fields
 from plumbline.functions.sizing import local_frame, ratio
@@ -58,6 +58,18 @@ class Spread:
         return self.q1 - width, self.q3 + width
 
 
+def save_baseline(spark: SparkSession, baseline: list[Spread], path: str) -> None:
+    """Store the spreads of a table, one row per column, for later comparison."""
+    kinds = {"column": pa.string(), "n": pa.int64()}
+    local_frame(spark, {f.name: (kinds.get(f.name, pa.float64()), [getattr(s, f.name) for s in baseline])
+                        for f in fields(Spread)}).write.mode("overwrite").parquet(path)
+
+
+def load_baseline(spark: SparkSession, path: str) -> list[Spread]:
+    """The stored spreads: a few numbers per column."""
+    return [Spread(**r.asDict()) for r in spark.read.parquet(path).select(*[f.name for f in fields(Spread)]).collect()]
+
+
 def known_methods(methods) -> list[str]:
     for m in methods:
         if m not in METHODS:
@@ -67,9 +79,9 @@ def known_methods(methods) -> list[str]:
 
 def spreads(df: DataFrame, columns: list[str] | None = None, methods=METHODS, **sizes) -> list[Spread]:
     """Collect what the methods need for each numeric column that has values."""
-    fields = [f for f in numeric_fields(df) if columns is None or f.name in columns]
-    slim = df.select(*[as_double(f).alias(f.name) for f in fields])
-    stats = [c for c in table_stats(slim, constants=False).columns if c.present] if fields else []
+    chosen = [f for f in numeric_fields(df) if columns is None or f.name in columns]
+    slim = df.select(*[as_double(f).alias(f.name) for f in chosen])
+    stats = [c for c in table_stats(slim, constants=False).columns if c.present] if chosen else []
     values = {c.name: F.col(f"`{c.name}`") for c in stats}
     known = {c.name: (c.present, c.low, c.high) for c in stats}
     probs = ([0.25, 0.75] if "iqr" in methods else []) \
@@ -130,12 +142,12 @@ def statistical_summary(df: DataFrame, columns: list[str] | None = None,
 
 def _scored(df: DataFrame, stats: list[Spread], methods: list[str], limits: Thresholds):
     """(column, method, value, score) expressions of every pair that can flag a row."""
-    fields = {f.name: as_double(f) for f in numeric_fields(df)}
+    cells = {f.name: as_double(f) for f in numeric_fields(df)}
     for s in stats:
         for m in methods:
-            expr = score(fields[s.column], s, m, limits)
+            expr = score(cells[s.column], s, m, limits)
             if expr is not None:
-                yield s.column, m, fields[s.column], expr
+                yield s.column, m, cells[s.column], expr
 
 
 def detect_anomalies(df: DataFrame, key_cols: list[str], methods=DEFAULT_METHODS,

@@ -21,8 +21,8 @@ from plumbline.functions.columns import number
 
 DIRECT_ROWS = 200_000      # below this the plain percentile aggregate holds few enough values
 BRACKET_ROWS = 2_000_000   # a bracket with more values than this is narrowed again
-SKETCH_ACCURACY = 1000
-MAX_ROUNDS = 8
+SKETCH_ACCURACY = 20_000
+MARGIN = 3.0 / SKETCH_ACCURACY
 
 
 @dataclass
@@ -35,7 +35,7 @@ class _Target:
     below: int = 0
     inside: int = 0
     open: bool = False  # whether the bracket excludes its two ends
-    margin: float = 3.0 / SKETCH_ACCURACY
+    margin: float = MARGIN
     found: dict[int, float] = field(default_factory=dict)
 
     @property
@@ -52,8 +52,10 @@ class _Target:
 
     def value(self) -> float:
         a, b = (self.found[r] for r in self.ranks)
-        part = self.position - self.ranks[0]
-        return a if part == 0 else a + (b - a) * part
+        if a == b:  # also equal infinities
+            return a
+        low, high = self.ranks  # weighted as the percentile aggregate does
+        return (high - self.position) * a + (self.position - low) * b
 
 
 def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float],
@@ -123,10 +125,9 @@ def _guess(base: DataFrame, active: list[_Target]) -> list[tuple[float, float]]:
 
 
 def _narrow(base: DataFrame, targets: list[_Target], bracket_rows: int) -> None:
+    """Narrow until every bracket holds few values: a miss widens it, a full one loses its ends and is cut anew."""
     active = [t for t in targets if t.pending and t.inside > min(bracket_rows, t.n // 50)]
-    for _ in range(MAX_ROUNDS):
-        if not active:
-            return
+    while active:
         trial = _guess(base, active)
         seen = base.selectExpr(*[e for k, t in enumerate(active) for e in (
             f"count_if({t.name} < {number(trial[k][0])}) AS b{k}",
@@ -139,9 +140,10 @@ def _narrow(base: DataFrame, targets: list[_Target], bracket_rows: int) -> None:
                 if t.low == t.high:
                     t.found |= {r: t.low for r in t.pending}
                 elif t.inside > bracket_rows:
+                    t.margin = MARGIN
                     full.append(t)
-            elif t.margin < 1:
-                t.margin *= 4  # the sketch missed: try again with a wider bracket
+            else:
+                t.margin *= 4  # the sketch missed: try again wider, in the end with all values
                 missed.append(t)
         _trim(base, full)
         active = missed + [t for t in full if t.pending and t.inside > bracket_rows]

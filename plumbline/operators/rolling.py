@@ -15,6 +15,7 @@ from plumbline.functions.sizing import ratio, settle
 
 SINGLE_WINDOW_ROWS = 200_000
 BLOCK_ROWS = 100_000
+BROADCAST_SERIES = 100_000  # beyond it lengths are joined by a shuffle that adaptive execution splits
 
 
 def frame(window: int) -> tuple[int, int]:
@@ -45,7 +46,9 @@ def rolling_zscore(df: DataFrame, value: str, order_cols: list[str], series_cols
                             [*series, "__block"], [F.col("__at")], window).where("__own")
         sizes = slim.groupBy(*series).agg(F.count(F.lit(1)).alias("__len"))
         if series:
-            lengths = sizes.select(*[F.col(c).alias(f"__{c}") for c in series], "__len")
+            # one row per series: broadcast when they are few, so a hot series never meets in one task
+            lengths = settle(sizes.select(*[F.col(c).alias(f"__{c}") for c in series], "__len"))
+            lengths = F.broadcast(lengths) if lengths.count() <= BROADCAST_SERIES else lengths
             same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in series]
             measured = measured.join(lengths, same)
         else:

@@ -76,6 +76,15 @@ def stats_summary(spark, sf_dir):
     return rounded(anomaly.statistical_summary(view(spark, sf_dir, "skewed_orders")), lower_bound=5, upper_bound=5)
 
 
+@query("stats_summary_bracketed", " UNION ALL ".join(f"""
+SELECT '{c}' AS column_name, round(mean, 4) AS mean, round(med, 4) AS median, round(md, 4) AS mad, round(q1, 4) AS q1, round(q3, 4) AS q3
+FROM {stats_cte(c, sql('skewed_orders'))}""" for c in S.numeric(S.SKEWED_ORDERS)))
+def stats_summary_bracketed(spark, sf_dir):
+    """The way of large tables: sketches, counted brackets, ranking inside them; the view holds hot values."""
+    return rounded(anomaly.statistical_summary(view(spark, sf_dir, "skewed_orders"), direct_rows=0, bracket_rows=200).select(
+        "column_name", "mean", "median", "mad", "q1", "q3"))
+
+
 ALL_ORDERS = scored_sql(S.numeric(S.SKEWED_ORDERS), sql("skewed_orders"), "o_orderkey", list(SCORES))
 THREE = scored_sql(S.numeric(S.SKEWED_ORDERS), sql("skewed_orders"), "o_orderkey", list(anomaly.DEFAULT_METHODS))
 
@@ -232,6 +241,13 @@ def rolling_blocks(spark, sf_dir):
                                              keep=["event_id"], single_window_rows=0).select("event_id", "z"))
 
 
+@query("rolling_zscore_blocks", f"SELECT event_id, round(z, 4) AS z FROM {rolling_sql('', 10)}")
+def rolling_zscore_blocks(spark, sf_dir):
+    """One series without a key, cut into blocks as a large one is."""
+    return rounded(rolling.rolling_zscore(base(spark, sf_dir, "events"), "value", ["ts"], keep=["event_id"], single_window_rows=0,
+                                          block_rows=300).select("event_id", "z"))
+
+
 @query("rolling_summary", f"""
 SELECT count(z) AS valid_rows, count(*) FILTER (WHERE z > 2) AS total_anomalies,
   round(count(*) FILTER (WHERE z > 2) * 100.0 / count(z), 4) AS anomaly_percentage FROM {rolling_sql('', 10)}""")
@@ -255,13 +271,21 @@ def stream_window_metrics(spark, sf_dir):
     return rounded(spark.read.parquet(f"{folder}/out").select(_stamp("window_start"), "rows", "completeness", "mean", "std"))
 
 
+EARLY = "ts < TIMESTAMP '2024-01-16 00:00:00'"
+
+
 @query("stream_flag", f"""
-SELECT event_id, method, round(value, 4) AS value, round(score, 4) AS score
-FROM ({scored_sql(['value'], 'events', 'event_id', ['zscore', 'iqr'])}) WHERE score IS NOT NULL""")
+SELECT event_id, method, round(value, 4) AS value, round(score, 4) AS score FROM (
+  SELECT event_id, 'zscore' AS method, value, {SCORES['zscore'][1].format(c='value')} AS score FROM events, {stats_cte('value', f'(SELECT value FROM events WHERE {EARLY})')} WHERE NOT ({EARLY})
+  UNION ALL SELECT event_id, 'iqr', value, {SCORES['iqr'][1].format(c='value')} FROM events, {stats_cte('value', f'(SELECT value FROM events WHERE {EARLY})')} WHERE NOT ({EARLY})
+) WHERE score IS NOT NULL""")
 def stream_flag(spark, sf_dir):
-    baseline = anomaly.spreads(base(spark, sf_dir, "events"), ["value"], ("zscore", "iqr"))
-    flagged = monitor.flag_outside(monitor.read_table_stream(spark, sf_dir, "events"), baseline)
+    """Later events against the stored baseline of the earlier ones."""
     folder = shared_folder(spark)
+    early = base(spark, sf_dir, "events").where("ts < timestamp_ntz'2024-01-16 00:00:00'")
+    anomaly.save_baseline(spark, anomaly.spreads(early, ["value"], ("zscore", "iqr")), f"{folder}/baseline")
+    later = monitor.read_table_stream(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-16 00:00:00'")
+    flagged = monitor.flag_outside(later, anomaly.load_baseline(spark, f"{folder}/baseline"))
     monitor.run_to_files(flagged, f"{folder}/out", f"{folder}/state").awaitTermination()
     found = spark.read.parquet(f"{folder}/out").select("event_id", F.inline("findings"))
     return rounded(found.select("event_id", "method", "value", "score"))

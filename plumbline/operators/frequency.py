@@ -98,8 +98,8 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
              for part in (fixed, other) if part or not names]
     per_column = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     named = per_column.join(F.broadcast(meta.select("position", "kind", "dtype")), "position")
-    return named.selectExpr("*", "top.l", "top.d", "top.s").selectExpr(
-        "position", "distinct", "single", f"{_AS_TEXT} AS mode", "-top.rank AS mode_count",
+    return named.selectExpr(
+        "position", "distinct", "single", f"{_AS_TEXT} AS mode", "top_count AS mode_count",
         f"{_TIME_TEXT.format('low_l')} AS first_time", f"{_TIME_TEXT.format('high_l')} AS last_time",
         "outliers", "zeros", "negatives", "mixed_case", "edge_space", "numeric_cells",
         "text_cells", "min_length", "max_length", "total_length", "total_words",
@@ -135,19 +135,29 @@ def _column_facts(df: DataFrame, meta: DataFrame, columns: list[str], by_case: b
     marks = {"hash_xor": f"bit_xor({hashed})", "hash_sum": f"sum(CAST({hashed} AS DECIMAL(38,0)))"} if digests else {}
     first = typed.groupBy("position", *(["folded"] if by_case else [])).agg(*map(F.expr, (
         "count(1) AS distinct", "count_if(cnt = 1) AS single",
-        "min(named_struct('rank', -cnt, 'l', l, 'd', d, 's', s)) AS top", "min(l) AS low_l", "max(l) AS high_l",
+        "max(cnt) AS top_count", "min(l) AS low_l", "max(l) AS high_l",
         f"{cells(f'abs(try_divide(v - mean, std)) > {number(float(z_threshold))}')} AS outliers",
         f"{cells('v = 0')} AS zeros", f"{cells('v < 0')} AS negatives",
         *[f"{agg} AS {name}" for name, agg in (text_aggs | marks).items()])))
     if not by_case:
-        return first.withColumn("mixed_case", F.lit(False))
-    return first.groupBy("position").agg(*map(F.expr, (
-        "sum(distinct) AS distinct", "sum(single) AS single", "min(top) AS top", "min(low_l) AS low_l", "max(high_l) AS high_l",
-        "max(folded IS NOT NULL AND distinct > 1) AS mixed_case", "max(edge_space) AS edge_space",
-        "min(min_length) AS min_length", "max(max_length) AS max_length",
-        *(("bit_xor(hash_xor) AS hash_xor", "sum(hash_sum) AS hash_sum") if digests else ()),
-        *[f"sum({c}) AS {c}" for c in ("outliers", "zeros", "negatives", "numeric_cells", "text_cells",
-                                       "total_length", "total_words")])))
+        facts = first.withColumn("mixed_case", F.lit(False))
+    else:
+        facts = first.groupBy("position").agg(*map(F.expr, (
+            "sum(distinct) AS distinct", "sum(single) AS single", "max(top_count) AS top_count", "min(low_l) AS low_l", "max(high_l) AS high_l",
+            "max(folded IS NOT NULL AND distinct > 1) AS mixed_case", "max(edge_space) AS edge_space",
+            "min(min_length) AS min_length", "max(max_length) AS max_length",
+            *(("bit_xor(hash_xor) AS hash_xor", "sum(hash_sum) AS hash_sum") if digests else ()),
+            *[f"sum({c}) AS {c}" for c in ("outliers", "zeros", "negatives", "numeric_cells", "text_cells",
+                                           "total_length", "total_words")])))
+    # the mode is the smallest of the most frequent values: looked up among those alone, so that the
+    # aggregates over all values hold numbers only and stay in hash tables
+    most = freq.join(F.broadcast(facts.select("position", "top_count")), "position").where("cnt = top_count")  # one row per column
+    if by_case:
+        modes = most.groupBy("position").agg(F.expr("min(named_struct('d', d, 's', s)) AS top")).selectExpr(
+            "position", "CAST(NULL AS BIGINT) AS l", "top.d", "top.s")
+    else:
+        modes = most.groupBy("position").agg(F.min("l").alias("l"), F.min("d").alias("d")).withColumn("s", F.lit(None).cast("string"))
+    return facts.join(F.broadcast(modes), "position", "left")
 
 
 def sample_values(df: DataFrame, k: int = 5, order_col: str | None = None) -> DataFrame:

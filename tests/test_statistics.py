@@ -221,3 +221,10 @@ def test_no_score_without_a_finite_spread(spark):
     assert row["outliers_count"] == 0
     scored = rolling.rolling_zscore(df, "v", ["k"], window=5)
     assert scored.where("k >= 38 and z is not null").count() == 0 and scored.where("k = 20 and z is not null").count() == 1
+
+
+def test_numbers_are_profiled_in_hash_tables(spark):
+    """No aggregate over numeric columns sorts its rows."""
+    df = spark.range(100).selectExpr("id", "id % 7 AS a", "cast(id % 3 AS double) AS b")
+    plan = frequency.frequency_facts(df, table_stats(df, constants=False))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -15,7 +15,8 @@ from plumbline.llm.common import bounded, components
 TREES = 10  # a pair at similarity 0.8 shares no first node with probability 0.2 ** TREES
 SKETCH = 64  # minwise tokens of a document
 NODE = 12  # documents a node may hold to be compared pair by pair
-DEPTH = 24  # minwise tokens a tree may branch by
+FIRST = 3  # minwise tokens before the pairs found so far are verified
+DEPTH = 16  # minwise tokens a tree may branch by
 ALIKE = 38  # equal sketch bytes below which a pair is not verified: 4 deviations under 0.8
 TIGHT = 58  # equal sketch bytes with the pivot from which on a member needs no further node of its tree
 MEMO_WORDS = 500_000  # word hashes one worker keeps at a time
@@ -95,62 +96,49 @@ def equal_marks(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(count, f"{fields}, alike int")
 
 
-def _with_marks(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity, with both sketches."""
-    left = reps.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("marks").alias("marks_a"))
-    right = reps.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("marks").alias("marks_b"))
-    return pairs.join(left, "a").join(right, "b")
-
-
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of class ids worth verifying, from ``TREES`` independent trees.
+def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame | None]:
+    """Branch the nodes of all trees by one minwise token after the other.
 
-    A tree branches documents by one minwise token after the other.  A node of at most ``NODE``
-    documents is compared pair by pair.  In a larger one every document is compared with one pivot,
-    chosen by hash; unless all of them nearly equal it, the node branches on, with all its documents.
-    At ``DEPTH`` the documents unlike their pivot are compared with the whole node, so none is left out.
+    ``rows`` holds (tree, node, class_id, component, marks), component being what the document is known to
+    hang together with.  Returns the pairs to compare, (a, b), and the rows of
+    nodes that are still large after the last token.  A node of at most ``NODE`` documents is compared
+    pair by pair.  In a larger one every document is compared with a pivot, chosen by hash; unless all
+    of them nearly equal it or hang together already, the node branches on with all its documents.
     """
     order = [np.random.default_rng(100 + t).permutation(SKETCH)[:DEPTH].tolist() for t in range(TREES)]
-    slim = reps.select("class_id", "marks")
-    rows = reps.select("class_id", F.posexplode("roots").alias("tree", "node"))
-    found: list[DataFrame] = []
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        sized = _with_marks(pairs, reps).where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        return equal_marks(sized.select("a", "b", "marks_a", "marks_b")).where(F.col("alike") >= ALIKE).select("a", "b")
-
-    for depth in range(1, DEPTH + 1):
+    small, stars = [], []
+    for depth in range(first, last + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(
-            F.xxhash64("class_id", "node").alias("h"), F.col("class_id").alias("id")))["id"].alias("pivot")).where("n > 1")
-        sized = settle(rows.join(nodes, "node"))
-        small = sized.where(F.col("n") <= NODE).groupBy("node").agg(F.sort_array(F.collect_set("class_id")).alias("ids"))
-        found.append(settle(tested(small.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(
-            F.slice("ids", i + 2, F.greatest(F.size("ids") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-            .select("p.a", "p.b").distinct())))
-        large = sized.where(F.col("n") > NODE)
-        if large.isEmpty():
-            break
-        pivots = (large.where("class_id = pivot").select("node", "pivot").distinct()
-                  .join(slim.select(F.col("class_id").alias("pivot"), F.col("marks").alias("marks_b")), "pivot"))
-        star = settle(equal_marks(
-            large.select("node", "tree", "class_id").join(slim.withColumnRenamed("marks", "marks_a"), "class_id")
-            .withColumn("next", F.xxhash64("node", F.substring("marks_a", F.element_at(
-                F.array(*[F.lit(o[depth - 1] + 1) for o in order]), F.col("tree") + 1), F.lit(1))))
-            .join(bounded(pivots, pivots.count()), "node")))
-        found.append(star.where((F.col("alike") >= ALIKE) & (F.col("class_id") != F.col("pivot"))).select(
+            F.xxhash64("class_id", "node").alias("h"), F.col("class_id").alias("id"), F.col("marks").alias("marks"))).alias("p")).where("n > 1")
+        byte = F.element_at(F.array(*[F.lit(o[depth - 1] + 1) for o in order]), F.col("tree") + 1)
+        level = settle(equal_marks(rows.join(nodes, "node").select(
+            "tree", "node", "class_id", "component", "marks", "n", F.col("p.id").alias("pivot"), F.xxhash64("node", F.substring("marks", byte, F.lit(1))).alias("next"),
+            F.col("marks").alias("marks_a"), F.col("p.marks").alias("marks_b"))))
+        small.append(level.where(F.col("n") <= NODE).select("node", "class_id"))
+        large = level.where(F.col("n") > NODE)
+        stars.append(large.where((F.col("alike") >= ALIKE) & (F.col("class_id") != F.col("pivot"))).select(
             F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")))
-        loose = star.groupBy("node").agg(F.min("alike").alias("least")).where(F.col("least") < TIGHT).select("node")
-        open_ = star.join(loose, "node", "left_semi")
-        if depth == DEPTH:
-            unlike = open_.where(F.col("alike") < TIGHT).select("node", F.col("class_id").alias("x"))
-            found.append(tested(unlike.join(open_.select("node", F.col("class_id").alias("y")), "node").where("x != y").select(
-                F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+        loose = large.groupBy("node").agg(F.min("alike").alias("least"), F.min("component").alias("c"), F.max("component").alias("d")).where(
+            (F.col("least") < TIGHT) & (F.col("c") != F.col("d"))).select("node")
+        rows = large.join(loose, "node", "left_semi").select("tree", F.col("next").alias("node"), "class_id", "component", "marks")
+        if loose.isEmpty():
+            rows = None
             break
-        rows = open_.select("class_id", "tree", F.col("next").alias("node"))
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.distinct()
+    grouped, every = small[0], stars[0]
+    for more, star in zip(small[1:], stars[1:], strict=True):
+        grouped, every = grouped.unionByName(more), every.unionByName(star)
+    ids = grouped.groupBy("node").agg(F.sort_array(F.collect_set("class_id")).alias("ids"))  # at most NODE each
+    pairs = ids.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(
+        F.slice("ids", i + 2, F.greatest(F.size("ids") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
+    return pairs.select("p.a", "p.b").unionByName(every).distinct(), rows
+
+
+def tested(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow the similarity."""
+    left = reps.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("marks").alias("marks_a"))
+    right = reps.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("marks").alias("marks_b"))
+    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return equal_marks(sized.select("a", "b", "marks_a", "marks_b")).where(F.col("alike") >= ALIKE).select("a", "b")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -172,6 +160,46 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
         100 * F.col("common") >= percent * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b").distinct()
 
 
+def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of the classes that link, from ``TREES`` independent trees.
+
+    After ``FIRST`` tokens the pairs found so far are verified; a large node whose documents are all
+    connected by then is done.  Only the others branch on, up to ``DEPTH`` tokens, and what is still
+    large then is compared with all of its node outside the own component, so nothing is left out.
+    """
+    def link(pairs: DataFrame) -> DataFrame:
+        return settle(verified(docs, settle(tested(pairs, reps, percent)), words, percent))
+
+    roots = reps.select("class_id", F.posexplode("roots").alias("tree", "node"))
+    shared = roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    rows = roots.join(shared, "node", "left_semi").join(reps.select("class_id", "marks"), "class_id").select(
+        "tree", "node", "class_id", F.col("class_id").alias("component"), "marks")
+    pairs, rest = walk(rows, 1, FIRST)
+    links = link(pairs)
+    linked = settle(components(links))
+    if rest is None:
+        return linked
+    placed = linked.select(F.col("id").alias("class_id"), "component")
+    known = rest.drop("component").join(placed, "class_id", "left").select(
+        "tree", "node", "class_id", F.coalesce("component", "class_id").alias("component"), "marks")
+    mixed = known.groupBy("node").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("node")
+    rest = settle(known.join(mixed, "node", "left_semi"))
+    if rest.isEmpty():
+        return linked
+    pairs, rest = walk(rest, FIRST + 1, DEPTH)
+    if rest is not None:
+        members = settle(rest.select("node", "class_id", "component"))
+        most = members.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "component"))["component"].alias("most"))
+        outside = members.join(most, "node").where("component != most").select("node", F.col("class_id").alias("x"), F.col("component").alias("c"))
+        pairs = pairs.unionByName(outside.join(members, "node").where("component != c and x != class_id").select(
+            F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b"))).distinct()
+    far = pairs
+    for side in "ab":
+        far = far.join(placed.select(F.col("class_id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    far = far.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    return components(links.unionByName(link(far)))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -187,8 +215,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     reps = settle(table.join(classes.select(F.col("digest").alias("d"), "class_id"),
                              (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("d")))
                   .select("class_id", "n_shingles", "roots", "marks").dropDuplicates(["class_id"]))
-    links = settle(verified(docs, settle(candidates(reps, percent)), words, percent))
-    linked = components(links)
+    linked = linked_classes(docs, reps, words, percent)
     placed = (classes.join(linked, F.col("class_id") == F.col("id"), "left")
               .select("digest", F.coalesce("component", "class_id").alias("component"), "class_id", "copies")
               .where("copies > 1 or component != class_id").select(F.col("digest").alias("d"), "component"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.functions.sizing import settle
@@ -9,6 +12,14 @@ from plumbline.functions.sizing import settle
 BROADCAST_ROWS = 1_000_000  # most rows (of a few numbers each) that are broadcast
 
 
+def worker_kept(name: object, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for all its tasks."""
+    kept = sys.__dict__.setdefault("_plumbline_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -63,10 +74,10 @@ def components(links: DataFrame) -> DataFrame:
         moved = settle(
             both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))).alias("m"))
             .select("a", F.least(F.col("m"), F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("v")))["v"].alias("to")))
-        placed = settle(placed.join(moved.withColumnRenamed("a", "root"), "root", "left")
-                        .select("id", F.coalesce("to", "root").alias("root")))
+        placed = placed.join(moved.withColumnRenamed("a", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
         both = settle(both.join(moved, "a").select(F.col("to").alias("a"), "b")
                       .join(moved.select(F.col("a").alias("b"), F.col("to").alias("to_b")), "b")
                       .select("a", F.col("to_b").alias("b")).where("a != b").distinct())
+    placed = settle(placed)
     smallest = placed.groupBy("root").agg(F.min("id").alias("component"))
     return placed.join(smallest, "root").select("id", "component")

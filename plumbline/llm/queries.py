@@ -87,10 +87,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op9_multi_index", """
-    WITH codes AS (SELECT vec_id, list_transform(embedding, x -> CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
+    WITH codes AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits
                    FROM embeddings WHERE len(embedding) = 64),
     pairs AS (SELECT q.vec_id AS query_id, a.vec_id AS neighbor_id, CAST(list_sum(list_transform(
-                  range(1, 65), i -> CASE WHEN q.bits[i] = a.bits[i] THEN 0 ELSE 1 END)) AS INTEGER) AS distance
+                  range(1, 65), lambda i: CASE WHEN q.bits[i] = a.bits[i] THEN 0 ELSE 1 END)) AS INTEGER) AS distance
               FROM codes q JOIN codes a ON q.vec_id <> a.vec_id WHERE q.vec_id % 100 = 0),
     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank FROM pairs)
     SELECT query_id, neighbor_id, distance, rank FROM ranked WHERE rank <= 10""")

@@ -175,3 +175,16 @@ def test_nearest_code_edges(spark):
     got = multi_index.nearest_codes(df, df, bits=2, k=3).collect()
     assert {r["query_id"] for r in got} == {1, 2, 8, 9} and all(r["distance"] == 0 for r in got)
     assert multi_index.nearest_codes(df.limit(0), df.limit(0), bits=2).collect() == []
+
+
+def test_nearest_codes_twin(spark):
+    """The SQL twin on DuckDB gives the same rows."""
+    import duckdb
+
+    from plumbline.llm.queries import ORACLES
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF_DIR}/embeddings.parquet'")
+    cursor = con.execute(ORACLES["op9_multi_index"])
+    names = [d[0] for d in cursor.description]
+    got = QUERIES["op9_multi_index"](spark, SF_DIR).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cursor.fetchall())

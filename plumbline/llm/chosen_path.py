@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.sizing import settle
-from plumbline.llm.common import bounded, components
+from plumbline.llm.common import bounded, components, slices
 
 TREES = 10  # a pair at similarity 0.8 shares no first node with probability 0.2 ** TREES
 SKETCH = 64  # minwise tokens of a document
@@ -19,7 +19,7 @@ FIRST = 3  # minwise tokens before the pairs found so far are verified
 DEPTH = 16  # minwise tokens a tree may branch by
 ALIKE = 38  # equal sketch bytes below which a pair is not verified: 4 deviations under 0.8
 TIGHT = 58  # equal sketch bytes with the pivot from which on a member needs no further node of its tree
-MEMO_WORDS = 500_000  # word hashes one worker keeps at a time
+MEMO_WORDS = 150_000  # word hashes one worker keeps at a time
 
 
 class WordHashes(dict):
@@ -63,7 +63,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """Per document: n_shingles, a digest of its set, the first node of each tree, a byte of each minwise token."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, tree = WordHashes(), np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, roots, marks = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text, words, memo)
@@ -87,7 +87,7 @@ def equal_marks(pairs: DataFrame) -> DataFrame:
     kept = [c for c in pairs.columns if c not in ("marks_a", "marks_b")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("marks_a", "marks_b"))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array((left == right).sum(axis=1).astype("int32"))],
                                              names=[*kept, "alike"])
@@ -148,7 +148,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingle_set(t, words, memo).view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
 

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm.common import slices
+
 KINDS = ["email", "ip", "card", "phone"]  # label 0 is none of them
 LABELS = 1 + len(KINDS)
 # fixed values: the base patterns; a run cannot match from inside when it does not from its start
@@ -168,7 +170,7 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Field:
     sample = nodes.where(F.pmod(F.xxhash64(F.lit("field"), "text"), F.lit(1_000_000)) < share)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: dict[tuple, int] = {}
             for text in batch.column("text").to_pylist():
                 graph = Graph(text, base_spans(text))
@@ -242,7 +244,7 @@ def personal_data(docs: DataFrame, field: Field) -> DataFrame:
     agree; extra columns are ignored.
     """
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             counts, digests, spans = [[] for _ in KINDS], [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")

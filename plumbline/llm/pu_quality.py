@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.common import held_out
+from plumbline.llm.common import held_out, slices
 
 POSITIVES = 6000  # trusted positives the classifier is fitted on, about
 UNLABELLED = 12000  # unlabelled texts it is fitted on, about
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         "text", F.coalesce("trusted", F.lit(False)).alias("trusted"), draw("unlabelled", unlabelled, count).alias("free"))
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t or "") for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("trusted"), batch.column("free")],
                                              names=["x", "trusted", "free"])
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 def scored(docs: DataFrame, model: Scorer | None) -> DataFrame:
     """doc_id and score of every row, judged by its whole text alone; 0.5 when nothing was learned."""
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t or "") for t in batch.column("text").to_pylist()], dtype=np.float64)
             score = np.full(len(x), 0.5) if model is None or not len(x) else model.score(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])

@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from plumbline.llm.common import held_out
+from plumbline.llm.common import held_out, slices
 
 GRAMS = 1 << 15  # hashed trigrams
 TRAIN_PER_LANGUAGE = 5000  # labelled documents a language's model is fitted on, about
-ROUNDS = 25  # of expectation-maximisation
+ROUNDS = 50  # of expectation-maximisation, at most
+STEADY = 1e-5  # change of every proportion below which it ends
 UNKNOWN = "und"
 
 
@@ -42,20 +43,25 @@ class LanguageMixture:
         share = np.full(prob.shape[1], 1.0 / prob.shape[1])
         if prob.shape[1] > 1:
             for _ in range(ROUNDS):
-                joint = prob * share
-                share = (weight / joint.sum(axis=1)) @ joint / weight.sum()
+                last = share
+                share = share * ((weight / (prob @ share)) @ prob) / weight.sum()
+                if np.abs(share - last).max() < STEADY:
+                    break
         return share, float(weight @ np.log(prob @ share))
 
     def infer(self, found: np.ndarray, weight: np.ndarray) -> list[tuple[str, float]]:
         """Languages with their proportions, largest first.
 
         The full mixture ranks the languages; of the sets of the first k the one with the largest
-        log-likelihood less (k - 1) / 2 * log(number of trigrams) is kept.
+        log-likelihood less (k - 1) / 2 * log(number of trigrams) is kept.  A language to which the full
+        mixture gives less than one trigram is not tried.
         """
         if not len(found) or not self.languages:
             return []
         prob, n = self.prob[found], float(weight.sum())
-        ranked = np.argsort(-self.proportions(prob, weight)[0], kind="stable")
+        full = self.proportions(prob, weight)[0]
+        ranked = np.argsort(-full, kind="stable")
+        ranked = ranked[:max(1, int((full * n >= 1).sum()))]
         best: tuple[float, np.ndarray, np.ndarray] | None = None
         for k in range(1, len(ranked) + 1):
             share, likelihood = self.proportions(prob[:, ranked[:k]], weight)
@@ -84,7 +90,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> LanguageMixt
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, table = letter_table(), np.zeros((len(languages), GRAMS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 found, n = grams(text, letters)
                 table[place[lang], found] += n
@@ -115,7 +121,7 @@ def with_languages(docs: DataFrame, model: LanguageMixture) -> DataFrame:
         own = LanguageMixture([], np.ones((1, 1)))
         own.languages, own.prob = shared.value
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             told, scores, mixes = [], [], []
             for text in batch.column("text").to_pylist():
                 mix = own.infer(*grams(text, letters)) if text else []

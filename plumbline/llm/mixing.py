@@ -11,6 +11,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)  # of the sources by code point, repeating
 ROUNDS = 12  # of the index permutation
 CELLS = 1024  # parts of the unit interval by which draws find their source
+SLOTS_PER_TASK = 200_000
+SPREAD = 20_000  # most tasks that draw out slots
 BUCKETS = 1024  # parts in which a source's documents are numbered
 
 
@@ -113,7 +115,9 @@ class Mixture:
         over_before = running_before(F.greatest("over", F.lit(0)), [], ["source_no"])
         short_before = running_before(F.greatest(-F.col("over"), F.lit(0)), [], ["source_no"])
         totals = bounded(settle(totals.withColumns({"over_before": over_before, "short_before": short_before})), count)
-        slot = (draws.withColumn("base", running_before(F.col("n"), ["source_no"], ["shard"]))
+        # the counts are few rows, the slots many: spread them before they are drawn out
+        spread = min(SPREAD, slots // SLOTS_PER_TASK + 1)
+        slot = (draws.withColumn("base", running_before(F.col("n"), ["source_no"], ["shard"])).repartition(spread, "shard", "source_no")
                 .select("shard", "source_no", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("n") - 1)).alias("index"))
                 .join(totals, "source_no"))
         kept = slot.where("index < slots").select("shard", "source_no", "index", "blocks")

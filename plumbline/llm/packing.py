@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.sizing import local_frame, settle
-from plumbline.llm.common import numbered
+from plumbline.llm.common import numbered, slices, worker_kept
 
-MEMO_WORDS = 300_000  # words whose ids one worker keeps at a time
+MEMO_WORDS = 400_000  # words whose ids one worker keeps at a time
+LINE_WORDS = 2000  # new words that are tokenised together
+TEXTS = 128  # texts whose words are looked up together
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, size_class long"
 
 
@@ -29,27 +33,56 @@ def harmonic_cuts(length: int, capacity: int) -> list[int]:
     return cuts
 
 
-class WordIds(dict):
+SIMPLE = re.compile(rb"[!-&(-@\[-~]+")  # words of printable characters without capitals and apostrophes
+PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")  # what the tokenizer takes one by one in such a word
+
+
+class WordIds:
     """Ids of white-space separated words as little-endian bytes; a bounded memo in front of the tokenizer.
 
     The tokenizer never joins characters across white space, so ids of a text are those of its words.
+    Plain ASCII words are cut into letters, digits and marks, and unknown ones go to the same model
+    in long lines without the normaliser, which leaves them as they are; all other words take the
+    whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        words = text.encode("utf-8", "surrogatepass").split()
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if new:
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for word, code in zip(new, found, strict=True):
-                self[word] = np.asarray(code.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.plain.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = []
+        for text in texts:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            split.append((raw if b"<|" in raw else raw.lower()).split())  # marks such as <|endoftext|> mind the case
+        if len(self.words) + len(self.parts) > MEMO_WORDS:
+            self.words.clear()
+            self.parts.clear()
+        new = set(chain.from_iterable(split)).difference(self.words)
+        simple = {w: PARTS.findall(w) for w in new if SIMPLE.fullmatch(w) and b"<|" not in w}
+        self._learn(list(set(chain.from_iterable(simple.values())).difference(self.parts)))
+        for word, parts in simple.items():
+            self.words[word] = b"".join(map(self.parts.__getitem__, parts))
+        odd = [w for w in new if w not in simple]
+        codes = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False) if odd else []
+        for word, code in zip(odd, codes, strict=True):
+            self.words[word] = np.asarray(code.ids, dtype="<u4").tobytes()
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def _learn(self, parts: list[bytes]) -> None:
+        lines = [b" ".join(parts[i:i + LINE_WORDS]).decode() for i in range(0, len(parts), LINE_WORDS)]
+        codes = self.plain.encode_batch_fast(lines, add_special_tokens=False) if lines else []
+        ids = np.array([i for code in codes for i in code.ids], dtype="<u4")
+        ends, raw, begin = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist() if len(ids) else [], ids.tobytes(), 0
+        for part, end in zip(parts, ends, strict=True):
+            self.parts[part] = raw[begin:end]
+            begin = end
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
@@ -60,11 +93,14 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memo, last = WordIds(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        memo = worker_kept(("word ids", tokenizer_path), lambda: WordIds(tokenizer_path))
+        last = np.array([end_id], dtype="<u4").tobytes()
+        for batch in slices(batches):
             rows, starts, lengths, sums, totals = [], [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = memo.encode(text or "") + last
+            texts = batch.column("text")
+            encoded = chain.from_iterable(memo.encode(texts.slice(i, TEXTS).to_pylist()) for i in range(0, len(texts), TEXTS))
+            for row, ids in enumerate(encoded):
+                ids += last
                 at = 0
                 for length in harmonic_cuts(len(ids) // 4, capacity):
                     rows.append(row)

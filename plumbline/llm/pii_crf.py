@@ -178,6 +178,8 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCUMENTS) -> Field:
                     rows[(0, y, *f)] = rows.get((0, y, *f), 0) + 1
                 for kind, edges in ((1, graph.chain), (2, graph.skip)):
                     for i, j in edges:
+                        if kind == 2 and (graph.labels[i] == 0) != (graph.labels[j] == 0):
+                            continue  # a base pattern saw one form only: the other's label is unknown
                         key = (kind, int(graph.labels[i]), int(graph.labels[j]))
                         rows[key] = rows.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in rows], pa.list_(pa.int32())), pa.array(list(rows.values()), pa.int64())],

@@ -78,8 +78,9 @@ def test_markov_models(spark):
     letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
     random = lambda n: "".join(rng.choice(letters, n))
     rows = [(i, f"the token={random(32)} and some_ordinary_identifier here") for i in range(300)]
-    rows += [(1000 + i, f"ordinary words and identifiers such as user_account_number or readConfigurationFile no {i}") for i in range(300)]
-    rows += [(5000, f"hidden {random(40)} value"), (5001, "a configuration_of_ordinary_identifiers value")]
+    ordinary = " ".join(f"value{c}name{c}size" for c in letters)
+    rows += [(1000 + i, f"{ordinary} {i}") for i in range(300)]
+    rows += [(5000, f"hidden {random(40)} value"), (5001, "a valueAnameBsizeCnameDsize value")]
     found = markov_secrets.identifiers(markov_secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")))
     ratios = markov_secrets.train(found)
     told = {r["doc_id"]: r["_spans"] for r in markov_secrets.with_spans(found, ratios).where("doc_id >= 1000").collect()}
@@ -92,13 +93,13 @@ def test_markov_models(spark):
         for a, b in zip(value, value[1:]):
             counts[markov_secrets.ALPHABET.index(a), markov_secrets.ALPHABET.index(b)] += 1
     logs = np.log(counts / counts.sum(axis=1, keepdims=True))
-    ordinary = np.full((wide, wide), 0.5)
+    usual = np.full((wide, wide), 0.5)
     for _, text in rows[300:]:
         for word in re.findall(markov_secrets.IDENTIFIER, text):
             for a, b in zip(word, word[1:]):
                 if a in markov_secrets.ALPHABET and b in markov_secrets.ALPHABET:
-                    ordinary[markov_secrets.ALPHABET.index(a), markov_secrets.ALPHABET.index(b)] += 1
-    assert np.allclose(np.array(ratios).reshape(wide, wide), logs - np.log(ordinary / ordinary.sum(axis=1, keepdims=True)), atol=1e-9)
+                    usual[markov_secrets.ALPHABET.index(a), markov_secrets.ALPHABET.index(b)] += 1
+    assert np.allclose(np.array(ratios).reshape(wide, wide), logs - np.log(usual / usual.sum(axis=1, keepdims=True)), atol=1e-9)
 
 
 def test_redaction(spark):
@@ -115,7 +116,7 @@ def test_skip_chain(spark):
     rows = []
     for i in range(400):
         number = "".join(map(str, rng.integers(0, 10, 11)))
-        rows.append((i, f"call +{number} today or {number} later, order {rng.integers(100, 999)} of the list"))
+        rows.append((i, f"call +{number} today or {number} later or +{number}, order {rng.integers(100, 999)} of the list"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     field = pii_crf.fit(docs)
     assert field.skip[4, 4] > field.skip[4, 0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,6 +16,7 @@ DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t", "pipe": "|"}
 FORMATS = {"csv": "csv", "parquet": "parquet", "pq": "parquet", "json": "json", "xlsx": "excel"}
 DATA_FILE = r"(?i)\.(csv|parquet|pq|json|xlsx)$"
 UNREADABLE = ("xls",)
+FILE_CHOICE = ("recursiveFileLookup", "pathGlobFilter", "modifiedBefore", "modifiedAfter")  # options on which files are read
 # what Spark's errors about the file itself hold
 UNREADABLE_SIGNS = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "MALFORMED_RECORD", "MALFORMED_CSV")
 
@@ -104,19 +106,62 @@ def source_info(df: DataFrame, source_type: str, path: str) -> DataFrame:
         F.array(*[F.lit(c) for c in df.columns]).cast("array<string>").alias("columns"))
 
 
+def json_kinds(spark: SparkSession, path: str | list[str], **options) -> dict[bool, list[str]]:
+    """The JSON files of a path by kind: True for those that hold one array over several lines, False for lines.
+
+    The first two lines that are not blank tell, file by file; one pass over the text finds them.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.options(**{k: v for k, v in options.items() if k in FILE_CHOICE}).text(path).select(
+        F.col("_metadata.file_path").alias("file"), at.alias("at"), F.trim(F.regexp_replace("value", r"^[\s\uFEFF]+|\s+$", "")).alias("v")).where("v != ''")
+    ends = lines.select("file", F.struct("at", F.substring("v", 1, 1).alias("head"), F.right("v", F.lit(1)).alias("tail")).alias("line"))
+    first = ends.groupBy("file").agg(F.min("line").alias("one"))
+    two = ends.join(first, "file").groupBy("file", "one").agg(F.min(F.when(F.col("line.at") > F.col("one.at"), F.col("line"))).alias("two"))
+    each_line = (F.col("one.tail") == "]") & F.coalesce(F.col("two.head").isin("[", "{"), F.lit(True))
+    kinds: dict[bool, list[str]] = {}
+    for r in two.select("file", ((F.col("one.head") == "[") & ~each_line).alias("array")).collect():
+        kinds.setdefault(r["array"], []).append(re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(r["file"])))
+    return kinds
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds values of both, as when they are inferred together: text where they do not agree."""
+    if a == b:
+        return a
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        others = {f.name: f.dataType for f in b.fields}
+        own = {f.name for f in a.fields}
+        return T.StructType([T.StructField(f.name, common_type(f.dataType, others[f.name]) if f.name in others else f.dataType) for f in a.fields]
+                            + [T.StructField(f.name, f.dataType) for f in b.fields if f.name not in own])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(common_type(a.elementType, b.elementType))
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    return T.StringType()
+
+
 def read_json(spark: SparkSession, path: str | list[str], array: bool | None = None,
               schema: T.StructType | str | None = None, **options) -> DataFrame:
     """JSON lines, or files that hold one array (or one object over several lines) each.
 
-    Without ``array`` the first character decides: ``[`` begins an array.  Lines split over tasks;
-    an array keeps its file in one.  What cannot be parsed fails (``mode`` changes that), so no
-    record is lost without a word.
+    Without ``array`` the first lines of every file decide for that file: ``[`` begins an array, unless
+    the line ends it and others of the kind follow, which are lines.  Files of both kinds are read apart
+    under one schema.  Lines split over tasks; an array keeps its file in one.  What cannot be parsed
+    fails (``mode`` changes that), so no record is lost without a word.
     """
-    if array is None:
-        head = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v != ''").limit(1).select(F.substring("v", 1, 1)).first()
-        array = head is not None and head[0] == "["
-    reader = spark.read.options(**{"mode": "FAILFAST", **options}).option("multiLine", array)
-    return (reader if schema is None else reader.schema(schema)).json(path)
+    def reader(array: bool, schema: T.StructType | str | None, **more):
+        found = spark.read.options(**{"mode": "FAILFAST", **options, **more}).option("multiLine", array)
+        return found if schema is None else found.schema(schema)
+
+    kinds = {array: []} if array is not None else json_kinds(spark, path, **options)
+    if len(kinds) < 2:
+        return reader(True in kinds, schema).json(path)
+    # a folder stays the root of its partition columns
+    base = {"basePath": path} if isinstance(path, str) and not re.search(r"[*?\[{]", path) else {}
+    if schema is None:
+        schema = common_type(*[reader(kind, None, **base).json(kinds[kind]).schema for kind in (False, True)])
+    lines, arrays = (reader(kind, schema, **base).json(kinds[kind]) for kind in (False, True))
+    return lines.unionByName(arrays, allowMissingColumns=True)
 
 
 def read_file(spark: SparkSession, path: str, limit: int | None = None, **options) -> DataFrame:

@@ -92,6 +92,22 @@ def test_listing_depth_and_kinds(spark, tmp_path):
     assert sorted(r["directory"] for r in found) == ["", "d", "d/e", "x", "x/y", "x/y/z"]
 
 
+def test_json_of_both_kinds_is_read_whole(spark, tmp_path):
+    """One array per line, and a folder of arrays and of lines: every record arrives."""
+    (tmp_path / "each.json").write_text('[{"id": 1}, {"id": 2}]\n\n[{"id": 3}]\n[{"id": 4}]\n')
+    assert sorted(r["id"] for r in files.read_file(spark, str(tmp_path / "each.json")).collect()) == [1, 2, 3, 4]
+    folder = tmp_path / "both kinds.json"
+    folder.mkdir()
+    (folder / "a rows.json").write_text('[\n {"id": 1, "x": 1},\n {"id": 2, "x": 2}\n]\n')
+    (folder / "b.json").write_text("".join(f'{{"id": {i}, "x": {i}.5, "y": "t"}}\n' for i in range(10, 60)))
+    (folder / "c.json").write_text('[{"id": 3, "x": 3}]\n[{"id": 4, "x": 4}]\n')
+    wanted = [1, 2, 3, 4, *range(10, 60)]
+    paths = [str(folder / n) for n in ("a rows.json", "b.json", "c.json")]
+    for got in (files.read_json(spark, paths), files.read_file(spark, str(folder)),
+                files.read_json(spark, paths, schema="id long, x double")):
+        assert sorted(r["id"] for r in got.collect()) == wanted and dict(got.dtypes)["x"] == "double"
+
+
 def test_json_lines_arrays_and_refused_files(spark, tmp_path):
     spark.range(100).repartition(2).write.json(str(tmp_path / "lines.json"))
     assert files.read_file(spark, str(tmp_path / "lines.json")).count() == 100

@@ -15,15 +15,14 @@ from plumbline.llm.common import bounded, documents
 from plumbline.llm.queries import word_tokenizer
 
 SHINGLE_WORDS = 5
-LEAST_SHARE = 0.5  # of the leading language in a document that stays
 
 ORACLE_SQL = None  # tokenizing, likelihoods and minwise trees are beyond SQL; tests/llm compares with brute force
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: no text, no letter, or no language with half of the text."""
+    """Drop documents without a language: no text or no letter.  One in several languages stays."""
     told = lang_mixture.with_languages(docs, lang_mixture.fit(docs))
-    kept = told.where((F.col("lang_pred") != lang_mixture.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    kept = told.where(F.col("lang_pred") != lang_mixture.UNKNOWN)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -12,7 +12,7 @@ from test_duplicates_and_search import brute_components
 from test_packing_and_sharding import check_packing
 
 import corpus_pipeline
-from plumbline.llm import markov_secrets, mixing, pii_crf
+from plumbline.llm import lang_mixture, markov_secrets, mixing, pii_crf
 from plumbline.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -250,6 +250,19 @@ def test_pipeline(spark, tmp_path):
     assert Counter(r["doc_id"] for r in kept[4] if r["start"] == 0) == Counter(r["doc_id"] for r in kept[3])
 
 
+def test_documents_in_several_languages_stay(spark):
+    """Three languages with a third of the text each: only texts without a language go."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("length(text) > 600")
+    parts = {r["lang"]: r["text"][:600] for r in docs.where("lang is not null").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    text = " ".join(parts[k] for k in sorted(parts)[:3])
+    added = spark.createDataFrame([(10 ** 9, text), (10 ** 9 + 1, "123 456 !"), (10 ** 9 + 2, None)], "doc_id long, text string")
+    both = docs.unionByName(added, allowMissingColumns=True)
+    told = lang_mixture.with_languages(both, lang_mixture.fit(both)).where(f"doc_id = {10 ** 9}").first()
+    assert len(told["languages"]) >= 3 and told["score"] < 0.5
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both, SF_DIR).where(f"doc_id >= {10 ** 9}").collect()}
+    assert kept == {10 ** 9}
+
+
 def test_pipeline_edges(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty_docs(spark), SF_DIR).collect() == [], name

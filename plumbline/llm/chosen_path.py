@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,16 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.sizing import settle
 from plumbline.llm.common import bounded, components, slices
 
-TREES = 10  # a pair at similarity 0.8 shares no first node with probability 0.2 ** TREES
+TREES = 10  # of the first round; documents that need more for TARGET get fresh ones
+TARGET = 0.99  # least chance that a pair at the similarity is compared
+FRESH = 96  # most fresh trees of a document; those below TARGET after them are compared whole
+SHALLOW = 8  # tokens a fresh tree may branch by
+TILE = 256  # documents of a node, about, that are compared whole with as many others in one step
 SKETCH = 64  # minwise tokens of a document
 NODE = 12  # documents a node may hold to be compared pair by pair
 FIRST = 3  # minwise tokens before the pairs found so far are verified
 DEPTH = 16  # minwise tokens a tree may branch by
+DEPTHS = range(FIRST, SHALLOW + 1)  # at which a document's trees are counted
 ALIKE = 38  # equal sketch bytes below which a pair is not verified: 4 deviations under 0.8
 TIGHT = 58  # equal sketch bytes with the pivot from which on a member needs no further node of its tree
 MEMO_WORDS = 150_000  # word hashes one worker keeps at a time
@@ -48,14 +54,15 @@ def shingle_set(text: str | None, words: int, memo: WordHashes) -> np.ndarray:
     return np.unique(mixed)
 
 
-def minwise(shingles: np.ndarray) -> np.ndarray:
+def minwise(shingles: np.ndarray, count: int = SKETCH, seed: int = 17) -> np.ndarray:
     """Per hash function the smallest image of any shingle: its minwise token."""
-    rng = np.random.default_rng(17)
-    factor = rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
-    shift = rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 2048):
-        least = np.minimum(least, (shingles[at:at + 2048, None] * factor + shift).min(axis=0))
+    rng = np.random.default_rng(seed)
+    factor = rng.integers(1, 1 << 63, count, dtype=np.uint64) | np.uint64(1)
+    shift = rng.integers(0, 1 << 63, count, dtype=np.uint64)
+    least = np.full(count, np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, 2048 * SKETCH // count)
+    for at in range(0, len(shingles), step):
+        least = np.minimum(least, (shingles[at:at + step, None] * factor + shift).min(axis=0))
     return least
 
 
@@ -96,23 +103,49 @@ def equal_marks(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(count, f"{fields}, alike int")
 
 
-def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame | None]:
+def fresh_paths(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+    """(class_id, tree, node, path): ``need`` fresh trees of each document, a token for each tree and depth.
+
+    ``node`` is the first node and ``path`` a byte of the token of every depth; no token is used twice.
+    """
+    texts = docs.select("doc_id", "text").join(need.select("class_id", "need"), F.col("doc_id") == F.col("class_id"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, tree = WordHashes(), np.arange(1, FRESH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for batch in slices(batches):
+            roots, paths = [], []
+            for text, trees in zip(batch.column("text").to_pylist(), batch.column("need").to_pylist(), strict=True):
+                tokens = np.concatenate([minwise(shingle_set(text, words, memo), SHALLOW, 1000 + t)[None] for t in range(trees)])
+                roots.append(((tokens[:, 0] ^ tree[:trees]) * np.uint64(0xFF51AFD7ED558CCD)).view(np.int64))
+                paths.append([p.tobytes() for p in ((tokens * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(56)).astype(np.uint8)])
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(roots, pa.list_(pa.int64())), pa.array(paths, pa.list_(pa.binary()))],
+                                             names=["class_id", "roots", "paths"])
+
+    drawn = texts.mapInArrow(sketch, f"class_id {texts.schema['class_id'].dataType.simpleString()}, roots array<long>, paths array<binary>")
+    return drawn.dropDuplicates(["class_id"]).select("class_id", F.posexplode(F.arrays_zip("roots", "paths")).alias("tree", "z")).select(
+        "class_id", "tree", F.col("z.roots").alias("node"), F.col("z.paths").alias("path"))
+
+
+def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """Branch the nodes of all trees by one minwise token after the other.
 
     ``rows`` holds (tree, node, class_id, component, marks), component being what the document is known to
-    hang together with.  Returns the pairs to compare, (a, b), and the rows of
-    nodes that are still large after the last token.  A node of at most ``NODE`` documents is compared
+    hang together with; with a column ``path`` it branches by that instead of the marks.  Returns the pairs
+    to compare, (a, b), the rows of nodes that are still large after the last token, and the
+    (class_id, depth) of all rows in nodes that were large and branched on at that depth.  A node of at most ``NODE`` documents is compared
     pair by pair.  In a larger one every document is compared with a pivot, chosen by hash; unless all
     of them nearly equal it or hang together already, the node branches on with all its documents.
     """
     order = [np.random.default_rng(100 + t).permutation(SKETCH)[:DEPTH].tolist() for t in range(TREES)]
-    small, stars = [], []
+    fresh = [c for c in rows.columns if c == "path"]
+    small, stars, stays = [], [], []
     for depth in range(first, last + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(
             F.xxhash64("class_id", "node").alias("h"), F.col("class_id").alias("id"), F.col("marks").alias("marks"))).alias("p")).where("n > 1")
-        byte = F.element_at(F.array(*[F.lit(o[depth - 1] + 1) for o in order]), F.col("tree") + 1)
+        byte = F.substring("path", depth + 1, 1) if fresh else F.substring(
+            "marks", F.element_at(F.array(*[F.lit(o[depth - 1] + 1) for o in order]), F.col("tree") + 1), F.lit(1))
         level = settle(equal_marks(rows.join(nodes, "node").select(
-            "tree", "node", "class_id", "component", "marks", "n", F.col("p.id").alias("pivot"), F.xxhash64("node", F.substring("marks", byte, F.lit(1))).alias("next"),
+            "tree", "node", "class_id", "component", "marks", *fresh, "n", F.col("p.id").alias("pivot"), F.xxhash64("node", byte).alias("next"),
             F.col("marks").alias("marks_a"), F.col("p.marks").alias("marks_b"))))
         small.append(level.where(F.col("n") <= NODE).select("node", "class_id"))
         large = level.where(F.col("n") > NODE)
@@ -120,17 +153,69 @@ def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame |
             F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")))
         loose = large.groupBy("node").agg(F.min("alike").alias("least"), F.min("component").alias("c"), F.max("component").alias("d")).where(
             (F.col("least") < TIGHT) & (F.col("c") != F.col("d"))).select("node")
-        rows = large.join(loose, "node", "left_semi").select("tree", F.col("next").alias("node"), "class_id", "component", "marks")
+        rows = large.join(loose, "node", "left_semi").select("tree", F.col("next").alias("node"), "class_id", "component", "marks", *fresh)
         if loose.isEmpty():
             rows = None
             break
+        stays.append(rows.select("class_id", F.lit(depth).alias("depth")))
     grouped, every = small[0], stars[0]
     for more, star in zip(small[1:], stars[1:], strict=True):
         grouped, every = grouped.unionByName(more), every.unionByName(star)
     ids = grouped.groupBy("node").agg(F.sort_array(F.collect_set("class_id")).alias("ids"))  # at most NODE each
     pairs = ids.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(
         F.slice("ids", i + 2, F.greatest(F.size("ids") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    return pairs.select("p.a", "p.b").unionByName(every).distinct(), rows
+    return pairs.select("p.a", "p.b").unionByName(every).distinct(), rows, stays
+
+
+def with_need(seen: DataFrame, percent: int) -> DataFrame:
+    """Add ``need``, the trees a document lacks for TARGET, to (class_id, trees, stay_d for every depth d of DEPTHS).
+
+    A pair meets in a small node of a tree when it shares d tokens (probability J^d at least) and the node
+    is small by then.  So the chance is at least J^d less the share of the document's trees that are
+    still large after d tokens, at whichever d this is best; null needs stand for a chance of none.
+    """
+    chance = F.greatest(*[F.lit((percent / 100) ** d) - (F.col(f"stay_{d}") + 0.5) / (F.col("trees") + 1) for d in DEPTHS])
+    return seen.withColumn("need", F.when(chance > 0, F.ceil(math.log(1 - TARGET) / F.log(1 - chance)) - F.col("trees")))
+
+
+def counted(stays: list[DataFrame]) -> DataFrame:
+    """(class_id, stay_d for every depth d of DEPTHS): trees in which the document's node was still large after d tokens."""
+    every = stays[0]
+    for more in stays[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("class_id").agg(*[F.count_if(F.col("depth") == d).alias(f"stay_{d}") for d in DEPTHS])
+
+
+def whole_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of rows (node, class_id, component, marks) of a node that differ in component and may be alike.
+
+    Nodes are cut into tiles by hash; two tiles meet in one row, and only pairs with alike sketches leave it.
+    """
+    sized = rows.join(rows.groupBy("node").agg(F.ceil(F.count("*") / TILE).alias("tiles"), F.min("component").alias("c"),
+                                               F.max("component").alias("d")).where("c != d").select("node", "tiles"), "node")
+    tiles = sized.groupBy("node", "tiles", F.pmod(F.xxhash64(F.lit("tile"), "class_id"), F.col("tiles")).alias("tile")).agg(
+        F.collect_list(F.struct("class_id", "component", "marks")).alias("held"))
+    # each tile goes once to every other of its node: a row per pair of tiles, dealt by the pair
+    other = tiles.select("node", "tile", "held", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("o"))
+    left = other.where("tile <= o").select("node", F.col("tile").alias("lo"), F.col("o").alias("hi"), F.col("held").alias("left"))
+    right = other.where("tile >= o").select("node", F.col("o").alias("lo"), F.col("tile").alias("hi"), F.col("held").alias("right"))
+    met = left.join(right, ["node", "lo", "hi"]).select("left", "right")
+    kind = rows.schema["class_id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            one, two = batch.column("left").to_pylist()[0], batch.column("right").to_pylist()[0]
+            marks = np.frombuffer(b"".join(r["marks"] for r in two), np.uint8).reshape(-1, SKETCH)
+            firsts, seconds = [], []
+            for r in one:
+                for i in np.flatnonzero((marks == np.frombuffer(r["marks"], np.uint8)).sum(axis=1) >= ALIKE).tolist():
+                    if two[i]["component"] != r["component"]:
+                        firsts.append(min(r["class_id"], two[i]["class_id"]))
+                        seconds.append(max(r["class_id"], two[i]["class_id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, batch.schema.field("left").type.value_type.field("class_id").type),
+                                              pa.array(seconds, batch.schema.field("left").type.value_type.field("class_id").type)], names=["a", "b"])
+
+    return met.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
 def tested(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -161,11 +246,14 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 
 
 def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, component) of the classes that link, from ``TREES`` independent trees.
+    """(id, component) of the classes that link, from ``TREES`` trees and fresh ones up to ``TARGET``.
 
     After ``FIRST`` tokens the pairs found so far are verified; a large node whose documents are all
     connected by then is done.  Only the others branch on, up to ``DEPTH`` tokens, and what is still
-    large then is compared with all of its node outside the own component, so nothing is left out.
+    large then is compared with all of its node outside the own component.  A document whose nodes stay
+    large so long that a pair may be lost gets fresh trees, and only as many as ``with_need`` says; a pair
+    is safe when one of its documents is.  Those that ``FRESH`` of them do not bring to ``TARGET`` are compared with all others of the kind in their nodes of ``FIRST`` tokens, where a pair
+    meets with probability 1 - (1 - J^FIRST)^TREES.
     """
     def link(pairs: DataFrame) -> DataFrame:
         return settle(verified(docs, settle(tested(pairs, reps, percent)), words, percent))
@@ -174,7 +262,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     shared = roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
     rows = roots.join(shared, "node", "left_semi").join(reps.select("class_id", "marks"), "class_id").select(
         "tree", "node", "class_id", F.col("class_id").alias("component"), "marks")
-    pairs, rest = walk(rows, 1, FIRST)
+    pairs, rest, _ = walk(rows, 1, FIRST)
     links = link(pairs)
     linked = settle(components(links))
     if rest is None:
@@ -186,18 +274,46 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     rest = settle(known.join(mixed, "node", "left_semi"))
     if rest.isEmpty():
         return linked
-    pairs, rest = walk(rest, FIRST + 1, DEPTH)
+    large = rest
+    pairs, rest, stays = walk(rest, FIRST + 1, DEPTH)
     if rest is not None:
         members = settle(rest.select("node", "class_id", "component"))
         most = members.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "component"))["component"].alias("most"))
         outside = members.join(most, "node").where("component != most").select("node", F.col("class_id").alias("x"), F.col("component").alias("c"))
         pairs = pairs.unionByName(outside.join(members, "node").where("component != c and x != class_id").select(
             F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b"))).distinct()
-    far = pairs
-    for side in "ab":
-        far = far.join(placed.select(F.col("class_id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-    far = far.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    return components(links.unionByName(link(far)))
+
+    def across(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(linked.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+    def placed_rows(rows: DataFrame) -> DataFrame:
+        return rows.join(linked.select(F.col("id").alias("class_id"), "component"), "class_id", "left").withColumn(
+            "component", F.coalesce("component", "class_id"))
+
+    links = links.unionByName(link(across(pairs)))
+    linked = settle(components(links))
+    stays.append(large.select("class_id", F.lit(FIRST).alias("depth")))
+    seen = counted(stays).withColumn("trees", F.lit(TREES).cast("long"))
+    seen = settle(with_need(seen, percent).where("need > 0 or need is null").withColumn("need", F.least(F.coalesce("need", F.lit(FRESH)), F.lit(FRESH)).cast("int")))
+    n = seen.count()
+    if n < 2:
+        return linked
+    paths = fresh_paths(docs, bounded(seen.select("class_id", "need"), n), words)
+    pairs, _, stays = walk(settle(placed_rows(paths.join(reps.select("class_id", "marks"), "class_id"))), 1, SHALLOW)
+    links = links.unionByName(link(across(pairs)))
+    linked = settle(components(links))
+    more = counted([*stays, seen.select("class_id", F.lit(0).alias("depth"))])
+    counts = [f"stay_{d}" for d in DEPTHS]
+    seen = seen.join(more.select("class_id", *[F.col(c).alias(f"more_{c}") for c in counts]), "class_id").select(
+        "class_id", *[(F.col(c) + F.col(f"more_{c}")).alias(c) for c in counts], (F.col("trees") + F.col("need")).alias("trees"))
+    left = settle(with_need(seen, percent).where("need > 0 or need is null").select("class_id"))
+    n = left.count()
+    if n < 2:
+        return linked
+    pairs = whole_pairs(placed_rows(large.drop("component").join(bounded(left, n), "class_id", "left_semi")))
+    return components(links.unionByName(link(across(settle(pairs)))))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:

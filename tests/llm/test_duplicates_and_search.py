@@ -76,6 +76,29 @@ def test_near_duplicates(spark, source):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
 
 
+def template_texts(pairs, passage=170, own=30, changed=16, seed=3):
+    """Texts that all share one passage; 2i and 2i + 1 also share most of their own words and reach the similarity."""
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+    shared, texts = words(passage), {}
+    for i in range(pairs):
+        kept = words(own - changed)
+        for j in (0, 1):
+            texts[2 * i + j] = " ".join(shared + kept + words(changed))
+    return texts
+
+
+def test_near_duplicates_of_a_template(spark):
+    """Pairs inside a family that shares a long passage: nodes stay large, so ten trees alone lose some."""
+    texts = template_texts(300)
+    sets = {k: shingles(t) for k, t in texts.items()}
+    assert all(100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1]) for k in range(0, 600, 2))
+    assert all(100 * len(sets[0] & sets[k]) < 80 * len(sets[0] | sets[k]) for k in range(2, 600))
+    got = {r["doc_id"]: r["component_id"] for r in chosen_path.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert set(got.values()) <= set(got) and all(c in (k, k - k % 2) for k, c in got.items())
+    assert sum(got[k] == got[k + 1] for k in range(0, 600, 2)) >= 0.99 * 300
+
+
 def test_near_duplicate_edges(spark):
     rows = chosen_path.near_duplicates(edge_docs(spark)).collect()
     assert len(rows) == edge_docs(spark).count()

@@ -14,7 +14,7 @@ HEX = r"[0-9a-f]{24,}"
 VALUE_LENGTH = 6  # least length of an assigned value
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-TOKEN = r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{16,}"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"  # the parts of a dotted token are judged one by one
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{5,}"
 TRAIN_DOCUMENTS = 5000  # documents without a base match that ordinary identifiers are learned from, about
 PRIOR_ODDS = math.log(1e4)  # against a long token being a secret

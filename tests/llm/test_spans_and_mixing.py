@@ -102,6 +102,21 @@ def test_markov_models(spark):
     assert np.allclose(np.array(ratios).reshape(wide, wide), logs - np.log(usual / usual.sum(axis=1, keepdims=True)), atol=1e-9)
 
 
+def test_dotted_secrets(spark):
+    """The parts of a JWT and of a dotted key are judged one by one; file names and hosts are left."""
+    rng = np.random.default_rng(6)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    random = lambda n: "".join(rng.choice(letters, n))
+    rows = [(i, f"the token={random(32)} and some_ordinary_identifier here") for i in range(300)]
+    ordinary = " ".join(f"value{c}name{c}size" for c in letters)
+    rows += [(1000 + i, f"{ordinary} {i} some_module_name internal-service-host") for i in range(300)]
+    jwt = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c"]
+    plain = "see some_module_name_size.internal-service-host.value_name_size too"
+    rows += [(5000, f"Bearer {'.'.join(jwt)} end"), (5001, f"SG.{random(22)}.{random(43)} end"), (5002, plain)]
+    got = {r["doc_id"]: r["text"] for r in markov_secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 5000").collect()}
+    assert got == {5000: "Bearer [SECRET].[SECRET].[SECRET] end", 5001: "SG.[SECRET].[SECRET] end", 5002: plain}
+
+
 def test_redaction(spark):
     rows = [(1, "see password: hunter2hunter2 and 𝒳 " + "0f" * 12 + " end"), (2, "clean text"), (3, None), (4, "")]
     got = {r["doc_id"]: r["text"] for r in markov_secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.sizing import settle
 from plumbline.llm import (
-    chosen_path, collision, histogram_sort, lang_mixture, markov_secrets, mixing, multi_index, packing,
-    pii_crf, pu_quality,
+    chosen_path, collision, collocations, hard_negatives, histogram_sort, lang_mixture, markov_secrets, mixing,
+    multi_index, packing, pii_crf, pu_quality, url_ratio,
 )
 from plumbline.llm.common import documents, held_out
 
@@ -106,6 +106,62 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+# fixed values: the rules of the query
+URL_RULES = [url_ratio.Rule("allow", "org", "/"), url_ratio.Rule("block", "example.org", "/es/"),
+             url_ratio.Rule("block", "example.org", "/en/1"), url_ratio.Rule("allow", "com", "/fr/"), url_ratio.Rule("block", "com", "/de/")]
+
+
+@query("op11_url_ratio")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_ratio.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query("op12_collocations", r"""
+    WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+    lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda w: w <> '') AS words FROM pieces),
+    grams AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+              FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM lists, (SELECT unnest(range(1, 6)) AS k))),
+    counted AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+    totals AS (SELECT lang, sum(len(words)) AS n FROM lists GROUP BY lang),
+    found AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM counted WHERE k > 1),
+    cuts AS (SELECT lang, k, phrase, a, words, unnest(range(1, k)) AS cut FROM found),
+    valued AS (SELECT c.lang, c.k, c.phrase, c.a, c.cut, h.f AS l, t.f AS r, s.n,
+                   CAST((CAST(1000 AS HUGEINT) * c.a * s.n) // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+               FROM cuts c JOIN counted h ON h.lang = c.lang AND h.phrase = array_to_string(c.words[1:c.cut], ' ')
+               JOIN counted t ON t.lang = c.lang AND t.phrase = array_to_string(c.words[c.cut + 1:c.k], ' ') JOIN totals s ON s.lang = c.lang),
+    lowest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    kept AS (SELECT * FROM lowest p WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.lang = p.lang AND o.k > p.k AND 100 * o.a >= 100 * p.a
+                 AND contains(' ' || o.phrase || ' ', ' ' || p.phrase || ' ')))
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM kept QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), support=100, longest=5, most=2000)
+
+
+@query("op13_hard_negatives", """
+    WITH fit AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                     list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+                 FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.vec_id AS anchor_id, o.vec_id AS other, q.label = o.label AS same,
+                   CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * o.v[i])) AS BIGINT) AS score
+               FROM fit q JOIN fit o ON q.vec_id <> o.vec_id AND len(q.v) = len(o.v) WHERE q.vec_id % 50 = 0),
+    positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+    met AS (SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) AS INTEGER) AS rank,
+                s.other AS negative_id, p.positive_score, s.score AS negative_score
+            FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+                AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+    SELECT * FROM met WHERE rank <= 3""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, F.col("vec_id") % 50 == 0)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -34,17 +34,26 @@ def quantised(vectors: np.ndarray) -> np.ndarray:
 
 
 class SortedLists:
-    """A block of rows with one list per component, sorted by its value."""
+    """A block of rows with one list per component, sorted by its value; rows stand in order of their ids."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.labels, self.values = ids, labels, quantised(vectors)
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.values = ids[order], quantised(vectors[order])
+        self.labels, self.kinds = np.unique(labels[order].astype(str), return_inverse=True)
         self.orders = np.argsort(self.values, axis=0, kind="stable").T  # rows by rising value, a list a component
 
+    def other_labels(self, label: object) -> np.ndarray:
+        at = int(np.searchsorted(self.labels, str(label)))
+        if at == len(self.labels) or self.labels[at] != str(label):
+            return np.ones(len(self.ids), bool)
+        return self.kinds != at
+
     def walk(self, anchor: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, object]]:
         """Rounds of (rows met anew, their scores, threshold): no row yet to come scores above the threshold.
 
         A component above zero is read from its largest value down, one below zero from its smallest up;
-        zero components add nothing and are not read.  Each round reads four times as deep as the one before.
+        zero components add nothing and are not read.  Each round reads four times as deep as the one
+        before; once half the block is met, the next round takes the rest, after which there is no threshold.
         """
         total, axes, values = len(self.ids), np.flatnonzero(anchor != 0), self.values
         if values.dtype != anchor.dtype:  # only one side needs Python integers
@@ -52,50 +61,51 @@ class SortedLists:
         if not len(axes):
             yield np.arange(total), np.zeros(total), None
             return
-        down = anchor[axes] > 0
-        seen, depth = np.zeros(total, bool), 0
+        down, lists = anchor[axes] > 0, self.orders[axes]
+        waiting, every, depth = np.ones(total, bool), None, 0
         while depth < total:
-            deep = min(total, max(STEP, 4 * depth))
-            lists = self.orders[axes]
-            fresh = np.zeros(total, bool)
-            fresh[lists[down, total - deep:total - depth].ravel()] = True
-            fresh[lists[~down, depth:deep].ravel()] = True
-            fresh &= ~seen
-            seen |= fresh
-            rows, depth = np.flatnonzero(fresh), deep
+            deep = total if every is not None else min(total, max(STEP, 4 * depth))
+            if deep == total:
+                rows = np.flatnonzero(waiting)
+            else:
+                met = np.zeros(total, bool)
+                met[lists[down, total - deep:total - depth].ravel()] = True
+                met[lists[~down, depth:deep].ravel()] = True
+                rows = np.flatnonzero(met & waiting)
+                waiting[rows] = False
+            depth = deep
+            if every is None and 2 * np.count_nonzero(waiting) < total:
+                every = values @ anchor
+            scores = every[rows] if every is not None else values[rows] @ anchor
             ends = np.where(down, lists[:, total - deep], lists[:, deep - 1])
-            scores = values[rows] @ anchor if 2 * len(rows) < total else (values @ anchor)[rows]
             yield rows, scores, (None if deep == total else (values[ends, axes] * anchor[axes]).sum())
 
     def best(self, anchor: np.ndarray, use: np.ndarray, windows: list[tuple[object, object]], k: int) -> list[list[tuple[int, int]]]:
         """Per window the first ``k`` used rows (score, id) with low <= score <= high, by falling score, then id.
 
         Access stops once the threshold falls strictly below the kth score of each window, or below its low
-        end where fewer are found; None leaves an end open.
+        end where fewer are found; None leaves an end open, and a window whose ends cross holds nothing.
         """
         kept: list[list[tuple[int, int]]] = [[] for _ in windows]
-        for rows, scores, threshold in self.walk(anchor):
-            mine = use[rows]
-            rows, scores = rows[mine], scores[mine]
-            done = threshold is not None
-            for w, (low, high) in enumerate(windows):
-                if low is not None and high is not None and low > high:
-                    continue
-                fit = np.ones(len(rows), bool)
-                if low is not None:
-                    fit &= (scores >= low).astype(bool)
-                if high is not None:
-                    fit &= (scores <= high).astype(bool)
-                if len(kept[w]) == k:
-                    fit &= (scores >= kept[w][-1][0]).astype(bool)
-                there = np.flatnonzero(fit)
-                if len(there) > k:
-                    there = there[np.lexsort((self.ids[rows[there]], -scores[there]))[:k]] if scores.dtype != object else there
-                found = [(int(scores[i]), int(self.ids[rows[i]])) for i in there]
+        able = [w for w, (low, high) in enumerate(windows) if low is None or high is None or low <= high]
+        for rows, scores, threshold in self.walk(anchor) if able else ():
+            least = [kept[w][-1][0] if len(kept[w]) == k else windows[w][0] for w in able]
+            fit = use[rows]
+            if None not in least:
+                fit &= (scores >= min(least)).astype(bool)
+            if all(windows[w][1] is not None for w in able):
+                fit &= (scores <= max(windows[w][1] for w in able)).astype(bool)
+            there = np.flatnonzero(fit)
+            there = there[np.argsort(-scores[there], kind="stable")]  # ties stay in order of ids
+            falling = -scores[there]
+            for w in able:
+                low, high = windows[w]
+                begin = 0 if high is None else int(np.searchsorted(falling, -high, "left"))
+                stop = len(there) if low is None else int(np.searchsorted(falling, -low, "right"))
+                found = [(int(scores[i]), int(self.ids[rows[i]])) for i in there[begin:min(stop, begin + k)].tolist()]
                 kept[w] = sorted(kept[w] + found, key=lambda f: (-f[0], f[1]))[:k]
-                least = kept[w][-1][0] if len(kept[w]) == k else low
-                done = done and least is not None and threshold < least
-            if done:
+            ends = [kept[w][-1][0] if len(kept[w]) == k else windows[w][0] for w in able]
+            if threshold is None or None not in ends and threshold < min(ends):
                 break
         return kept
 
@@ -168,7 +178,7 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
             found = []
             group = _packed(batch.column("group_rows")[0])
             for anchor, own in zip(group[0].tolist(), quantised(group[2]), strict=True):
-                for score, other in lists.best(own, ids != anchor, [(None, None)], positives)[0]:
+                for score, other in lists.best(own, lists.ids != anchor, [(None, None)], positives)[0]:
                     found.append((anchor, _whole_number(score), other))
             yield from _batch(found, ["anchor", "score", "other"], kind)
 
@@ -189,7 +199,7 @@ def hard_negatives(vectors: DataFrame, anchors: Column, positives: int = 5, nega
                 scores = [g["positive_score"] for g in goals]
                 # whole bounds of the window: low * p <= 100 * s and 100 * s <= high * p
                 windows = [(-(-low * p // 100), high * p // 100) for p in scores]
-                for goal, first in zip(goals, lists.best(vector, labels != label, windows, negatives), strict=True):
+                for goal, first in zip(goals, lists.best(vector, lists.other_labels(label), windows, negatives), strict=True):
                     found += [(anchor, goal["positive"], goal["positive_score"], _whole_number(s), o) for s, o in first]
             yield from _batch(found, ["anchor", "positive", "positive_score", "score", "other"], kind)
 

@@ -6,7 +6,8 @@ import io
 
 import numpy as np
 
-WINDOW = 64  # free slots tried for a node with several children before it is put behind all others
+WINDOW = 64  # first free slots tried for a node with several children
+SCATTERED = 192  # further slots tried all over the arrays before it is put behind all others
 
 
 class _Slots:
@@ -15,6 +16,7 @@ class _Slots:
     def __init__(self, size: int) -> None:
         self.check = np.full(size, -1, np.int32)
         self.low, self.end = 1, 1  # no free slot below ``low``; none used from ``end`` on
+        self.draw = np.random.default_rng(29)
         self.check[0] = 0
 
     def room(self, size: int) -> None:
@@ -25,14 +27,12 @@ class _Slots:
         """A base at which all of these codes fall on free slots."""
         span, steps = int(codes[-1] - codes[0]), codes - codes[0]
         self.room(self.end + span + 1)
-        seen = self.check[self.low:self.end]
-        free = np.flatnonzero(seen[:16 * WINDOW] < 0)[:WINDOW] + self.low
-        if len(free):
-            self.low = int(free[0])
-            self.room(int(free[-1]) + span + 1)
-            fits = np.flatnonzero((self.check[free[:, None] + steps[None, :]] < 0).all(axis=1))
-            if len(fits):
-                return int(free[fits[0]] - codes[0])
+        near = np.flatnonzero(self.check[self.low:self.low + 16 * WINDOW] < 0)[:WINDOW] + self.low
+        self.low = int(near[0]) if len(near) else min(self.low + 16 * WINDOW, self.end)
+        first = np.concatenate([near[near < self.end], np.sort(self.draw.integers(min(self.low, self.end - 1), self.end, SCATTERED))])
+        fits = np.flatnonzero((self.check[first[:, None] + steps[None, :]] < 0).all(axis=1))
+        if len(fits):
+            return int(first[fits[0]] - codes[0])
         return int(self.end - codes[0])
 
     def put(self, slots: np.ndarray, parents: np.ndarray | int) -> None:
@@ -47,7 +47,9 @@ def build(phrases: list[tuple[str, tuple[int, ...]]]) -> bytes:
     children are placed first, into gaps where they fit; those with one child fill what is left.
     """
     langs = sorted({lang for lang, _ in phrases})
-    vocab = np.unique(np.array([h for _, words in phrases for h in words], np.int64))
+    vocab, uses = np.unique(np.array([h for _, words in phrases for h in words], np.int64), return_counts=True)
+    code = np.empty(len(vocab), np.int32)  # frequent words get small codes, so that the children of a node lie close together
+    code[np.argsort(-uses, kind="stable")] = np.arange(1, len(vocab) + 1)
     deep = max(len(words) for _, words in phrases)
     table = np.zeros((len(phrases), deep + 1), np.int64)  # codes from 1; the language comes first
     number = {lang: i + 1 for i, lang in enumerate(langs)}
@@ -57,7 +59,7 @@ def build(phrases: list[tuple[str, tuple[int, ...]]]) -> bytes:
     sizes = np.array([len(words) for _, words in phrases])
     for d in range(deep):
         held = sizes > d
-        table[held, d + 1] = np.searchsorted(vocab, table[held, d + 1]) + 1
+        table[held, d + 1] = code[np.searchsorted(vocab, table[held, d + 1])]
     slots = _Slots(4 * len(phrases) + 16)
     base = np.zeros(len(slots.check), np.int32)
     at = np.zeros(len(phrases), np.int64)  # the slot that each phrase has reached
@@ -84,7 +86,7 @@ def build(phrases: list[tuple[str, tuple[int, ...]]]) -> bytes:
     accept = np.full(slots.end, -1, np.int32)
     accept[at] = np.arange(len(phrases))
     out = io.BytesIO()
-    np.savez(out, langs=np.array(langs, dtype=object), starts=np.array([base[0] + number[lang] for lang in langs]), vocab=vocab,
+    np.savez(out, langs=np.array(langs, dtype=object), starts=np.array([base[0] + number[lang] for lang in langs]), vocab=vocab, code=code,
              base=base[:slots.end], check=slots.check[:slots.end], accept=accept, phrases=len(phrases), deep=deep)
     return out.getvalue()
 
@@ -94,7 +96,7 @@ class Trie:
 
     def __init__(self, data: bytes) -> None:
         held = np.load(io.BytesIO(data), allow_pickle=True)
-        self.vocab, self.base, self.check, self.accept = (held[k] for k in ("vocab", "base", "check", "accept"))
+        self.vocab, self.code, self.base, self.check, self.accept = (held[k] for k in ("vocab", "code", "base", "check", "accept"))
         self.starts = dict(zip(held["langs"].tolist(), held["starts"].tolist(), strict=True))
         self.phrases, self.deep = int(held["phrases"]), int(held["deep"])
 
@@ -107,7 +109,7 @@ class Trie:
             return
         place = np.searchsorted(self.vocab, words)
         place[place == len(self.vocab)] = 0
-        codes = np.where((self.vocab[place] == words) & (words != 0), place + 1, 0)
+        codes = np.where((self.vocab[place] == words) & (words != 0), self.code[place], 0)
         at = np.flatnonzero(codes)
         state = np.full(len(at), self.starts[lang], np.int64)
         for _ in range(self.deep):

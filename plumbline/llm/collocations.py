@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.sizing import settle
@@ -20,6 +21,8 @@ NO_LANGUAGE = "und"
 
 BITS = 26  # a filter of hashes has 2 to this power bits
 PART = 500_000  # candidates of one trie
+CHUNK = 4096  # counts that travel in one row
+SHARDS = 64  # groups of tasks whose counts are added first
 MEMO_WORDS = 150_000  # word hashes one worker keeps at a time
 HELD_WORDS = 300_000  # distinct words one worker counts before it passes them on
 HELD_KEYS = 2_000_000  # keys one worker gathers before it passes them on
@@ -257,11 +260,21 @@ def candidates(runs: DataFrame, longer: HashFilter, seed: int, longest: int) ->
     return runs.mapInArrow(gather, "lang string, words array<long>").distinct()
 
 
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "sums": [sum(np.frombuffer(b, np.int64) for b in rows["sums"]).tobytes()]})
+
+
+def _unpacked(rows: pd.DataFrame) -> pd.DataFrame:
+    counts = np.frombuffer(_added(rows)["sums"].iloc[0], np.int64)
+    return pd.DataFrame({"number": np.arange(len(counts)) + int(rows["chunk"].iloc[0]) * CHUNK, "f": counts})
+
+
 def phrase_counts(runs: DataFrame, found: DataFrame) -> DataFrame:
     """(lang, words, f): how often each candidate lies in the runs.
 
     Candidates are dealt by hash into tries of about ``PART``; each is built in a task and broadcast alone,
-    so what travels is bounded and more candidates mean more passes over the runs.
+    so what travels is bounded and more candidates mean more passes over the runs.  A task returns its
+    counts in chunks of ``CHUNK``; they are added up in two steps, so no task meets those of all others.
     """
     parts = max(1, -(-found.count() // PART))
 
@@ -284,11 +297,13 @@ def phrase_counts(runs: DataFrame, found: DataFrame) -> DataFrame:
             counts = np.zeros(trie.phrases, np.int64)
             for lang, words in _runs(batches):
                 trie.count(lang, words.view(np.int64), counts)
-            seen = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(counts[seen])], names=["number", "n"])
+            places = range(0, trie.phrases if counts.any() else 0, CHUNK)
+            shard = TaskContext.get().partitionId() % SHARDS
+            yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK for at in places], pa.int32()), pa.array([shard] * len(places), pa.int32()),
+                                              pa.array([counts[at:at + CHUNK].tobytes() for at in places], pa.binary())], names=["chunk", "shard", "sums"])
 
-        sums = runs.mapInArrow(count, "number int, n long").groupBy("number").agg(F.sum("n").alias("f"))
-        counted.append(settle(sums.withColumn("part", F.lit(part))))
+        sums = runs.mapInArrow(count, "chunk int, shard int, sums binary").groupBy("chunk", "shard").applyInPandas(_added, "chunk int, sums binary")
+        counted.append(settle(sums.groupBy("chunk").applyInPandas(_unpacked, "number int, f long").withColumn("part", F.lit(part))))
     every = counted[0] if counted else runs.sparkSession.createDataFrame([], "number int, f long, part int")
     for more in counted[1:]:
         every = every.unionByName(more)

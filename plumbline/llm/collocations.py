@@ -212,21 +212,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]
         yield batch.column("lang")[0].as_py(), np.frombuffer(batch.column("runs")[0].as_py(), np.uint64)
 
 
-def longer_support(runs: DataFrame, seed: int, longest: int) -> DataFrame:
-    """(key, n): hashed counts of all sequences of three and more words inside runs."""
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
-        for lang, words in _runs(batches):
-            for k, _, keys in _levels(words, lang, seed, longest):
-                if k > 2:
-                    yield from tally.add(keys)
-        yield from tally.flush()
-
-    return runs.mapInArrow(gather, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def candidates(runs: DataFrame, seed: int, support: int, longest: int) -> DataFrame:
+    """Distinct (lang, words): the sequences inside runs whose hashed count reaches the support.
 
-
-def candidates(runs: DataFrame, longer: HashFilter, seed: int, longest: int) -> DataFrame:
-    """Distinct (lang, words): sequences whose own hashed count and those of all their parts reach the support."""
+    All parts of such a sequence reach it, too.  Sequences that share a hash share a count and come along together.
+    """
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
         size = 0
@@ -234,30 +224,28 @@ def candidates(runs: DataFrame, longer: HashFilter, seed: int, longest: int) ->
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, k), parts in held.items():
                 keys, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-                other = np.flatnonzero((rows != rows[first][which]).any(axis=1))  # another sequence of the same key
+                own, first, which, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+                other = np.flatnonzero((rows != rows[first][which]).any(axis=1))  # another sequence of the same hash, counted with it
                 flat = np.concatenate([rows[first], rows[other]])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(flat) + 1, k), pa.int32()), pa.array(flat.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(flat), pa.string()), lists], names=["lang", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([own, keys[other]]).view(np.int64)), pa.array(np.concatenate([counts, np.zeros(len(other), np.int64)])),
+                     pa.array([lang] * len(flat), pa.string()), lists], names=["key", "n", "lang", "words"])
             held.clear()
 
         for lang, words in _runs(batches):
-            below = np.zeros(len(words) + 1, bool)  # positions where a sequence of one word less is possible
             for k, at, keys in _levels(words, lang, seed, longest):
-                if k > 2:
-                    fine = longer(keys) & below[at] & below[at + 1]
-                    at, keys = at[fine], keys[fine]
-                below[:] = False
-                below[at] = True
                 if len(at):
                     held.setdefault((lang, k), []).append((keys, words[at[:, None] + np.arange(k)]))
                     size += k * len(at)
-            if size >= HELD_KEYS:
+            if size >= 2 * HELD_KEYS:
                 yield from flush()
                 size = 0
         yield from flush()
 
-    return runs.mapInArrow(gather, "lang string, words array<long>").distinct()
+    found = runs.mapInArrow(gather, "key long, n long, lang string, words array<long>")
+    reached = found.groupBy("key").agg(F.sum("n").alias("n"), F.collect_set(F.struct("lang", "words")).alias("same")).where(F.col("n") >= support)
+    return reached.select(F.inline("same"))
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
@@ -339,8 +327,7 @@ def collocations(docs: DataFrame, support: int = 100, longest: int = 5, most: in
     single = HashFilter(words.select("key"))
     double = HashFilter(pair_support(slim, single, seed).where(F.col("n") >= support))
     runs = settle(frequent_runs(slim, single, double, seed))
-    longer = HashFilter(longer_support(runs, seed, longest).where(F.col("n") >= support))
-    found = settle(candidates(runs, longer, seed, longest))
+    found = settle(candidates(runs, seed, support, longest))
     frequent = phrase_counts(runs, found).where(F.col("f") >= support)
     phrases = settle(_spelled(frequent, words))
     return scored(phrases, every, support, most)

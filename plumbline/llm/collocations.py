@@ -21,6 +21,7 @@ NO_LANGUAGE = "und"
 
 BITS = 26  # a filter of hashes has 2 to this power bits
 PART = 500_000  # candidates of one trie
+RUN_WORDS = 16_000_000  # frequent words of one file of runs, at most about
 CHUNK = 4096  # counts that travel in one row
 SHARDS = 64  # groups of tasks whose counts are added first
 MEMO_WORDS = 150_000  # word hashes one worker keeps at a time
@@ -121,7 +122,7 @@ class HashFilter:
 
 
 def word_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """(lang, hash, word, last, key, n) of every word; ``last`` differs from ``word`` if two words share a hash."""
+    """(lang, hash, word, last, n) of every word; ``last`` differs from ``word`` if two words share a hash."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
@@ -132,8 +133,7 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 hashes = np.fromiter((memo[w] for w in words), np.uint64, len(words))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(words), pa.string()), pa.array(hashes.view(np.int64)), pa.array(words, pa.binary()),
-                     pa.array(_first_keys(hashes, lang, seed).view(np.int64)), pa.array(list(counted.values()), pa.int64())],
-                    names=["lang", "hash", "word", "key", "n"])
+                     pa.array(list(counted.values()), pa.int64())], names=["lang", "hash", "word", "n"])
             held.clear()
 
         for batch in slices(batches, TEXTS):
@@ -143,8 +143,19 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    found = docs.mapInArrow(count, "lang string, hash long, word binary, key long, n long")
-    return found.groupBy("lang", "hash").agg(F.min("word").alias("word"), F.max("word").alias("last"), F.min("key").alias("key"), F.sum("n").alias("n"))
+    found = docs.mapInArrow(count, "lang string, hash long, word binary, n long")
+    return found.groupBy("lang", "hash").agg(F.min("word").alias("word"), F.max("word").alias("last"), F.sum("n").alias("n"))
+
+
+def word_keys(words: DataFrame, seed: int) -> DataFrame:
+    """The key of every (lang, hash)."""
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, hashes = batch.column("lang").to_pylist(), batch.column("hash").to_numpy().view(np.uint64)
+            own = {lang: _language_key(lang, seed) for lang in set(langs)}
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(hashes ^ np.array([own[x] for x in langs], np.uint64)).view(np.int64))], names=["key"])
+
+    return words.select("lang", "hash").mapInArrow(keys, "key long")
 
 
 def hashed_words(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -212,40 +223,60 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]
         yield batch.column("lang")[0].as_py(), np.frombuffer(batch.column("runs")[0].as_py(), np.uint64)
 
 
-def candidates(runs: DataFrame, seed: int, support: int, longest: int) -> DataFrame:
-    """Distinct (lang, words): the sequences inside runs whose hashed count reaches the support.
+def longer_support(runs: DataFrame, seed: int, longest: int) -> DataFrame:
+    """(key, n): hashed counts of all sequences of three and more words inside runs."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally()
+        for lang, words in _runs(batches):
+            for k, _, keys in _levels(words, lang, seed, longest):
+                if k > 2:
+                    yield from tally.add(keys)
+        yield from tally.flush()
 
-    All parts of such a sequence reach it, too.  Sequences that share a hash share a count and come along together.
-    """
+    return runs.mapInArrow(gather, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def candidates(runs: DataFrame, longer: HashFilter, seed: int, longest: int) -> DataFrame:
+    """Distinct (lang, words): sequences whose own hashed count and those of all their parts reach the support."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list] = {}
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, k), parts in held.items():
+        def distinct() -> int:
+            for which, parts in held.items():
                 keys, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                own, first, which, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-                other = np.flatnonzero((rows != rows[first][which]).any(axis=1))  # another sequence of the same hash, counted with it
-                flat = np.concatenate([rows[first], rows[other]])
+                _, first, same = np.unique(keys, return_index=True, return_inverse=True)
+                other = (rows != rows[first][same]).any(axis=1)  # another sequence of the same key
+                kept = np.concatenate([first, np.flatnonzero(other)])
+                held[which] = [(keys[kept], rows[kept])]
+            return sum(parts[0][1].size for parts in held.values())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            distinct()
+            for (lang, k), ((_, flat),) in held.items():
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k * len(flat) + 1, k), pa.int32()), pa.array(flat.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([own, keys[other]]).view(np.int64)), pa.array(np.concatenate([counts, np.zeros(len(other), np.int64)])),
-                     pa.array([lang] * len(flat), pa.string()), lists], names=["key", "n", "lang", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(flat), pa.string()), lists], names=["lang", "words"])
             held.clear()
 
         for lang, words in _runs(batches):
+            below = np.zeros(len(words) + 1, bool)  # positions where a sequence of one word less is possible
             for k, at, keys in _levels(words, lang, seed, longest):
+                if k > 2:
+                    fine = longer(keys) & below[at] & below[at + 1]
+                    at, keys = at[fine], keys[fine]
+                below[:] = False
+                below[at] = True
                 if len(at):
                     held.setdefault((lang, k), []).append((keys, words[at[:, None] + np.arange(k)]))
                     size += k * len(at)
-            if size >= 2 * HELD_KEYS:
-                yield from flush()
-                size = 0
+            if size >= HELD_KEYS:
+                size = distinct()
+                if 2 * size >= HELD_KEYS:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
-    found = runs.mapInArrow(gather, "key long, n long, lang string, words array<long>")
-    reached = found.groupBy("key").agg(F.sum("n").alias("n"), F.collect_set(F.struct("lang", "words")).alias("same")).where(F.col("n") >= support)
-    return reached.select(F.inline("same"))
+    return runs.mapInArrow(gather, "lang string, words array<long>").distinct()
 
 
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
@@ -323,11 +354,14 @@ def collocations(docs: DataFrame, support: int = 100, longest: int = 5, most: in
     """
     slim = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), "text").where("text IS NOT NULL")
     every, seed = hashed_words(slim)
-    words = settle(every.where(F.col("n") >= support).select("lang", "hash", "word", "key", "n"))
-    single = HashFilter(words.select("key"))
+    words = settle(every.where(F.col("n") >= support).select("lang", "hash", "word", "n"))
+    single = HashFilter(word_keys(words, seed))
     double = HashFilter(pair_support(slim, single, seed).where(F.col("n") >= support))
-    runs = settle(frequent_runs(slim, single, double, seed))
-    found = settle(candidates(runs, seed, support, longest))
+    # each pass over the runs returns what a task has met once, so tasks are few and large
+    files = 1 + (words.agg(F.sum("n")).first()[0] or 0) // RUN_WORDS
+    runs = settle(frequent_runs(slim, single, double, seed).repartition(files))
+    longer = HashFilter(longer_support(runs, seed, longest).where(F.col("n") >= support))
+    found = settle(candidates(runs, longer, seed, longest))
     frequent = phrase_counts(runs, found).where(F.col("f") >= support)
     phrases = settle(_spelled(frequent, words))
     return scored(phrases, every, support, most)

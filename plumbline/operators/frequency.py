@@ -7,8 +7,10 @@ text finds values that differ only by case; a third gives one row per column.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from plumbline.functions.columns import double_sql, family, groupable_sql, normalise, number, quoted
 from plumbline.functions.sizing import local_frame
@@ -193,7 +195,27 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return value_counts(df.where(F.col(column).isNotNull()), column).limit(k)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: total_rows and duplicate_rows, the rows beyond the first of each equal set."""
-    same = normalise(df).groupBy(*[quoted(c) for c in df.columns]).agg(F.expr("count(1) AS __n"))
-    return same.selectExpr("coalesce(sum(__n), 0) AS total_rows", "coalesce(sum(__n - 1), 0) AS duplicate_rows")
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two 64-bit digests of a row; which cells are NULL is part of them."""
+    cells = [F.col(quoted(c)) for c in df.columns]
+    absent = [F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])] if cells else []
+    return [F.xxhash64(F.lit(seed), *cells, *absent) for seed in (1, 2)]
+
+
+def duplicate_rows(df: DataFrame, digest: Callable[[DataFrame], list[Column]] = row_digest) -> DataFrame:
+    """One row: total_rows and duplicate_rows, the rows beyond the first of each equal set.
+
+    Only 16 bytes of a row are shuffled first; rows whose digest repeats are then compared whole, so a
+    clash of digests never counts as a repeat.
+    """
+    flat = normalise(df)
+    if not flat.columns:
+        return df.selectExpr("count(1) AS total_rows", "greatest(count(1) - 1, 0L) AS duplicate_rows")
+    marked = flat.withColumns({f"__d{i}": c for i, c in enumerate(digest(flat))})
+    keys = [c for c in marked.columns if c not in flat.columns]
+    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("total_rows"))
+    suspects = marked.join(counts.where("__n > 1").drop("__n"), keys, "left_semi")
+    same = suspects.groupBy(*keys, *[quoted(c) for c in flat.columns]).agg(F.expr("count(1) AS __n"))
+    repeats = same.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
+    return total.crossJoin(F.broadcast(repeats))  # one row each

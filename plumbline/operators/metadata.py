@@ -8,7 +8,7 @@ from decimal import Decimal
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.functions.columns import NUMERIC_FAMILIES, family, normalise
+from plumbline.functions.columns import NUMERIC_FAMILIES, family, groupable_sql, normalise, quoted
 from plumbline.functions.sizing import estimated_bytes, local_frame, ratio
 from plumbline.operators.frequency import duplicate_rows, frequency_facts
 from plumbline.operators.scan import TableStats, stats_frame, table_stats
@@ -124,6 +124,40 @@ def content_hash(df: DataFrame) -> DataFrame:
     return flat.agg(F.md5(F.concat_ws("|", *parts)).alias("content_hash"))
 
 
+def _fixed_text(field: T.StructField) -> str:
+    """A cell as text that does not depend on the engine's settings; NULL and NaN give NULL."""
+    key, kind = groupable_sql(field), family(field.dataType)
+    if isinstance(field.dataType, T.DateType):
+        return f"CAST(unix_date({key}) AS STRING)"
+    return f"CAST(unix_micros(CAST({key} AS TIMESTAMP)) AS STRING)" if kind == "datetime" else f"CAST({key} AS STRING)"
+
+
+def additive_digest(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Digest of the rows as a multiset, per group of ``by``: row_count, high, low.
+
+    A row is written as its cells' texts, each behind its length (missing ones are ``-``); high and low are
+    the sums of the first and second half of the rows' md5, as whole numbers.  So the digest does not depend
+    on order, counts repeats, and follows a table by adding or subtracting the digests of changed rows.
+    """
+    by = by or []
+    cells = [_fixed_text(f) for f in df.schema.fields if f.name not in by]
+    written = "concat(" + ", ".join(["''", *[f"coalesce(concat(length({c}), ':', {c}), '-')" for c in cells]]) + ")"
+    marked = df.selectExpr(*[quoted(c) for c in by], f"md5({written}) AS __md5")
+    halves = {name: f"sum(CAST(conv(substr(__md5, {at}, 16), 16, 10) AS DECIMAL(20, 0)))" for name, at in (("high", 1), ("low", 17))}
+    return marked.groupBy(*[quoted(c) for c in by]).agg(F.expr("count(1) AS row_count"), *[
+        F.expr(f"CAST(coalesce({agg}, 0) AS DECIMAL(38, 0)) AS {name}") for name, agg in halves.items()])
+
+
+def changed_digest(digest: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """The digest of a table after rows came and went, from the digests of the three; no other row is read."""
+    signed = [digest.selectExpr("1 AS sign", "*")]
+    signed += [d.selectExpr(f"{sign} AS sign", "*") for d, sign in ((added, 1), (removed, -1)) if d is not None]
+    every = signed[0]
+    for more in signed[1:]:
+        every = every.unionByName(more)
+    return every.agg(*[F.expr(f"CAST(sum(sign * {c}) AS {'BIGINT' if c == 'row_count' else 'DECIMAL(38, 0)'}) AS {c}") for c in ("row_count", "high", "low")])
+
+
 def extended_snapshot(df: DataFrame, name: str, source_type: str) -> DataFrame:
     """One row: the snapshot with duplicate rows, score, digests and extended columns."""
     stats = table_stats(df, constants=False)

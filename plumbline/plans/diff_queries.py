@@ -182,6 +182,35 @@ def fingerprint(spark, sf_dir):
         "schema_hash", "structure_hash", "content_hash", "stats_hash")
 
 
+def _digest_sql(columns: list[str], table: str, where: str = "TRUE") -> str:
+    written = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns)
+    return f"""SELECT count(*) AS row_count, {", ".join(
+        f"CAST(coalesce(sum(CAST(CAST('0x' || substr(h, {at}, 16) AS UBIGINT) AS HUGEINT)), 0) AS VARCHAR) AS {name}"
+        for name, at in (("high", 1), ("low", 17)))} FROM (SELECT md5({written}) AS h FROM {table} t WHERE {where})"""
+
+
+ORDER_TEXTS = ["CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus", "CAST(o_totalprice AS VARCHAR)",
+               "CAST(epoch_us(o_orderdate) AS VARCHAR)", "o_orderpriority"]
+CUSTOMER_TEXTS = ["CAST(c_custkey AS VARCHAR)", "c_name", "CAST(c_nationkey AS VARCHAR)", "CAST(c_acctbal AS VARCHAR)", "c_mktsegment"]
+
+
+def _shown(digest: DataFrame) -> DataFrame:
+    return digest.select("row_count", *[F.col(c).cast("string").alias(c) for c in ("high", "low")])
+
+
+@query("additive_digest", _digest_sql(CUSTOMER_TEXTS, sql("dirty_customer")))
+def additive_digest(spark, sf_dir):
+    return _shown(metadata.additive_digest(view(spark, sf_dir, "dirty_customer")))
+
+
+@query("additive_digest_update", _digest_sql(ORDER_TEXTS, "orders", "o_orderkey % 3 <> 1"))
+def additive_digest_update(spark, sf_dir):
+    """Orders without a third of them, with another third: from the digests of the parts."""
+    orders = base(spark, sf_dir, "orders")
+    first, added, removed = (metadata.additive_digest(orders.where(w)) for w in ("o_orderkey % 3 < 2", "o_orderkey % 3 = 2", "o_orderkey % 3 = 1"))
+    return _shown(metadata.changed_digest(first, added, removed))
+
+
 @query("fingerprint_order", "SELECT TRUE AS same_content, count(*) AS row_count FROM orders")
 def fingerprint_order(spark, sf_dir):
     """The content digest of the orders equals that of the same rows in another order."""

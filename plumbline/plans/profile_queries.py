@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.text import fixed
-from plumbline.operators import frequency, overview, profile, readiness, recommend, rules
+from plumbline.operators import frequency, overview, profile, readiness, recommend, rules, sketches
 from plumbline.plans import profile_sql as S
 from plumbline.plans.catalog import query
 from plumbline.plans.fixtures import base, sql, view
@@ -494,3 +494,50 @@ FROM counts""")
 def readiness_context(spark, sf_dir):
     issues = readiness.readiness_issues(view(spark, sf_dir, "dirty_lineitem"))
     return recommend.readiness_context(issues, readiness.readiness_score(issues))
+
+
+TOP = """
+SELECT {c}, count(*) AS count FROM {t} t WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT {k}"""
+
+
+@query("top_values_sketched", TOP.format(c="user_id", t="events", k=10))
+def top_values_sketched(spark, sf_dir):
+    """Few values: the sketch holds them all."""
+    return sketches.top_values_sketched(base(spark, sf_dir, "events"), "user_id", 10)
+
+
+@query("top_values_proven", TOP.format(c="mixed_col", t=f"(SELECT CASE WHEN l_linenumber < 4 THEN 'n' || l_linenumber ELSE mixed_col END AS mixed_col FROM {sql('dirty_lineitem')} d)", k=3))
+def top_values_proven(spark, sf_dir):
+    """Three frequent values among very many: the sketch is small and the exact counts prove the answer."""
+    lines = view(spark, sf_dir, "dirty_lineitem").selectExpr(
+        "CASE WHEN l_linenumber < 4 THEN concat('n', l_linenumber) ELSE mixed_col END AS mixed_col")
+    counted, proven = sketches.heavy_hitters(lines, "mixed_col", 3, tracked=150)
+    if not proven:
+        raise ValueError("the sketch should prove three values of a seventh of the rows each")
+    return counted.orderBy(F.desc("count"), "value").limit(3).select(F.col("value").alias("mixed_col"), "count")
+
+
+@query("top_values_unproven", TOP.format(c="l_partkey", t="lineitem", k=10))
+def top_values_unproven(spark, sf_dir):
+    """Values about equally frequent: all are counted."""
+    return sketches.top_values_sketched(base(spark, sf_dir, "lineitem"), "l_partkey", 10, tracked=100)
+
+
+DISTINCT = " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS column_name, count(DISTINCT {c}) AS distinct_values, TRUE AS is_near, TRUE AS is_mergeable FROM t"
+                              for i, (c, _) in enumerate(S.DIRTY_LINEITEM))
+
+
+@query("distinct_estimates", f"WITH t AS (SELECT * FROM {sql('dirty_lineitem')} d) {DISTINCT}")
+def distinct_estimates(spark, sf_dir):
+    """Exact distinct counts; whether estimates are within 3 %, and whether merged states do not depend on the parts."""
+    lines = view(spark, sf_dir, "dirty_lineitem")
+    exact, near = sketches.distinct_counts(lines), sketches.distinct_counts(lines, approximate=True)
+    merged = [sketches.merged_states(sketches.distinct_states(lines.withColumn("part", F.expr(part)), ["part"])).select(
+        "position", F.hll_sketch_estimate("state").alias(f"m{i}")) for i, part in enumerate(("l_orderkey % 7", "l_suppkey % 3"))]
+    # one row per column of the table in each
+    joined = exact.join(F.broadcast(near.select("position", F.col("distinct").alias("e"))), "position")
+    for m in merged:
+        joined = joined.join(F.broadcast(m), "position")
+    within = [F.abs(F.col(c) - F.col("distinct")) <= 0.03 * F.col("distinct") for c in ("e", "m0")]
+    return joined.select("position", "column_name", F.col("distinct").alias("distinct_values"), (within[0] & within[1]).alias("is_near"),
+                         (F.col("m0") == F.col("m1")).alias("is_mergeable"))

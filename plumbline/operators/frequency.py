@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F, types as T
 
 from plumbline.functions.columns import double_sql, family, groupable_sql, normalise, number, quoted
-from plumbline.functions.sizing import local_frame
+from plumbline.functions.sizing import local_frame, settle
 from plumbline.functions.text import EDGE_SPACE, EDGE_SPACES, NUMERIC_TEXT
 from plumbline.operators.scan import TableStats, stats_frame
 
@@ -35,6 +35,7 @@ def _typed(field: T.StructField) -> tuple[str, str, str]:
     return groupable_sql(field), no_long, no_double
 
 
+BROADCAST_DIGESTS = 1_000_000  # most row digests (of 16 bytes) that are broadcast
 KEYS = {"s": "STRING", "l": "BIGINT", "d": "DOUBLE"}
 # Kinds whose cells are one number; the others need text keys.
 FIXED_WIDTH = ("integer", "boolean", "datetime", "float")
@@ -82,13 +83,13 @@ _AS_TEXT = """CASE WHEN kind = 'boolean' THEN CASE WHEN l = 1 THEN 'true' ELSE '
 
 
 def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None = None,
-                    z_threshold: float = 2.0, digests: bool = False) -> DataFrame:
+                    z_threshold: float = 2.0, digests: bool = False, modes: bool = True) -> DataFrame:
     """One row per column that has a value.
 
     position, distinct, single (values seen once), mode, mode_count, first_time, last_time (dates
     as text), outliers (z-score), zeros, negatives, mixed_case, edge_space, numeric_cells, text_cells, min_length,
     max_length, total_length, total_words.  ``digests`` adds hash_xor and hash_sum over the
-    distinct values.
+    distinct values.  Without ``modes`` the mode is NULL and the frequencies are read once only.
     """
     meta = stats_frame(df.sparkSession, stats).selectExpr(
         "position", "kind", "dtype", "kind = 'string' AS is_text", "mean",
@@ -96,7 +97,7 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
     names = [c.name for c in stats.columns if columns is None or c.name in columns]
     fixed = [n for n in names if stats.by_name(n).kind in FIXED_WIDTH]
     other = [n for n in names if n not in fixed]
-    parts = [_column_facts(df, meta, part, part is other, z_threshold, digests)
+    parts = [_column_facts(df, meta, part, part is other, z_threshold, digests, modes)
              for part in (fixed, other) if part or not names]
     per_column = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     named = per_column.join(F.broadcast(meta.select("position", "kind", "dtype")), "position")
@@ -109,7 +110,7 @@ def frequency_facts(df: DataFrame, stats: TableStats, columns: list[str] | None
 
 
 def _column_facts(df: DataFrame, meta: DataFrame, columns: list[str], by_case: bool, z_threshold: float,
-                  digests: bool) -> DataFrame:
+                  digests: bool, modes: bool) -> DataFrame:
     """Facts of some columns from their frequencies; ``by_case`` groups text by lower case first."""
     freq = value_frequencies(df, columns)
     typed = freq.join(F.broadcast(meta), "position").selectExpr(  # meta: one row per column of the table
@@ -151,15 +152,17 @@ def _column_facts(df: DataFrame, meta: DataFrame, columns: list[str], by_case: b
             *(("bit_xor(hash_xor) AS hash_xor", "sum(hash_sum) AS hash_sum") if digests else ()),
             *[f"sum({c}) AS {c}" for c in ("outliers", "zeros", "negatives", "numeric_cells", "text_cells",
                                            "total_length", "total_words")])))
+    if not modes:
+        return facts.withColumns({"l": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "s": F.lit(None).cast("string")})
     # the mode is the smallest of the most frequent values: looked up among those alone, so that the
     # aggregates over all values hold numbers only and stay in hash tables
     most = freq.join(F.broadcast(facts.select("position", "top_count")), "position").where("cnt = top_count")  # one row per column
     if by_case:
-        modes = most.groupBy("position").agg(F.expr("min(named_struct('d', d, 's', s)) AS top")).selectExpr(
+        tops = most.groupBy("position").agg(F.expr("min(named_struct('d', d, 's', s)) AS top")).selectExpr(
             "position", "CAST(NULL AS BIGINT) AS l", "top.d", "top.s")
     else:
-        modes = most.groupBy("position").agg(F.min("l").alias("l"), F.min("d").alias("d")).withColumn("s", F.lit(None).cast("string"))
-    return facts.join(F.broadcast(modes), "position", "left")
+        tops = most.groupBy("position").agg(F.min("l").alias("l"), F.min("d").alias("d")).withColumn("s", F.lit(None).cast("string"))
+    return facts.join(F.broadcast(tops), "position", "left")
 
 
 def sample_values(df: DataFrame, k: int = 5, order_col: str | None = None) -> DataFrame:
@@ -198,24 +201,32 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 def row_digest(df: DataFrame) -> list[Column]:
     """Two 64-bit digests of a row; which cells are NULL is part of them."""
     cells = [F.col(quoted(c)) for c in df.columns]
-    absent = [F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])] if cells else []
-    return [F.xxhash64(F.lit(seed), *cells, *absent) for seed in (1, 2)]
+    masks = []
+    for at in range(0, len(cells), 62):
+        bits = [F.when(c.isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, c in enumerate(cells[at:at + 62])]
+        masks.append(sum(bits[1:], bits[0]))
+    return [F.xxhash64(F.lit(seed), *masks, *cells) for seed in (1, 2)]
 
 
 def duplicate_rows(df: DataFrame, digest: Callable[[DataFrame], list[Column]] = row_digest) -> DataFrame:
     """One row: total_rows and duplicate_rows, the rows beyond the first of each equal set.
 
     Only 16 bytes of a row are shuffled first; rows whose digest repeats are then compared whole, so a
-    clash of digests never counts as a repeat.
+    clash of digests never counts as a repeat.  A table without repeats is read once.
     """
     flat = normalise(df)
     if not flat.columns:
         return df.selectExpr("count(1) AS total_rows", "greatest(count(1) - 1, 0L) AS duplicate_rows")
     marked = flat.withColumns({f"__d{i}": c for i, c in enumerate(digest(flat))})
     keys = [c for c in marked.columns if c not in flat.columns]
-    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("total_rows"))
-    suspects = marked.join(counts.where("__n > 1").drop("__n"), keys, "left_semi")
+    seen = Observation()
+    counts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).observe(
+        seen, F.coalesce(F.sum("__n"), F.lit(0)).alias("rows"), F.count_if(F.col("__n") > 1).alias("repeated"))
+    repeated = settle(counts.where("__n > 1").drop("__n"))
+    total, few = df.sparkSession.range(1).select(F.lit(seen.get["rows"]).cast("long").alias("total_rows")), seen.get["repeated"] <= BROADCAST_DIGESTS
+    if not seen.get["repeated"]:
+        return total.withColumn("duplicate_rows", F.lit(0).cast("long"))
+    suspects = marked.join(F.broadcast(repeated) if few else repeated, keys, "left_semi")
     same = suspects.groupBy(*keys, *[quoted(c) for c in flat.columns]).agg(F.expr("count(1) AS __n"))
     repeats = same.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
     return total.crossJoin(F.broadcast(repeats))  # one row each

@@ -90,7 +90,7 @@ def extended_columns(df: DataFrame, stats: TableStats | None = None, samples: in
     """Column metadata with distinct and duplicate counts, extremes, moments and digests."""
     stats = stats or table_stats(df, constants=False)
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("hash_xor", "hash_sum", "distinct")]))
-    facts = frequency_facts(df, stats, digests=True).select("position", "distinct", digest.alias("value_hash"))
+    facts = frequency_facts(df, stats, digests=True, modes=False).select("position", "distinct", digest.alias("value_hash"))
     frame = stats_frame(df.sparkSession, stats)
     unique = F.coalesce("distinct", F.lit(0))
     out = frame.join(F.broadcast(facts), "position", "left").select(

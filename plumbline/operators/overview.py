@@ -89,7 +89,7 @@ def overview_detail(df: DataFrame) -> DataFrame:
 def column_quality(df: DataFrame) -> DataFrame:
     """Per column: counts, missing share, distinct values and a status."""
     stats = table_stats(df, moments=False)
-    facts = frequency_facts(df, stats).select("position", "distinct")
+    facts = frequency_facts(df, stats, modes=False).select("position", "distinct")
     miss, unique = F.col("missing_percentage"), F.col("unique_values")
     return stats_frame(df.sparkSession, stats).join(F.broadcast(facts), "position", "left").select(
         "position", "column_name", F.col("dtype").alias("type"), F.col("present_count").alias("non_null"),

@@ -57,7 +57,7 @@ def mixed_types(df: DataFrame, stats: TableStats | None = None, sample_rows: int
     stats = stats or table_stats(df, moments=False, constants=False)
     names = [f.name for f in string_fields(df)]
     if sample_rows is None:
-        facts = frequency_facts(df, stats, columns=names)
+        facts = frequency_facts(df, stats, columns=names, modes=False)
     else:
         facts = None
         for name in names:
@@ -66,7 +66,7 @@ def mixed_types(df: DataFrame, stats: TableStats | None = None, sample_rows: int
                 "position", F.lit(stats.by_name(name).position))
             facts = part if facts is None else facts.unionByName(part)
         if facts is None:
-            facts = frequency_facts(df, stats, columns=[])
+            facts = frequency_facts(df, stats, columns=[], modes=False)
     frame = stats_frame(df.sparkSession, stats).where(F.col("kind") == "string")
     share = ratio(F.col("numeric_cells"), F.col("text_cells"))
     return frame.join(F.broadcast(facts), "position", "left").select(

@@ -211,3 +211,20 @@ def test_nearest_codes_twin(spark):
     names = [d[0] for d in cursor.description]
     got = QUERIES["op9_multi_index"](spark, SF_DIR).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(cursor.fetchall())
+
+
+def test_nearest_codes_with_a_value_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "HOT", 50)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(20_000, 64))
+    x[:, :16] = 1.0  # one value of the first segment
+    x[:300] = x[0]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {}
+    for r in multi_index.nearest_codes(df, df.where("vec_id % 4000 = 0"), bits=64, k=5).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["distance"], r["neighbor_id"]))
+    signs = x > 0
+    for q in range(0, 20_000, 4000):
+        far = (signs != signs[q]).sum(axis=1)
+        assert got[q] == sorted((int(d), i) for i, d in enumerate(far) if i != q)[:5]

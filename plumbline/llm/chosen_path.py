@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -19,6 +20,7 @@ FRESH = 96  # most fresh trees of a document; those below TARGET after them are
 SHALLOW = 8  # tokens a fresh tree may branch by
 TILE = 256  # documents of a node, about, that are compared whole with as many others in one step
 SKETCH = 64  # minwise tokens of a document
+SUBTREE = 4096  # documents a node may hold to be walked to its end in one task
 NODE = 12  # documents a node may hold to be compared pair by pair
 FIRST = 3  # minwise tokens before the pairs found so far are verified
 DEPTH = 16  # minwise tokens a tree may branch by
@@ -126,6 +128,58 @@ def fresh_paths(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
         "class_id", "tree", F.col("z.roots").alias("node"), F.col("z.paths").alias("path"))
 
 
+def token_order(tree: int) -> list[int]:
+    """Which minwise tokens a tree of the first round branches by."""
+    return np.random.default_rng(100 + tree).permutation(SKETCH)[:DEPTH].tolist()
+
+
+def subtree(members: pd.DataFrame, first: int, last: int, names: list[str]) -> pd.DataFrame:
+    """All that ``walk`` finds below one node, in the columns ``names``: pairs (kind 0), stays (1) and rows that are left (2)."""
+    members = members.sort_values("class_id", ignore_index=True)
+    tree, count = int(members["tree"].iloc[0]), len(members)
+    marks = np.frombuffer(b"".join(members["marks"]), np.uint8).reshape(count, SKETCH)
+    if "path" in members:
+        tokens = np.frombuffer(b"".join(members["path"]), np.uint8).reshape(count, -1)[:, 1:]
+    else:
+        tokens = marks[:, token_order(tree)]
+    ids, component = members["class_id"].to_numpy(object), members["component"].to_numpy()  # objects: whole numbers stay whole beside nulls
+    members = members.astype(object)
+    pairs, stays, left = [], [], []
+    waiting = [(np.arange(count), first, int(members["node"].iloc[0]))]
+    while waiting:
+        rows, depth, node = waiting.pop()
+        if len(rows) <= NODE:
+            one, two = np.triu_indices(len(rows), 1)
+            pairs.append((rows[one], rows[two]))
+            continue
+        pivot = rows[node % len(rows)]
+        alike = (marks[rows] == marks[pivot]).sum(axis=1)
+        star = rows[(alike >= ALIKE) & (rows != pivot)]
+        pairs.append((np.minimum(star, pivot), np.maximum(star, pivot)))
+        if alike.min() >= TIGHT or (component[rows] == component[rows[0]]).all():
+            continue
+        stays.append((rows, depth))
+        step = tokens[rows, depth - 1] if depth <= tokens.shape[1] else np.zeros(len(rows), np.uint8)
+        for value in np.unique(step).tolist():
+            below, code = rows[step == value], hash((node, depth, value))
+            if depth == last:
+                left.append((below, code))
+            elif len(below) > 1:
+                waiting.append((below, depth + 1, code))
+    parts = [pd.DataFrame({"kind": 0, "a": ids[x], "b": ids[y]}) for x, y in pairs if len(x)]
+    parts += [pd.DataFrame({"kind": 1, "class_id": ids[x], "depth": np.full(len(x), d, object)}) for x, d in stays]
+    for x, code in left:
+        held = members.iloc[x].assign(kind=2, node=np.full(len(x), code, object))
+        parts.append(held[[c for c in names if c in held]])
+    return pd.concat(parts).reindex(columns=names) if parts else members.iloc[:0].reindex(columns=names)
+
+
+def walker(first: int, last: int, names: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def below(members: pd.DataFrame) -> pd.DataFrame:
+        return subtree(members, first, last, names)
+    return below
+
+
 def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
     """Branch the nodes of all trees by one minwise token after the other.
 
@@ -133,38 +187,52 @@ def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame |
     hang together with; with a column ``path`` it branches by that instead of the marks.  Returns the pairs
     to compare, (a, b), the rows of nodes that are still large after the last token, and the
     (class_id, depth) of all rows in nodes that were large and branched on at that depth.  A node of at most ``NODE`` documents is compared
-    pair by pair.  In a larger one every document is compared with a pivot, chosen by hash; unless all
+    pair by pair.  In a larger one every document is compared with a pivot; unless all
     of them nearly equal it or hang together already, the node branches on with all its documents.
+    Below a node of at most ``SUBTREE`` documents this happens in one task; only larger ones take Spark's rounds.
     """
-    order = [np.random.default_rng(100 + t).permutation(SKETCH)[:DEPTH].tolist() for t in range(TREES)]
+    order = [token_order(t) for t in range(TREES)]
     fresh = [c for c in rows.columns if c == "path"]
-    small, stars, stays = [], [], []
+    own = ["tree", "node", "class_id", "component", "marks", *fresh]
+    kind = rows.schema["class_id"].dataType.simpleString()
+    fields = {"kind": "int", "a": kind, "b": kind, "depth": "int"} | {c: t for c, t in rows.dtypes if c in own}
+    small, pairs, stays, rest = [], [], [], []
     for depth in range(first, last + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(
             F.xxhash64("class_id", "node").alias("h"), F.col("class_id").alias("id"), F.col("marks").alias("marks"))).alias("p")).where("n > 1")
+        level = settle(rows.join(nodes, "node").select(*own, "n", F.col("p.id").alias("pivot"), F.col("p.marks").alias("marks_b")))
+        small.append(level.where(F.col("n") <= NODE).select("node", "class_id"))
+        below = settle(level.where((F.col("n") > NODE) & (F.col("n") <= SUBTREE)).select(*own).groupBy("node").applyInPandas(
+            walker(depth, last, list(fields)), ", ".join(f"{c} {t}" for c, t in fields.items())))
+        pairs.append(below.where("kind = 0").select("a", "b"))
+        stays.append(below.where("kind = 1").select("class_id", "depth"))
+        rest.append(below.where("kind = 2").select(*own))
         byte = F.substring("path", depth + 1, 1) if fresh else F.substring(
             "marks", F.element_at(F.array(*[F.lit(o[depth - 1] + 1) for o in order]), F.col("tree") + 1), F.lit(1))
-        level = settle(equal_marks(rows.join(nodes, "node").select(
-            "tree", "node", "class_id", "component", "marks", *fresh, "n", F.col("p.id").alias("pivot"), F.xxhash64("node", byte).alias("next"),
-            F.col("marks").alias("marks_a"), F.col("p.marks").alias("marks_b"))))
-        small.append(level.where(F.col("n") <= NODE).select("node", "class_id"))
-        large = level.where(F.col("n") > NODE)
-        stars.append(large.where((F.col("alike") >= ALIKE) & (F.col("class_id") != F.col("pivot"))).select(
+        rows = level.where(F.col("n") > SUBTREE)
+        if rows.isEmpty():
+            break
+        large = settle(equal_marks(rows.select(*own, "pivot", F.xxhash64("node", byte).alias("next"), F.col("marks").alias("marks_a"), "marks_b")))
+        pairs.append(large.where((F.col("alike") >= ALIKE) & (F.col("class_id") != F.col("pivot"))).select(
             F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")))
         loose = large.groupBy("node").agg(F.min("alike").alias("least"), F.min("component").alias("c"), F.max("component").alias("d")).where(
             (F.col("least") < TIGHT) & (F.col("c") != F.col("d"))).select("node")
-        rows = large.join(loose, "node", "left_semi").select("tree", F.col("next").alias("node"), "class_id", "component", "marks", *fresh)
-        if loose.isEmpty():
-            rows = None
-            break
+        rows = settle(large.join(loose, "node", "left_semi").select("tree", F.col("next").alias("node"), "class_id", "component", "marks", *fresh))
         stays.append(rows.select("class_id", F.lit(depth).alias("depth")))
-    grouped, every = small[0], stars[0]
-    for more, star in zip(small[1:], stars[1:], strict=True):
-        grouped, every = grouped.unionByName(more), every.unionByName(star)
-    ids = grouped.groupBy("node").agg(F.sort_array(F.collect_set("class_id")).alias("ids"))  # at most NODE each
-    pairs = ids.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(
+        if depth == last:
+            rest.append(rows.select(*own))
+    small, pairs, rest = (united(x) for x in (small, pairs, rest))
+    ids = small.groupBy("node").agg(F.sort_array(F.collect_set("class_id")).alias("ids"))  # at most NODE each
+    met = ids.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(
         F.slice("ids", i + 2, F.greatest(F.size("ids") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    return pairs.select("p.a", "p.b").unionByName(every).distinct(), rows, stays
+    return met.select("p.a", "p.b").unionByName(pairs).distinct(), (None if rest.isEmpty() else rest), stays
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every
 
 
 def with_need(seen: DataFrame, percent: int) -> DataFrame:
@@ -180,10 +248,7 @@ def with_need(seen: DataFrame, percent: int) -> DataFrame:
 
 def counted(stays: list[DataFrame]) -> DataFrame:
     """(class_id, stay_d for every depth d of DEPTHS): trees in which the document's node was still large after d tokens."""
-    every = stays[0]
-    for more in stays[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("class_id").agg(*[F.count_if(F.col("depth") == d).alias(f"stay_{d}") for d in DEPTHS])
+    return united(stays).groupBy("class_id").agg(*[F.count_if(F.col("depth") == d).alias(f"stay_{d}") for d in DEPTHS])
 
 
 def whole_pairs(rows: DataFrame) -> DataFrame:
@@ -277,11 +342,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     large = rest
     pairs, rest, stays = walk(rest, FIRST + 1, DEPTH)
     if rest is not None:
-        members = settle(rest.select("node", "class_id", "component"))
-        most = members.groupBy("node", "component").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "component"))["component"].alias("most"))
-        outside = members.join(most, "node").where("component != most").select("node", F.col("class_id").alias("x"), F.col("component").alias("c"))
-        pairs = pairs.unionByName(outside.join(members, "node").where("component != c and x != class_id").select(
-            F.least("x", "class_id").alias("a"), F.greatest("x", "class_id").alias("b"))).distinct()
+        pairs = pairs.unionByName(whole_pairs(rest)).distinct()
 
     def across(pairs: DataFrame) -> DataFrame:
         for side in "ab":

@@ -56,6 +56,10 @@ def shingle_set(text: str | None, words: int, memo: WordHashes) -> np.ndarray:
     return np.unique(mixed)
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def minwise(shingles: np.ndarray, count: int = SKETCH, seed: int = 17) -> np.ndarray:
     """Per hash function the smallest image of any shingle: its minwise token."""
     rng = np.random.default_rng(seed)
@@ -69,7 +73,7 @@ def minwise(shingles: np.ndarray, count: int = SKETCH, seed: int = 17) -> np.nda
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """Per document: n_shingles, a digest of its set, the first node of each tree, a byte of each minwise token."""
+    """Per row: a hash of its text, n_shingles, a digest of its set, the first node of each tree, a byte of each minwise token."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, tree = WordHashes(), np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in slices(batches):
@@ -78,19 +82,29 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 found = shingle_set(text, words, memo)
                 sizes.append(len(found))
                 least = minwise(found) if len(found) else None
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                digests.append(digest_of(found) if len(found) else None)
                 roots.append(None if least is None else ((least[:TREES] ^ tree) * np.uint64(0xFF51AFD7ED558CCD)).view(np.int64))
                 marks.append(None if least is None else ((least * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(56)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(roots, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "roots", "marks"])
+                names=["doc_id", "text_hash", "n_shingles", "digest", "roots", "marks"])
 
-    slim = docs.select("doc_id", "text")
-    return slim.mapInArrow(sketch, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, n_shingles long, "
+    slim = located(docs)
+    return slim.mapInArrow(sketch, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, "
                                    "digest binary, roots array<long>, marks binary")
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the hash of the text, which together find a row again whether or not its id is null or repeated."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """The texts that stand for the classes ``wanted`` (class_id, rep_id, rep_hash, ...): once for each repeat of the row."""
+    return located(docs).join(bounded(wanted, rows), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
+
+
 def equal_marks(pairs: DataFrame) -> DataFrame:
     """Add ``alike``, the number of equal bytes of marks_a and marks_b, and drop the marks."""
     kept = [c for c in pairs.columns if c not in ("marks_a", "marks_b")]
@@ -105,12 +119,12 @@ def equal_marks(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(count, f"{fields}, alike int")
 
 
-def fresh_paths(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
+def fresh_paths(docs: DataFrame, need: DataFrame, rows: int, words: int) -> DataFrame:
     """(class_id, tree, node, path): ``need`` fresh trees of each document, a token for each tree and depth.
 
     ``node`` is the first node and ``path`` a byte of the token of every depth; no token is used twice.
     """
-    texts = docs.select("doc_id", "text").join(need.select("class_id", "need"), F.col("doc_id") == F.col("class_id"))
+    texts = texts_of(docs, need, rows).select("class_id", "text", "need")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, tree = WordHashes(), np.arange(1, FRESH + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -123,7 +137,7 @@ def fresh_paths(docs: DataFrame, need: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(roots, pa.list_(pa.int64())), pa.array(paths, pa.list_(pa.binary()))],
                                              names=["class_id", "roots", "paths"])
 
-    drawn = texts.mapInArrow(sketch, f"class_id {texts.schema['class_id'].dataType.simpleString()}, roots array<long>, paths array<binary>")
+    drawn = texts.mapInArrow(sketch, "class_id binary, roots array<long>, paths array<binary>")
     return drawn.dropDuplicates(["class_id"]).select("class_id", F.posexplode(F.arrays_zip("roots", "paths")).alias("tree", "z")).select(
         "class_id", "tree", F.col("z.roots").alias("node"), F.col("z.paths").alias("path"))
 
@@ -142,7 +156,7 @@ def subtree(members: pd.DataFrame, first: int, last: int, names: list[str]) -> p
         tokens = np.frombuffer(b"".join(members["path"]), np.uint8).reshape(count, -1)[:, 1:]
     else:
         tokens = marks[:, token_order(tree)]
-    ids, component = members["class_id"].to_numpy(object), members["component"].to_numpy()  # objects: whole numbers stay whole beside nulls
+    ids, component = members["class_id"].to_numpy(object), pd.factorize(members["component"])[0]  # objects: whole numbers stay whole beside nulls
     members = members.astype(object)
     pairs, stays, left = [], [], []
     waiting = [(np.arange(count), first, int(members["node"].iloc[0]))]
@@ -291,18 +305,20 @@ def tested(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return equal_marks(sized.select("a", "b", "marks_a", "marks_b")).where(F.col("alike") >= ALIKE).select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity; sets are built anew for these documents only."""
-    ids = settle(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = docs.select("doc_id", "text").join(bounded(ids, ids.count()), F.col("doc_id") == F.col("id"), "left_semi")
+def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity; sets are built anew for these classes only."""
+    ids = settle(pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct())
+    texts = texts_of(docs, reps.select("class_id", "rep_id", "rep_hash").join(ids, "class_id", "left_semi"), ids.count())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in slices(batches):
-            found = [shingle_set(t, words, memo).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+            own, found = batch.column("class_id").to_pylist(), [shingle_set(t, words, memo) for t in batch.column("text").to_pylist()]
+            true = [i for i, f in enumerate(found) if digest_of(f) == own[i]]  # not another text with the hash
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in true], pa.binary()),
+                                              pa.array([found[i].view(np.int64) for i in true], pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    full = settle(texts.mapInArrow(sets, f"id {texts.schema['doc_id'].dataType.simpleString()}, shingles array<long>"))
+    full = settle(texts.select("class_id", "text").mapInArrow(sets, "id binary, shingles array<long>").dropDuplicates(["id"]))
     both = (pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(full.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b"))
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -321,7 +337,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     meets with probability 1 - (1 - J^FIRST)^TREES.
     """
     def link(pairs: DataFrame) -> DataFrame:
-        return settle(verified(docs, settle(tested(pairs, reps, percent)), words, percent))
+        return settle(verified(docs, reps, settle(tested(pairs, reps, percent)), words, percent))
 
     roots = reps.select("class_id", F.posexplode("roots").alias("tree", "node"))
     shared = roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
@@ -361,7 +377,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     n = seen.count()
     if n < 2:
         return linked
-    paths = fresh_paths(docs, bounded(seen.select("class_id", "need"), n), words)
+    paths = fresh_paths(docs, reps.select("class_id", "rep_id", "rep_hash").join(seen.select("class_id", "need"), "class_id"), n, words)
     pairs, _, stays = walk(settle(placed_rows(paths.join(reps.select("class_id", "marks"), "class_id"))), 1, SHALLOW)
     links = links.unionByName(link(across(pairs)))
     linked = settle(components(links))
@@ -377,28 +393,62 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     return components(links.unionByName(link(across(settle(pairs)))))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+def grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_hash, n_shingles, digest), and the classes that have copies or links: (d, first).
 
-    Documents with equal sets are one class (the smallest id stands for it), so a large group of
-    copies costs one pre-aggregated key; only classes enter the trees.  Links are confirmed on full
-    sets, and component_id is the smallest id reachable over them.  A document without words links
-    with nothing.  Rows of one doc_id are one document; a row without an id stands for itself or
-    belongs to the class of its copies, and is never their representative.  Extra columns are ignored.
+    Classes are keyed by the digest of their set, so neither a null id nor one with several texts mixes
+    them.  ``first`` is the group's row of smallest id (rows without an id come last) and text hash.
     """
     table = settle(sketches(docs, words))
-    classes = settle(table.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
-    reps = settle(table.join(classes.select(F.col("digest").alias("d"), "class_id"),
-                             (F.col("doc_id") == F.col("class_id")) & (F.col("digest") == F.col("d")))
-                  .select("class_id", "n_shingles", "roots", "marks").dropDuplicates(["class_id"]))
-    linked = linked_classes(docs, reps, words, percent)
-    placed = (classes.join(linked, F.col("class_id") == F.col("id"), "left")
-              .select("digest", F.coalesce("component", "class_id").alias("component"), "class_id", "copies")
-              .where("copies > 1 or component != class_id").select(F.col("digest").alias("d"), "component"))
-    placed = settle(placed)
-    joined = table.select("doc_id", "n_shingles", "digest").join(
-        bounded(placed, placed.count(), 200_000), F.col("digest") == F.col("d"), "left")
-    component = F.coalesce("component", "doc_id")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    classes = settle(table.where(F.col("digest").isNotNull()).groupBy(F.col("digest").alias("class_id")).agg(
+        smallest.alias("first"), F.count("*").alias("copies")))
+    wanted = classes.select("class_id", F.col("first.doc_id").alias("rep_id"), F.col("first.text_hash").alias("rep_hash"))
+    reps = settle(table.join(wanted, (F.col("digest") == F.col("class_id")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))
+                             & (F.col("text_hash") == F.col("rep_hash")))
+                  .select("class_id", "rep_id", "rep_hash", "n_shingles", "roots", "marks").dropDuplicates(["class_id"]))
+    linked = settle(linked_classes(docs, reps, words, percent))
+    known = classes.join(linked, F.col("class_id") == F.col("id"), "left")
+    firsts = known.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("first").alias("group_first"))
+    placed = known.where("copies > 1 or component is not null").join(firsts, F.col("component") == F.col("c"), "left").select(
+        F.col("class_id").alias("d"), F.coalesce("group_first", "first").alias("first"))
+    return table.select("doc_id", "text_hash", "n_shingles", "digest"), settle(placed)
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Rows with equal sets are one class, so a large group of copies costs one pre-aggregated key; only
+    classes enter the trees.  Links are confirmed on full sets, and component_id is the smallest id
+    reachable over them.  A text without words links with nothing.  Every row counts by its own text, also
+    where its id is null or repeated; a row without an id is kept only if no row of its group has one.
+    Extra columns are ignored.
+    """
+    table, placed = grouped(docs, words, percent)
+    joined = table.join(bounded(placed, placed.count(), 200_000), F.col("digest") == F.col("d"), "left")
+    component = F.when(F.col("d").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of every group of near copies: the smallest id (null ids last), then text hash.
+
+    It is decided row by row: of rows with one id only those go whose own text is a copy.  Of rows equal in
+    id and text one stays, by a hash of all its columns.  Texts without words all stay.
+    """
+    table, placed = grouped(docs, words, percent)
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    met = settle(table.join(bounded(placed, placed.count(), 200_000), F.col("digest") == F.col("d")).groupBy(
+        F.col("doc_id").alias("__copy_id"), F.col("text_hash").alias("__copy_hash"), own.alias("own")).agg(F.count("*").alias("rows")))
+    gone, repeated = (met.where(c).select("__copy_id", "__copy_hash") for c in ("not own", "own and rows > 1"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__copy_id")) & (F.col("__text_hash") == F.col("__copy_hash"))
+    left = marked.join(bounded(gone, gone.count()), same, "left_anti")
+    n = repeated.count()
+    if n == 0:
+        return left.select(*columns)
+    one = left.join(bounded(repeated, n), same, "left_semi").groupBy("doc_id", "__text_hash").agg(
+        F.min_by(F.struct(*columns), F.xxhash64(F.to_json(F.struct(*columns)))).alias("__row")).select("__row.*")
+    return left.join(bounded(repeated, n), same, "left_anti").select(*columns).unionByName(one)

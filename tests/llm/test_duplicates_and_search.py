@@ -109,6 +109,38 @@ def test_near_duplicate_edges(spark):
     assert chosen_path.near_duplicates(empty_docs(spark)).collect() == []
 
 
+def words_of(rng, count):
+    return [f"w{rng.randrange(10 ** 9)}" for _ in range(count)]
+
+
+def test_near_duplicates_of_one_id_and_of_none(spark):
+    """Every row counts by its own text, whether its id is repeated or null."""
+    rng = random.Random(11)
+    parts = [words_of(rng, 80) for _ in range(4)]
+    ta, tb, tc, td = (" ".join(p) for p in parts)
+    nb, nc, nd = (" ".join([*p[:-1], "other"]) for p in parts[1:])
+    rows = [(5, ta, "x"), (5, tb, "x"), (9, nb, "x"), (None, tc, "x"), (None, nc, "x"), (None, tc, "y"),
+            (3, td, "x"), (None, td, "x"), (None, nd, "x"), (3, td, "y"), (7, "", "x"), (7, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in chosen_path.near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (None, None, True), (None, None, True), (None, None, True),
+                          (3, 3, True), (None, 3, False), (None, 3, False), (3, 3, True), (7, 7, True), (7, 7, True)], key=str)
+    left = [tuple(r) for r in chosen_path.without_near_duplicates(docs).collect()]
+    assert len(left) == 6 and set(left) <= set(rows)
+    assert {(5, ta, "x"), (5, tb, "x")} <= set(left) and left.count((7, "", "x")) == 2
+    assert sum(r[0] == 3 for r in left) == 1 and sum(r[0] is None and r[1] in (tc, nc) for r in left) == 1
+
+
+def test_near_duplicates_removed_by_row(spark):
+    """The rows that stay are one for each component, and a table without copies stays as it is."""
+    texts = near_texts(90, seed=8)
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()] * 2, "doc_id long, text string")
+    left = [r["doc_id"] for r in chosen_path.without_near_duplicates(docs, words=4).collect()]
+    assert sorted(left) == sorted(set(brute_components(texts)[1].values()))
+    assert sorted(tuple(r) for r in chosen_path.without_near_duplicates(docs.where("doc_id in (0, 3)").distinct()).collect()) == [(0, texts[0]), (3, texts[3])]
+    assert chosen_path.without_near_duplicates(docs.limit(0)).collect() == []
+
+
 def test_components(spark):
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(200, 260)] + [
@@ -154,6 +186,20 @@ def test_near_vectors(spark):
     assert np.mean([r["component_id"] == wanted[r["vec_id"]] for r in got]) >= 0.99
 
 
+@pytest.mark.parametrize("scale", [1e-200, 1e200, 5e-324 * 1000])
+def test_near_vectors_of_extreme_lengths(spark, scale):
+    """Squares that vanish or overflow in double precision change no link."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-40, 40, (30, 16)).astype(float)
+    base[1::3] = base[::3] + rng.integers(-3, 4, (10, 16))
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.93
+    rows = [(i, (v * (scale if i % 2 else 1.0)).tolist(), 1) for i, v in enumerate(base)]
+    got = {r["vec_id"]: r["n_links"] for r in collision.near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {i: int(linked[i].sum()) - 1 for i in range(30)} and any(got.values())
+
+
 def test_near_vectors_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     pairs = brute_links(rows)

@@ -107,9 +107,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     base = vectors.select(F.col(id_col).alias("id"), "label", "embedding")
     fit = base.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("id").isNotNull())
     width = F.lit(LEAD * distance_at(cosine))
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    lead = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * F.sqrt(F.lit(2.0)) * F.cos(
-        (i + 1) * F.lit(2.399963229728653) + 1)), F.lit(0.0), lambda s, x: s + x) / norm
+    # by the largest component first, so that squares neither vanish nor overflow
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    scaled = F.transform("embedding", lambda x: F.try_divide(x.cast("double"), largest))
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
+    lead = F.try_divide(F.aggregate(F.transform(scaled, lambda x, i: x * F.sqrt(F.lit(2.0)) * F.cos(
+        (i + 1) * F.lit(2.399963229728653) + 1)), F.lit(0.0), lambda s, x: s + x), norm)
     cell = F.when(lead.isNull() | F.isnan(lead), 0).otherwise(F.floor(lead / width)).cast("long")
     classes = settle(fit.groupBy("label", "embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
                      .withColumns({"cell": cell, "length": F.size("embedding")}))

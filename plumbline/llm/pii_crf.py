@@ -22,7 +22,8 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-NODE = re.compile(r"\S*[0-9@]\S*")
+MARK = re.compile(r"[0-9@]")
+REST = re.compile(r"\S*")
 TRAIN_DOCUMENTS = 4000  # documents with a node that the field is fitted on, about
 CONTEXT = 128  # hashed neighbouring words
 SHAPES = 48
@@ -65,6 +66,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def node_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the tokens between blanks that hold a digit or an at-sign; every character is looked at a few times at most."""
+    found, last = [], 0
+    mark = MARK.search(text)
+    while mark:
+        start = mark.start()
+        while start > last and not text[start - 1].isspace():
+            start -= 1
+        last = REST.match(text, mark.end()).end()
+        found.append((start, last))
+        mark = MARK.search(text, last)
+    return found
+
+
 class Graph:
     """The tokens of a text that hold a digit or an at-sign, with their features and edges.
 
@@ -75,20 +90,20 @@ class Graph:
     """
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]]) -> None:
-        matches = list(NODE.finditer(text))
+        nodes = node_spans(text)
         self.spans: list[tuple[int, int]] = []
         self.features: list[list[int]] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         last: dict[tuple[str, str], int] = {}
-        for i, m in enumerate(matches):
-            token = m[0]
+        for i, (begin, end) in enumerate(nodes):
+            token = text[begin:end]
             core = token.strip(EDGE)
-            start = m.start() + token.find(core) if core else m.start()
-            self.spans.append((start, start + len(core) if core else m.end()))
-            before, after = text[max(0, m.start() - 24):m.start()].split()[-1:], text[m.end():m.end() + 24].split()[:1]
+            start = begin + token.find(core) if core else begin
+            self.spans.append((start, start + len(core) if core else end))
+            before, after = text[max(0, begin - 24):begin].split()[-1:], text[end:end + 24].split()[:1]
             self.features.append(self._features(core or token, (before or [""])[0], (after or [""])[0]))
-            if i and not text[matches[i - 1].end():m.start()].strip():
+            if i and not text[nodes[i - 1][1]:begin].strip():
                 self.chain.append((i - 1, i))
             digits = "".join(c for c in core if c in "0123456789")
             forms = [("form", core.lower())] + [("digits", digits)] * (len(digits) >= 5) + [("local", core.lower().split("@")[0])] * ("@" in core[1:])
@@ -98,7 +113,7 @@ class Graph:
                     linked.add(last[form])
                     self.skip.append((last[form], i))
                 last[form] = i
-        self.labels = np.zeros(len(matches), np.int64)
+        self.labels = np.zeros(len(nodes), np.int64)
         at = 0
         for start, kind, end in spans:
             while at < len(self.spans) and self.spans[at][1] <= start:

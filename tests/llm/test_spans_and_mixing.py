@@ -1,7 +1,9 @@
 """Personal data, secrets, mixing and the pipeline against plain Python."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -282,3 +284,15 @@ def test_pipeline_edges(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty_docs(spark), SF_DIR).collect() == [], name
         assert stage(spark, edge_docs(spark), SF_DIR).collect() is not None
+
+
+def test_tokens_of_long_unbroken_texts():
+    """The tokens with a digit or an at-sign are those a pattern finds, and a text without blanks takes time in proportion."""
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice("ab1@ \t\u3000\x1f漢") for _ in range(rng.randrange(60)))
+        assert pii_crf.node_spans(text) == [m.span() for m in re.finditer(r"\S*[0-9@]\S*", text)]
+    for text in ("漢" * 200_000, "漢" * 100_000 + "7" + "字" * 100_000, "a1" * 100_000):
+        begin = time.perf_counter()
+        pii_crf.Graph(text, pii_crf.base_spans(text))
+        assert time.perf_counter() - begin < 1

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.sizing import settle
 from plumbline.llm import chosen_path, lang_mixture, markov_secrets, mixing, packing
-from plumbline.llm.common import bounded, documents
+from plumbline.llm.common import documents
 from plumbline.llm.queries import word_tokenizer
 
 SHINGLE_WORDS = 5
@@ -27,10 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of every group of near copies; rows of one doc_id stay or go together."""
-    found = chosen_path.near_duplicates(docs, words=SHINGLE_WORDS, percent=80)
-    copies = settle(found.where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(bounded(copies, copies.count()), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Keep one row of every group of near copies, decided row by row."""
+    return chosen_path.without_near_duplicates(docs, words=SHINGLE_WORDS, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Table lineage from object dependencies, query history and DDL history.
 
-Nodes and edges are DataFrames.  Source tables are found in query text by a documented
-heuristic, in column expressions: every item of the list after a FROM or JOIN, up to the next
-clause, gives its first word; a subquery is read at its own FROM.
+Nodes and edges are DataFrames.  Source tables are found in query text by a small lexer, a fold in
+column expressions: every item of the list after a FROM or JOIN, up to the next clause, gives its
+name; a subquery is read at its own FROM.
 """
 
 from __future__ import annotations
@@ -100,15 +100,76 @@ def combine(deps: DataFrame, queries: DataFrame, ddl: DataFrame) -> DataFrame:
     return deps.unionByName(queries, allowMissingColumns=True).unionByName(ddl, allowMissingColumns=True)
 
 
+# what the lexer sees: comments and literals become blanks, names keep their dots and quotes
+NOISE = r"""--[^\n]*|/\*(?s:.*?)(?:\*/|\z)|'[^'\\]*(?:\\(?s:.)[^'\\]*)*'?|("[^"]*"?)"""
+NAME = r'''(?:"[^"]*"|[\w$@]+)'''
+TOKEN = rf"{NAME}(?:\.{NAME})*|[(),;]"
+CTE = "#"  # in front of a bracket's head: the name that the bracket's query defines
+
+
+def _read_token() -> str:
+    """How a token t changes the lexer's state s, as the merge function of a fold.
+
+    ``kinds`` and ``modes`` hold a letter for every open bracket, the statement first: Q a query, J a bracket
+    in the place of a table, ? not known yet, F anything else; E a table comes next, L after one in a list,
+    N neither.  ``heads`` are the words before the open brackets.
+    """
+    kind, mode = "right(s.kinds, 1)", "right(s.modes, 1)"
+    words = ", ".join(f"'{w}'" for w in [*CLAUSES.split("|"), *KEYWORDS, "SET", "VALUES", "WITH", ";"])
+    head = "try_element_at(s.heads, -1)"
+
+    def last(field: str, letter: str) -> str:
+        return f"concat(left(s.{field}, length(s.{field}) - 1), {letter})"
+
+    closes = "t = ')' AND size(s.heads) > 0"
+    wants = f"{mode} = 'E' AND t NOT IN ('(', ')', ',', 'LATERAL', 'ONLY', 'FROM', 'JOIN', {words})"
+    fields = {
+        "kinds": f"""CASE WHEN t = '(' THEN concat(s.kinds, CASE WHEN {mode} = 'E' THEN 'J' ELSE '?' END)
+            WHEN {closes} THEN left(s.kinds, length(s.kinds) - 1)
+            WHEN t IN ('SELECT', 'WITH') AND {kind} IN ('?', 'J') THEN {last('kinds', "'Q'")}
+            WHEN {kind} = '?' THEN {last('kinds', "'F'")} ELSE s.kinds END""",
+        "modes": f"""CASE WHEN t = '(' THEN concat({last('modes', f"if({mode} = 'E', 'L', {mode})")}, if({mode} = 'E', 'E', 'N'))
+            WHEN {closes} THEN left(s.modes, length(s.modes) - 1)
+            WHEN (t = 'JOIN' OR t = 'FROM' AND s.prev != 'DISTINCT') AND {kind} IN ('Q', 'J') THEN {last('modes', "'E'")}
+            WHEN t = ',' AND {mode} = 'L' THEN {last('modes', "'E'")}
+            WHEN t IN ({words}) THEN {last('modes', "'N'")}
+            WHEN {wants} THEN {last('modes', "'L'")} ELSE s.modes END""",
+        "heads": f"""CASE WHEN t = '(' THEN array_append(s.heads, if(s.prev = 'AS' AND s.has_with, concat('{CTE}', s.named), s.prev))
+            WHEN {closes} THEN slice(s.heads, 1, size(s.heads) - 1) ELSE s.heads END""",
+        "prev": f"CASE WHEN {closes} THEN if(left({head}, 1) = '{CTE}', substr({head}, 2), {head}) WHEN s.prev = 'AS' AND t IN ('NOT', 'MATERIALIZED') THEN s.prev ELSE t END",
+        "named": "if(t = 'AS', replace(s.prev, '\"', ''), s.named)",
+        "has_with": "s.has_with OR t = 'WITH'",
+        "recursive": "s.recursive OR t = 'RECURSIVE'",
+        "ctes": f"""CASE WHEN {closes} AND left({head}, 1) = '{CTE}' THEN array_append(s.ctes, substr({head}, 2))
+            WHEN t = '(' AND s.prev = 'AS' AND s.recursive THEN array_append(s.ctes, s.named) ELSE s.ctes END""",
+        "pending": f"CASE WHEN {wants} THEN replace(t, '\"', '') END",
+        "found": "if(s.pending IS NOT NULL AND t != '(' AND NOT array_contains(s.ctes, s.pending), array_append(s.found, s.pending), s.found)",
+    }
+    return "(s, t) -> named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def named_tables(text: Column) -> Column:
+    """The tables that query text reads, as written there in upper case: every item of a list after FROM, and after JOIN.
+
+    Comments and literals are no text; a FROM counts only in a query's own brackets (not in ``EXTRACT(YEAR FROM t)``
+    or ``IS DISTINCT FROM``); a table function is no table, and neither is the name of a WITH query from the end
+    of its body on (from its beginning after RECURSIVE).
+    """
+    plain = F.regexp_replace(F.regexp_replace(text, NOISE, " $1 "), r"\s*\.\s*", ".")
+    tokens = F.concat(F.regexp_extract_all(F.upper(plain), F.lit(TOKEN), F.lit(0)), F.array(F.lit(";")))
+    none = "CAST(array() AS ARRAY<STRING>)"
+    start = (f"named_struct('kinds', 'Q', 'modes', 'N', 'heads', {none}, 'prev', '', 'named', '', 'has_with', false, 'recursive', false, "
+             f"'ctes', {none}, 'pending', CAST(NULL AS STRING), 'found', {none})")
+    return F.call_function("aggregate", tokens, F.expr(start), F.expr(_read_token()))["found"]
+
+
 def source_tables(text: Column, database: str, schema: str, table: str, first_only: bool = False) -> Column:
-    """Source tables named in query text, in order of appearance, without repeats.
+    """Source tables named in query text, in order of appearance, without repeats: those of ``named_tables``, qualified.
 
-    Every table of a comma list and every joined table counts.  ``first_only`` reads less: after each
-    FROM, cut also inside longer names, only the first acceptable of the first three words.
+    ``first_only`` reads by words alone: after each FROM, cut also inside longer names, only the first
+    acceptable of the first three words.
     """
     center = f"{database}.{schema}.{table}"
-    parts = F.split(F.upper(text), "FROM" if first_only else r"\b(?:FROM|JOIN)\b")
-    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
     def named(word: Column) -> Column:
         bare = F.regexp_replace(word, "[\"';]", "")
@@ -123,13 +184,12 @@ def source_tables(text: Column, database: str, schema: str, table: str, first_on
         wanted = F.transform(F.filter(F.slice(words(cut), 1, 3), lambda w: ~w.isin(KEYWORDS)), named)
         return F.slice(F.filter(wanted, lambda w: w.isNotNull() & (w != center)), 1, 1)
 
-    def every_table(part: Column) -> Column:
-        cut = F.regexp_replace(part, rf"(?s)\b(?:{CLAUSES})\b.*$", "")
-        items = F.when(cut.rlike(r"^\s*\(\s*SELECT\b"), F.array().cast("array<string>")).otherwise(F.split(cut, ","))
-        heads = F.filter(F.transform(items, lambda i: F.get(words(i), F.lit(0))), lambda w: ~w.isin(KEYWORDS))
-        return F.filter(F.transform(heads, named), lambda w: w.isNotNull() & (w != center))
-
-    return F.array_distinct(F.flatten(F.transform(parts, first_table if first_only else every_table)))
+    if first_only:
+        parts = F.split(F.upper(text), "FROM")
+        parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+        return F.array_distinct(F.flatten(F.transform(parts, first_table)))
+    every = F.transform(named_tables(text), named)
+    return F.array_distinct(F.filter(every, lambda w: w.isNotNull() & (w != center)))
 
 
 def _few(rows: DataFrame) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
 from decimal import Decimal
 
@@ -47,6 +49,108 @@ def snapshot_from_schema(spark: SparkSession, schema: T.StructType, name: str, s
     return _snapshot_row(spark, name, source_type, source_metadata, cols, row_count, None, None)
 
 
+# fixed values: column types whose extremes Spark takes from Parquet footers
+FOOTER_EXTREMES = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType)
+
+
+@contextmanager
+def _from_footers(spark: SparkSession) -> Iterator[None]:
+    """Let Spark answer counts and extremes of Parquet files from their footers, and put the settings back after."""
+    listed = spark.conf.get("spark.sql.sources.useV1SourceList")
+    wanted = {"spark.sql.sources.useV1SourceList": ",".join(n for n in listed.split(",") if n.strip() != "parquet"),
+              "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def footer_query(spark: SparkSession, path: str, extremes: list[int] | None = None, counts: bool = True) -> DataFrame:
+    """One row from the footers of Parquet files: n, p<i> present cells of column i, l<i> and h<i> its extremes (of all columns, or those named).
+
+    To be planned under ``_from_footers``.  Nested columns have no counts; text, decimals and timestamps have
+    no extremes, since footers may hold them cut short or not at all.  Footers count leaves, so columns behind
+    a struct, a map or an array of nested values have neither.
+    """
+    df = spark.read.parquet(path)
+    exprs = [F.count(F.lit(1)).alias("n")]
+    for i, f in enumerate(df.schema.fields):
+        if family(f.dataType) == "nested":
+            if isinstance(f.dataType, T.ArrayType) and family(f.dataType.elementType) != "nested":
+                continue  # one leaf
+            break
+        if counts:
+            exprs.append(F.count(quoted(f.name)).alias(f"p{i}"))
+        if isinstance(f.dataType, FOOTER_EXTREMES) and (extremes is None or i in extremes):
+            exprs += [F.min(quoted(f.name)).alias(f"l{i}"), F.max(quoted(f.name)).alias(f"h{i}")]
+    return df.agg(*exprs)
+
+
+def footer_facts(spark: SparkSession, path: str) -> tuple[T.StructType, dict]:
+    """The schema and the row of ``footer_query``; no column is read.
+
+    A column without extremes in some footer, as where a file holds only nulls of it, gets none; then
+    every column is asked for apart.
+    """
+    def asked(**which) -> dict | None:
+        try:
+            return footer_query(spark, path, **which).first().asDict()
+        except Exception as problem:
+            if "No min/max found" not in str(problem):
+                raise
+            return None
+
+    with _from_footers(spark):
+        schema = spark.read.parquet(path).schema
+        row = asked()
+        if row is None:
+            row = asked(extremes=[])
+            for i in range(len(schema)):
+                row |= asked(extremes=[i], counts=False) or {}
+        return schema, row
+
+
+def column_facts_from_files(spark: SparkSession, path: str) -> DataFrame:
+    """A row per column from Parquet footers alone: position, name, data_type, row_count, non_null_count, null_count, min_value, max_value.
+
+    Extremes are text, as Spark writes the value; what footers cannot tell is NULL.  Footers leave NaN out of
+    extremes and count it as present.
+    """
+    schema, row = footer_facts(spark, path)
+
+    def shown(value) -> str | None:
+        return None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+
+    cols = [(i, f.name, f.dataType.simpleString(), row["n"], row.get(f"p{i}"), shown(row.get(f"l{i}")), shown(row.get(f"h{i}")))
+            for i, f in enumerate(schema.fields)]
+    kinds = {"position": pa.int32(), "name": pa.string(), "data_type": pa.string(), "row_count": pa.int64(),
+             "non_null_count": pa.int64(), "min_value": pa.string(), "max_value": pa.string()}
+    frame = local_frame(spark, {k: (t, [c[j] for c in cols]) for j, (k, t) in enumerate(kinds.items())})
+    return frame.withColumn("null_count", F.col("row_count") - F.col("non_null_count"))
+
+
+def snapshot_from_files(spark: SparkSession, path: str, name: str, source_type: str = "parquet",
+                        source_metadata: dict[str, str] | None = None) -> DataFrame:
+    """The snapshot of Parquet files from their footers, reading no column: counts, missing cells, types.
+
+    The cells of nested columns are not counted in footers: their counts are NULL and they add nothing to
+    total_null_count.  NaN counts as present here.
+    """
+    schema, row = footer_facts(spark, path)
+    n, cols = row["n"], []
+    for i, f in enumerate(schema.fields):
+        present = row.get(f"p{i}")
+        gone = None if present is None else n - present
+        cols.append((f.name, f.dataType.simpleString(), family(f.dataType), present, gone,
+                     None if gone is None else round(gone / n * 100, 2) if n else 0.0))
+    return _snapshot_row(spark, name, source_type, source_metadata, cols, n, sum(c[4] or 0 for c in cols),
+                         estimated_bytes(spark.read.parquet(path)))
+
+
 def _snapshot_row(spark: SparkSession, name: str, source_type: str, facts: dict[str, str] | None, cols: list[tuple],
                   rows: int | None, missing: int | None, size: int | None) -> DataFrame:
     def named(*kinds: str) -> list[list[str]]:

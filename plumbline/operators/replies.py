@@ -38,9 +38,9 @@ def json_part(text: Column) -> Column:
 
 def parse_replies(replies: DataFrame, text: str = "text", keys: list[str] = ("reply_id",)) -> DataFrame:
     """One row per recommendation: keys, summary, item, type, priority, title, description,
-    suggested_actions, affected_columns, estimated_impact, parsed.
+    suggested_actions, affected_columns, estimated_impact, parsed, raw_text.
 
-    A reply without readable JSON gives one fallback row; a reply whose list is empty or
+    ``raw_text`` is the whole reply where it cannot be read, and null elsewhere.  A reply without readable JSON gives one fallback row; a reply whose list is empty or
     absent gives one row without an item.
     """
     raw = F.col(text)
@@ -62,11 +62,11 @@ def parse_replies(replies: DataFrame, text: str = "text", keys: list[str] = ("re
         F.coalesce(r["estimated_impact"], F.lit("")).alias("estimated_impact")))
     ok = F.col("__json").isNotNull()
     shaped = parsed.select(
-        *keys, ok.alias("parsed"),
+        *keys, ok.alias("parsed"), F.when(~ok, F.col("__raw")).alias("raw_text"),
         F.when(ok, F.coalesce(F.col("__r.summary"), F.lit(SUMMARY_DEFAULT))).otherwise(SUMMARY_FALLBACK).alias("summary"),
         F.when(ok, items).otherwise(fallback).alias("__items"))
-    return shaped.select(*keys, "parsed", "summary", F.posexplode_outer("__items").alias("item", "__i")).select(
-        *keys, "parsed", "summary", "item", "__i.*")
+    return shaped.select(*keys, "parsed", "raw_text", "summary", F.posexplode_outer("__items").alias("item", "__i")).select(
+        *keys, "parsed", "raw_text", "summary", "item", "__i.*")
 
 
 def route(replies: DataFrame, text: str = "text", keys: list[str] = ("reply_id",)) -> DataFrame:

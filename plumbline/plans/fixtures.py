@@ -71,6 +71,21 @@ SELECT concat('q', CAST(event_id AS STRING)) AS QUERY_ID, ts AS QUERY_START_TIME
   event_id % 37 * 1000 AS TOTAL_ELAPSED_TIME,
   'WH' AS WAREHOUSE_NAME, 'SALES' AS DATABASE_NAME, 'PUBLIC' AS SCHEMA_NAME,
   '' AS DIRECT_OBJECTS_ACCESSED, '' AS BASE_OBJECTS_ACCESSED, '' AS OBJECTS_MODIFIED
+FROM events""",
+    # forms that a search for FROM alone misreads
+    "scoped_query_log": """
+SELECT concat('s', CAST(event_id AS STRING)) AS QUERY_ID,
+  CASE event_id % 9
+    WHEN 0 THEN concat('INSERT INTO FACTS SELECT EXTRACT(YEAR FROM order_ts), SUBSTRING(name FROM 2) FROM raw_', CAST(user_id % 6 AS STRING))
+    WHEN 1 THEN concat('INSERT INTO FACTS -- copied from backup\nSELECT a FROM live_', CAST(user_id % 4 AS STRING), ' /* not from there, old */, dims')
+    WHEN 2 THEN concat('CREATE TABLE FACTS AS SELECT ', chr(39), 'from here', chr(39), ' AS w, b FROM texts_', CAST(user_id % 3 AS STRING), ' WHERE b <> ', chr(39), 'it', chr(39), chr(39), 's from x', chr(39))
+    WHEN 3 THEN concat('INSERT INTO FACTS WITH recent AS (SELECT * FROM events_', CAST(user_id % 5 AS STRING), '), best (k) AS (SELECT k FROM recent JOIN ranks ON 1 = 1) SELECT * FROM best, recent')
+    WHEN 4 THEN concat('INSERT INTO FACTS WITH audits AS (SELECT * FROM audits WHERE y = ', CAST(user_id AS STRING), ') SELECT * FROM audits')
+    WHEN 5 THEN 'INSERT INTO FACTS WITH RECURSIVE tree AS (SELECT 1 FROM roots UNION ALL SELECT 1 FROM tree JOIN leaves ON 1 = 1) SELECT * FROM tree'
+    WHEN 6 THEN concat('INSERT INTO FACTS SELECT * FROM (SELECT a FROM inner_', CAST(user_id % 2 AS STRING), ' WHERE a IS DISTINCT FROM b) t, TABLE(flat(t.a)), other o')
+    WHEN 7 THEN 'INSERT INTO FACTS SELECT * FROM ((left_side l JOIN "Raw"."right" r ON l.k = TRIM(BOTH FROM r.k)) LEFT JOIN third ON l.k = (SELECT max(k) FROM limits))'
+    ELSE concat('INSERT INTO FACTS SELECT coalesce((SELECT max(x) FROM deep_', CAST(user_id % 3 AS STRING), '), OVERLAY(c PLACING d FROM 2)) FROM wide') END AS QUERY_TEXT,
+  'INSERT' AS QUERY_TYPE
 FROM events""",
     "ddl_log": """
 SELECT concat('d', CAST(o_orderkey AS STRING)) AS QUERY_ID,

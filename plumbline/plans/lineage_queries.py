@@ -127,6 +127,20 @@ def lineage_sources(spark, sf_dir):
     return L.transformation_sources(history(spark, sf_dir), *TARGET)
 
 
+# the tables that each form of the scoped log reads, said without reading its text
+SCOPED = " UNION ALL ".join(
+    f"SELECT '{DB}.{SCHEMA}.' || {name} AS source FROM events WHERE event_id % 9 = {form}" for form, name in [
+        (0, "'RAW_' || user_id % 6"), (1, "'LIVE_' || user_id % 4"), (1, "'DIMS'"), (2, "'TEXTS_' || user_id % 3"), (3, "'EVENTS_' || user_id % 5"),
+        (3, "'RANKS'"), (4, "'AUDITS'"), (5, "'ROOTS'"), (5, "'LEAVES'"), (6, "'INNER_' || user_id % 2"), (6, "'OTHER'"), (7, "'LEFT_SIDE'"),
+        (7, "'THIRD'"), (7, "'LIMITS'"), (8, "'DEEP_' || user_id % 3"), (8, "'WIDE'")]) + " UNION ALL SELECT 'RAW.RIGHT' FROM events WHERE event_id % 9 = 7"
+
+
+@query("lineage_sources_scoped", f"SELECT source, count(*) AS queries FROM ({SCOPED}) GROUP BY 1")
+def lineage_sources_scoped(spark, sf_dir):
+    """Sources of queries with comments, literals, functions that hold FROM, and WITH queries."""
+    return L.transformation_sources(view(spark, sf_dir, "scoped_query_log"), *TARGET)
+
+
 @query("lineage_sources_first", f"SELECT source, count(*) AS queries FROM {FIRST_SOURCES} GROUP BY 1")
 def lineage_sources_first(spark, sf_dir):
     """The narrower reading: one table after each FROM."""

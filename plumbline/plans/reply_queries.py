@@ -25,20 +25,20 @@ SELECT reply_id, TRUE AS parsed, coalesce(j->>'$.summary', 'AI-generated data qu
   coalesce(r->>'$.type', r->>'$.category', 'data_validation') AS type, coalesce(r->>'$.priority', 'medium') AS priority,
   coalesce(r->>'$.title', 'Data Quality Improvement') AS title, coalesce(r->>'$.description', '') AS description,
   coalesce(array_to_string(coalesce(CAST(r->'$.suggested_actions' AS VARCHAR[]), CAST(r->'$.action_items' AS VARCHAR[])), '|'), '') AS actions,
-  coalesce(array_to_string(CAST(r->'$.affected_columns' AS VARCHAR[]), '|'), '') AS columns, coalesce(r->>'$.estimated_impact', '') AS estimated_impact
+  coalesce(array_to_string(CAST(r->'$.affected_columns' AS VARCHAR[]), '|'), '') AS columns, coalesce(r->>'$.estimated_impact', '') AS estimated_impact, NULL AS raw_text
 FROM items
 UNION ALL
-SELECT reply_id, TRUE, coalesce(j->>'$.summary', 'AI-generated data quality recommendations'), NULL, NULL, NULL, NULL, NULL, '', '', NULL
+SELECT reply_id, TRUE, coalesce(j->>'$.summary', 'AI-generated data quality recommendations'), NULL, NULL, NULL, NULL, NULL, '', '', NULL, NULL
 FROM p WHERE j IS NOT NULL AND coalesce(json_array_length(j, '$.recommendations'), 0) = 0
 UNION ALL
 SELECT reply_id, FALSE, 'Unable to parse structured recommendations, but analysis was performed.', 0, 'general', 'medium', 'AI Analysis Result',
-  'Raw AI response: ' || substring(text, 1, 200) || '...', 'Review the raw response for insights', '', 'Varies'
+  'Raw AI response: ' || substring(text, 1, 200) || '...', 'Review the raw response for insights', '', 'Varies', text
 FROM p WHERE j IS NULL""")
 def parse_replies(spark, sf_dir):
     got = replies.parse_replies(view(spark, sf_dir, "replies"))
     return got.select("reply_id", "parsed", "summary", "item", "type", "priority", "title", "description",
                       F.concat_ws("|", "suggested_actions").alias("actions"),
-                      F.concat_ws("|", "affected_columns").alias("columns"), "estimated_impact")
+                      F.concat_ws("|", "affected_columns").alias("columns"), "estimated_impact", "raw_text")
 
 
 @query("reply_routes", f"""

@@ -54,6 +54,53 @@ def csv_broken_records(spark, sf_dir):
     return files.broken_records(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string")
 
 
+@query("csv_ledger", """
+SELECT o_orderstatus AS status, count(*) FILTER (o_orderkey % 97 <> 0 AND o_custkey % 89 <> 0) AS good_rows,
+  count(*) FILTER (o_orderkey % 97 = 0 OR o_custkey % 89 = 0) AS bad_rows FROM orders GROUP BY 1""")
+def csv_ledger(spark, sf_dir):
+    """Good and bad rows of the files of orders by status: some lines lack a field, some hold a word for a number."""
+    path = f"{shared_folder(spark)}/ledger"
+    number = F.when(F.col("o_custkey") % 89 == 0, F.lit("unknown")).otherwise(F.col("o_custkey").cast("string"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), number, F.when(F.col("o_orderkey") % 97 != 0, F.col("o_orderpriority")))
+    base(spark, sf_dir, "orders").select("o_orderstatus", line.alias("o_orderkey,o_custkey,o_orderpriority")).write.partitionBy(
+        "o_orderstatus").option("header", True).option("sep", "\u0001").csv(path)
+    found = files.csv_ledger(spark, path, "o_orderkey long, o_custkey long, o_orderpriority string", pathGlobFilter="*.csv")
+    return found.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]*)", 1).alias("status")).agg(
+        *[F.sum(c).alias(c) for c in ("good_rows", "bad_rows")])
+
+
+FOOTER_TABLES = {"lineitem": ("l_orderkey", "l_quantity", "l_discount", "l_linenumber"), "documents": ("doc_id", "n_chars"),
+                 "labels": ("doc_id", "quality"), "orders": ("o_orderkey", "o_totalprice")}
+
+
+@query("footer_facts", " UNION ALL ".join(
+    f"SELECT '{t}' AS dataset, '{c}' AS name, count(*) AS row_count, count({c}) AS non_null_count, count(*) - count({c}) AS null_count, "
+    f"CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high FROM {t}" for t, cols in FOOTER_TABLES.items() for c in cols))
+def footer_facts(spark, sf_dir):
+    """Counts and extremes of columns from Parquet footers; the tables' columns are not read."""
+    out = None
+    for t, cols in FOOTER_TABLES.items():
+        one = metadata.column_facts_from_files(spark, f"{sf_dir}/{t}.parquet").where(F.col("name").isin(*cols)).select(
+            F.lit(t).alias("dataset"), "name", "row_count", "non_null_count", "null_count",
+            F.col("min_value").cast("double").alias("low"), F.col("max_value").cast("double").alias("high"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("footer_snapshot", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) AS row_count, (SELECT count(*) FROM (DESCRIBE SELECT * FROM {t})) AS column_count, "
+    f"count(*) * {n} - {' - '.join(f'count({c})' for c in cols)} AS total_null_count FROM {t}"
+    for t, n, cols in [("documents", 5, ("doc_id", "text", "lang", "source", "n_chars")), ("labels", 3, ("doc_id", "quality", "toxic")),
+                       ("pages", 3, ("page_id", "url", "html"))]))
+def footer_snapshot(spark, sf_dir):
+    """The snapshot of whole tables from their footers."""
+    out = None
+    for t in ("documents", "labels", "pages"):
+        one = metadata.snapshot_from_files(spark, f"{sf_dir}/{t}.parquet", t).select("name", "row_count", "column_count", "total_null_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("csv_files", "SELECT 'nation' AS dataset, count(*) AS rows, 3 AS columns FROM nation UNION ALL SELECT 'supplier', count(*), 4 FROM supplier UNION ALL SELECT 'orders', count(*), 6 FROM orders")
 def csv_files(spark, sf_dir):
     """Several CSV datasets, each under its own name; a missing one is reported, not fatal."""

@@ -98,6 +98,32 @@ def read_csv_files(spark: SparkSession, paths: list[str], **options) -> tuple[di
     return loaded, failed
 
 
+def csv_ledger(spark: SparkSession, path: str | list[str], schema: str, encoding: str = "utf-8", delimiter: str = ",",
+               multi_line: bool = False, **options) -> DataFrame:
+    """What one scan over CSV files found, a row per file: path, size_bytes, good_rows, bad_rows, rows_digest.
+
+    A bad row does not fit the schema (a field too few or too many, a value of another type).  Files are
+    pre-aggregated where they are read, so many files cost no job each; one with a header alone is listed with
+    none, one without a byte is not listed.
+    ``rows_digest`` does not depend on the order of the rows.  A reader that fails on a whole file, such as
+    a broken archive, fails the scan.
+    """
+    reader = (spark.read.options(**{"recursiveFileLookup": True, **options}).option("header", True).option("sep", delimiter)
+              .option("encoding", charset_of(encoding)).option("multiLine", multi_line).option("escape", '"')
+              .option("columnNameOfCorruptRecord", "__record"))
+    rows = reader.schema(f"{schema}, __record string").csv(path)
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])  # reads all fields: Spark sees a bad row only in those it parses
+    # written, a row a file, so that no later selection makes the scan parse fewer fields
+    found = settle(rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count_if(F.col("__record").isNull()).alias("good_rows"), F.count_if(F.col("__record").isNotNull()).alias("bad_rows"),
+        F.bit_xor(whole).alias("rows_digest")))
+    chosen = {k: v for k, v in {"recursiveFileLookup": True, **options}.items() if k in FILE_CHOICE}
+    listed = spark.read.format("binaryFile").options(**chosen).load(path).select("path", F.col("length").alias("size_bytes"))
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), r"^[a-z]+:/*", "/")
+    return listed.join(found.withColumn("plain", plain), F.regexp_replace("path", r"^[a-z]+:/*", "/") == F.col("plain"), "left").select(
+        "path", "size_bytes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good_rows", "bad_rows")], "rows_digest")
+
+
 def source_info(df: DataFrame, source_type: str, path: str) -> DataFrame:
     """One row: source_type, file_path, row_count, column_count, columns."""
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(

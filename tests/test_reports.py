@@ -126,6 +126,18 @@ def sources(spark, text, **options):
     ("select * from aaa left join bbb using (k), ccc", ["DB.S.AAA"], ["DB.S.AAA", "DB.S.BBB"]),
     ("select 1", [], []),
     (None, None, None),
+    ("select extract(year from order_ts) from aaa", ["DB.S.AAA"], ["DB.S.AAA"]),
+    ("select a -- copied from backup\nfrom live /* from \n older */", ["DB.S.BACKUP", "DB.S.LIVE", "DB.S.OLDER"], ["DB.S.LIVE"]),
+    ("select 'it''s from here', 'a\\' from there' from aaa", ["DB.S.HERE", "DB.S.THERE", "DB.S.AAA"], ["DB.S.AAA"]),
+    ("with cte as (select * from base1), two (k) as (select k from cte) select * from two, cte join far on 1",
+     ["DB.S.BASE1", "DB.S.CTE", "DB.S.TWO"], ["DB.S.BASE1", "DB.S.FAR"]),
+    ("with own as (select * from own) select * from own", ["DB.S.OWN"], ["DB.S.OWN"]),
+    ("with recursive own as (select 1 from roots union all select 1 from own) select * from own", ["DB.S.ROOTS", "DB.S.OWN"], ["DB.S.ROOTS"]),
+    ("select * from flat(xxx), lateral (select * from inn) i, aaa where a is distinct from bbb",
+     ["DB.S.FLAT", "DB.S.INN", "DB.S.BBB"], ["DB.S.INN", "DB.S.AAA"]),
+    ("select * from ((aaa join bbb on 1) join ccc on 1), ddd", ["DB.S.AAA"], ["DB.S.AAA", "DB.S.BBB", "DB.S.CCC", "DB.S.DDD"]),
+    ('select * from "My" . "ta(b" x', [], ["MY.TA(B"]),
+    ("select * from aaa )) from 'open", ["DB.S.AAA", "DB.S.OPEN"], ["DB.S.AAA"]),
 ])
 def test_source_tables(spark, text, first, every):
     assert sources(spark, text, first_only=True) == first
@@ -148,6 +160,9 @@ def test_replies(spark):
     got = {r["reply_id"]: r for r in replies.parse_replies(df).collect()}
     assert [got[i]["parsed"] for i in range(6)] == [False, False, False, True, True, True]
     assert got[1]["description"] == "Raw AI response: no braces..."
+    assert [got[i]["raw_text"] for i in range(6)] == ["", "no braces", "{bad", None, None, None]
+    long = replies.parse_replies(spark.createDataFrame([(1, "word " * 5000)], "reply_id bigint, text string")).first()
+    assert long["raw_text"] == "word " * 5000 and len(long["description"]) < 250
     assert (got[3]["type"], got[3]["suggested_actions"], got[3]["priority"]) == ("c", ["a"], "medium")
     assert got[4]["summary"] == "s" and got[4]["item"] is None
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.sizing import settle, shared_folder
-from plumbline.operators import anomaly
+from plumbline.operators import anomaly, metadata
 from plumbline.sources import databases, excel, factory, files, registry, sinks
 from plumbline.streaming import monitor
 
@@ -191,3 +191,39 @@ def test_stream_drops_late_rows_and_flags(spark, tmp_path):
     spreads = anomaly.spreads(base, ["v"], ("zscore", "iqr"))
     run(monitor.flag_outside(read().withColumn("v", F.col("v") * 100), spreads), "flags")
     assert sorted(r["v"] for r in spark.read.parquet(str(tmp_path / "flags")).collect()) == [100.0, 200.0, 300.0, 900.0]
+
+
+def test_csv_ledger(spark, tmp_path):
+    """Rows that fit and rows that do not, file by file, with one of a header alone; a file without a byte is not listed."""
+    texts = {"a.csv": "x,y\n1,a\n2,b\n", "b c+d.csv": "x,y\n1\nno,b\n3,c,d\n4,e\n", "empty.csv": "", "head.csv": "x,y\n", "sub/a.csv": "x,y\n2,b\n1,a\n"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    rows = {r["path"].split(str(tmp_path) + "/")[1]: r for r in files.csv_ledger(spark, str(tmp_path), "x int, y string").collect()}
+    assert {k: (r["good_rows"], r["bad_rows"], r["size_bytes"]) for k, r in rows.items()} == {
+        "a.csv": (2, 0, 12), "b c+d.csv": (1, 3, 21), "head.csv": (0, 0, 4), "sub/a.csv": (2, 0, 12)}
+    assert rows["a.csv"]["rows_digest"] == rows["sub/a.csv"]["rows_digest"] is not None and rows["head.csv"]["rows_digest"] is None
+
+
+def test_facts_from_footers(spark, tmp_path):
+    """Counts and extremes without reading a column: the plan scans only footers, and the settings stay as they were."""
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, None, "a", [1], True), (5, 2.5, None, None, False), (None, -1.0, "b", [2], True)],
+                          "k int, v double, s string, l array<int>, b boolean").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    rows = {r["name"]: r for r in metadata.column_facts_from_files(spark, path).collect()}
+    told = {k: (r["row_count"], r["non_null_count"], r["null_count"], r["min_value"], r["max_value"]) for k, r in rows.items()}
+    assert told == {"k": (3, 2, 1, "1", "5"), "v": (3, 2, 1, "-1.0", "2.5"), "s": (3, 2, 1, None, None),
+                    "l": (3, None, None, None, None), "b": (3, 3, 0, "false", "true")}
+    snap = metadata.snapshot_from_files(spark, path, "t").first()
+    assert (snap["row_count"], snap["column_count"], snap["total_null_count"]) == (3, 5, 3)
+    with metadata._from_footers(spark):
+        plan = metadata.footer_query(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)" in plan and "ReadSchema: struct<count(*)" in plan.replace("COUNT", "count")
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    # a file without a value of a column has no extremes for it; columns behind a nested one of several leaves are not told
+    part = spark.createDataFrame([(None, 1.5, "a", (1, 2), True)], "k int, v double, s string, l struct<a: int, b: int>, b boolean")
+    part.union(part.selectExpr("7", "v", "s", "l", "b")).repartition(2, "k").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "u"))
+    told = {r["name"]: (r["row_count"], r["null_count"], r["min_value"], r["max_value"]) for r in metadata.column_facts_from_files(
+        spark, str(tmp_path / "u")).collect()}
+    assert told == {"k": (2, 1, None, None), "v": (2, 0, "1.5", "1.5"), "s": (2, 0, None, None), "l": (2, None, None, None), "b": (2, None, None, None)}

@@ -14,6 +14,7 @@ CELLS = 1024  # parts of the unit interval by which draws find their source
 SLOTS_PER_TASK = 200_000
 SPREAD = 20_000  # most tasks that draw out slots
 BUCKETS = 1024  # parts in which a source's documents are numbered
+LEAST_BLOCKS = 64  # blocks that a target is made of at least, if it has as many words
 
 
 def word_count(text: Column) -> Column:
@@ -57,9 +58,11 @@ def permuted(index: Column, size: Column, seed: list[Column], rounds: int = ROUN
 
 
 class Mixture:
-    """A mix of documents (doc_id, text, source) in blocks of ``block`` words.
+    """A mix of documents (doc_id, text, source) in blocks of a fixed length for each source.
 
-    ``sources`` has one row per source with its target; ``assigned`` one row per slot of the mix
+    The length is ``block`` words, less where the target holds fewer than ``LEAST_BLOCKS`` of them and
+    one word at least, so a source of any size comes within three halves of a 64th of its target or
+    half a word, whichever is more.  ``sources`` has one row per source with its target; ``assigned`` one row per slot of the mix
     (output shard, source, index, epoch, block); ``pieces`` one row per document and block it
     touches (begin and length in words, ``times`` the mix takes the block).  A null text has no
     words; null is a source of its own, the last.  Repeated rows count as often as they occur.
@@ -73,7 +76,9 @@ class Mixture:
                                    F.xxhash64("text").alias("text_hash")))
         targets = target_sizes(sized, share, most)
         # in blocks: a source whose last block is short needs more of them for the same words
-        sources = targets.withColumn("blocks", F.expr(f"cast(ceil(source_size / {block}) as long)")).withColumn(
+        sources = targets.withColumn("block_size", F.expr(
+            f"cast(greatest(least({block}, floor(target / {LEAST_BLOCKS})), 1) as long)")).withColumn(
+            "blocks", F.expr("cast(ceil(source_size / block_size) as long)")).withColumn(
             "slots", F.least(most * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / F.greatest(
                 F.col("source_size"), F.lit(1))).cast("long")))
         self.sources = settle(sources.withColumn("first", F.coalesce(F.sum("slots").over(
@@ -81,17 +86,17 @@ class Mixture:
         count, slots = self.sources.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
         small = bounded(self.sources, count)
         self.assigned = self._assign(spark, small, count, slots, slots_per_shard, seed)
-        placed = sized.join(small.select(F.col("source").alias("_source"), "source_no"),
+        placed = sized.join(small.select(F.col("source").alias("_source"), "source_no", "block_size"),
                             F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
         order = ["doc_id", "size", "text_hash"]
         self.placed = settle(numbered(placed.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(BUCKETS))),
                                       ["source_no"], "_part", order, "begin", "size").drop("_part"))
         times = self.assigned.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        last = F.expr(f"(begin + size - 1) div {block}")
+        last = F.expr("(begin + size - 1) div block_size")
         touched = (self.placed.where("size > 0").select(
-            "source_no", "begin", "size", F.explode(F.sequence(F.expr(f"begin div {block}"), last)).alias("block"))
-            .withColumn("from", F.greatest(F.col("block") * block - F.col("begin"), F.lit(0)))
-            .withColumn("words", F.least((F.col("block") + 1) * block - F.col("begin"), F.col("size")) - F.col("from")))
+            "source_no", "begin", "size", "block_size", F.explode(F.sequence(F.expr("begin div block_size"), last)).alias("block"))
+            .withColumn("from", F.expr("greatest(block * block_size - begin, 0)"))
+            .withColumn("words", F.expr("least((block + 1) * block_size - begin, size)") - F.col("from")))
         self.pieces = touched.join(times, ["source_no", "block"]).select(
             "source_no", "begin", "from", "words", "times")
 
@@ -134,8 +139,8 @@ class Mixture:
     def taken(self) -> DataFrame:
         """One row per document: doc_id, size, source_size, target, taken."""
         taken = self.pieces.groupBy("source_no", "begin").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        sized = self.placed.join(F.broadcast(self.sources.drop("source", "slots")) if self.sources.count() <= 100_000
-                                 else self.sources.drop("source", "slots"), "source_no")
+        targets = self.sources.select("source_no", "source_size", "target")
+        sized = self.placed.join(bounded(targets, self.sources.count(), 100_000), "source_no")
         key = F.when(F.col("size") > 0, F.col("begin"))  # a document without words shares its place with the next
         return sized.withColumn("at", key).join(
             taken.select(F.col("source_no").alias("s"), F.col("begin").alias("b"), "taken"),

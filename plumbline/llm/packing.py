@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.sizing import local_frame, settle
@@ -16,7 +17,7 @@ from plumbline.llm.common import numbered, slices, worker_kept
 
 MEMO_WORDS = 400_000  # words whose ids one worker keeps at a time
 LINE_WORDS = 2000  # new words that are tokenised together
-TEXTS = 128  # texts whose words are looked up together
+TEXT_BYTES = 4_000_000  # of texts whose words are looked up together, or one text
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, size_class long"
 
 
@@ -33,17 +34,21 @@ def harmonic_cuts(length: int, capacity: int) -> list[int]:
     return cuts
 
 
-SIMPLE = re.compile(rb"[!-&(-@\[-~]+")  # words of printable characters without capitals and apostrophes
-PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")  # what the tokenizer takes one by one in such a word
+# Letters that stand for themselves in the tokenizer's normal form: small and composed, or without case.
+LETTERS = "a-zß-öø-ÿа-џ一-龥"
+SIMPLE = re.compile(f"[!-&(-@\\[-~{LETTERS}]+")  # words of such letters and printable marks other than the apostrophe
+WORD = re.compile(f"[{LETTERS}]+")
+PARTS = re.compile(f"[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")  # what the tokenizer takes one by one in such a word
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as their own character
+BYTES = {byte: 256 + i for i, byte in enumerate(sorted(set(range(256)).difference(SHOWN)))}  # and what the others are written as
 
 
 class WordIds:
     """Ids of white-space separated words as little-endian bytes; a bounded memo in front of the tokenizer.
 
     The tokenizer never joins characters across white space, so ids of a text are those of its words.
-    Plain ASCII words are cut into letters, digits and marks, and unknown ones go to the same model
-    in long lines without the normaliser, which leaves them as they are; all other words take the
-    whole tokenizer.
+    Plain words are cut into letters, digits and marks, and unknown ones go to the same model in long
+    lines without the normaliser, which leaves them as they are; all other words take the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,36 +58,60 @@ class WordIds:
         vocabulary = self.plain.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            split.append((raw if b"<|" in raw else raw.lower()).split())  # marks such as <|endoftext|> mind the case
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text.  Arrow lowers, splits and numbers the words; each distinct one is looked up once."""
+        texts = pc.fill_null(texts, "")
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))  # marks such as <|endoftext|> mind the case
+        split = pc.ascii_split_whitespace(lowered)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) + len(self.parts) > MEMO_WORDS:
             self.words.clear()
             self.parts.clear()
-        new = set(chain.from_iterable(split)).difference(self.words)
-        simple = {w: PARTS.findall(w) for w in new if SIMPLE.fullmatch(w) and b"<|" not in w}
-        self._learn(list(set(chain.from_iterable(simple.values())).difference(self.parts)))
-        for word, parts in simple.items():
+        found = list(map(self.words.get, distinct))
+        self._look_up([w for w, ids in zip(distinct, found, strict=True) if ids is None])
+        found = [self.words[w] if ids is None else ids for w, ids in zip(distinct, found, strict=True)]
+        pool, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        words = coded.indices.to_numpy()
+        length = sizes[words]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        shift = (np.cumsum(sizes) - sizes)[words] - ends[:-1]
+        raw = pool[np.repeat(shift, length) + np.arange(ends[-1])].tobytes()
+        stops = (4 * ends[np.cumsum(split.value_lengths().to_numpy())]).tolist()
+        return [raw[begin:end] for begin, end in zip([0, *stops], stops)]
+
+    def _look_up(self, new: list[str]) -> None:
+        words, mixed, odd = [], [], []
+        for w in new:
+            (words if WORD.fullmatch(w) else mixed if SIMPLE.fullmatch(w) and "<|" not in w else odd).append(w)
+        cut = [PARTS.findall(w) for w in mixed]
+        self._learn(self.words, words)
+        self._learn(self.parts, list(set(chain.from_iterable(cut)).difference(self.parts)))
+        for word, parts in zip(mixed, cut, strict=True):
             self.words[word] = b"".join(map(self.parts.__getitem__, parts))
-        odd = [w for w in new if w not in simple]
-        codes = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False) if odd else []
-        for word, code in zip(odd, codes, strict=True):
+        for word, code in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
             self.words[word] = np.asarray(code.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
-    def _learn(self, parts: list[bytes]) -> None:
-        lines = [b" ".join(parts[i:i + LINE_WORDS]).decode() for i in range(0, len(parts), LINE_WORDS)]
+    def _learn(self, memo: dict[str, bytes], parts: list[str]) -> None:
+        written = [p if p.isascii() else p.encode().decode("latin-1").translate(BYTES) for p in parts]
+        lines = [" ".join(written[i:i + LINE_WORDS]) for i in range(0, len(written), LINE_WORDS)]
         codes = self.plain.encode_batch_fast(lines, add_special_tokens=False) if lines else []
-        ids = np.array([i for code in codes for i in code.ids], dtype="<u4")
-        ends, raw, begin = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist() if len(ids) else [], ids.tobytes(), 0
-        for part, end in zip(parts, ends, strict=True):
-            self.parts[part] = raw[begin:end]
-            begin = end
+        ids = np.concatenate([np.zeros(0, "<u4"), *(np.array(code.ids, dtype="<u4") for code in codes)])
+        ends, raw = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), ids.tobytes()
+        memo.update(zip(parts, (raw[begin:end] for begin, end in zip([0, *ends], ends)), strict=True))
+
+
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about ``TEXT_BYTES``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048) -> DataFrame:
@@ -97,8 +126,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capa
         last = np.array([end_id], dtype="<u4").tobytes()
         for batch in slices(batches):
             rows, starts, lengths, sums, totals = [], [], [], [], []
-            texts = batch.column("text")
-            encoded = chain.from_iterable(memo.encode(texts.slice(i, TEXTS).to_pylist()) for i in range(0, len(texts), TEXTS))
+            encoded = chain.from_iterable(map(memo.encode, portions(batch.column("text"))))
             for row, ids in enumerate(encoded):
                 ids += last
                 at = 0

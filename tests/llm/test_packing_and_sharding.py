@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import edge_docs, empty_docs
 from pyspark.sql import functions as F
@@ -61,10 +62,30 @@ def test_packing_edges(spark):
 def test_tokens_across_odd_white_space(spark):
     text = "a b c \x1c d\x85e  f'll <|endoftext|>x ẞİ oḱ"
     from tokenizers import Tokenizer
-    own, = packing.WordIds(word_tokenizer()).encode([text])
+    own, = packing.WordIds(word_tokenizer()).encode(pa.array([text]))
     assert np.frombuffer(own, "<u4").tolist() == Tokenizer.from_file(word_tokenizer()).encode(text, add_special_tokens=False).ids
 
 
+def test_words_learned_in_lines():
+    """Accented, Cyrillic and Chinese words, final sigmas, decomposed and odd characters: as the whole tokenizer takes them."""
+    from tokenizers import Tokenizer
+    texts = ["leréen è, ñ-ñ 12ß ÿ÷×", "мир. ёлка й и\u0306 Мир", "漢字かな 中文,字 龥龦", "ΟΔΟΣ οδος ά", "e\u0301t\u00e9 ﬁ ª º µ", "don't l'été '", None, "", "  ",
+             "<|endoftext|>é <|EndOfText|>", "a" * 5000 + "é" * 5000, "\x00\x01 \x7f \ufeff \u200b x\u200by", "𝒳 😀😀 é😀"]
+    memo, whole = packing.WordIds(word_tokenizer()), Tokenizer.from_file(word_tokenizer())
+    for _ in range(2):
+        got = memo.encode(pa.array(texts))
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert memo.encode(pa.array([], pa.string())) == []
+
+
+def test_portions(monkeypatch):
+    monkeypatch.setattr(packing, "TEXT_BYTES", 10)
+    texts = ["aaaa", None, "bbbb", "cccc", "", "d" * 50, "é" * 5, "f"]
+    runs = [p.to_pylist() for p in packing.portions(pa.array(texts))]
+    assert sum(runs, []) == texts and all(len(r) == 1 or sum(len((t or "").encode()) for t in r) <= 10 for r in runs)
+    assert list(packing.portions(pa.array([], pa.string()))) == []
+
+
 def test_shards(spark):
     rows = QUERIES["op4_histogram_sort"](spark, SF_DIR).collect()
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}

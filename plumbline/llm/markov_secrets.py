@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +23,28 @@ PRIOR_ODDS = math.log(1e4)  # against a long token being a secret
 MEAN_RATIO = 0.35  # least log-likelihood ratio of a character
 
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+RUN = 64  # elements walked by one fold, which copies what it has built at every step
+HALVINGS = 31  # steps that find a place in an array of any length
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where it is used inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def runs(array: Column) -> Column:
+    """The places of an array, from 1, in runs of ``RUN``; none for an empty array."""
+    count = F.size(array)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1)), F.lit(RUN)),
+                      lambda i: F.sequence(i, F.greatest(i, F.least(i + RUN - 1, count))))
+    return F.when(count > 0, cut).otherwise(F.array().cast("array<array<int>>"))
+
+
+def begins(steps: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What all steps before each one come to, from 0."""
+    none = F.array().cast("array<int>")
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("all")), lambda acc, n: F.struct(
+        join(acc["at"], n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))["all"]
 
 
 def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
@@ -30,11 +54,20 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     parts = F.zip_with(F.arrays_zip(F.transform(hits, F.length).alias("size"), values.alias("value")), F.transform(gaps, F.length),
                        lambda hit, gap: F.struct(gap.alias("gap"), hit["size"].alias("size"), hit["value"].alias("value")))
     empty = F.array().cast(SPAN)
-    walked = F.aggregate(
-        F.filter(parts, lambda p: p["size"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda acc, p: F.struct((acc["at"] + p["gap"] + p["size"]).alias("at"), F.concat(acc["found"], F.array(F.struct(
-            (acc["at"] + p["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + p["gap"] + p["size"]).alias("end"),
-            p["value"].alias("value")))).alias("found")))["found"]
+
+    def walk(parts: Column) -> Column:
+        def size(run: Column) -> Column:
+            return F.aggregate(run, F.lit(0), lambda n, i: n + F.element_at(parts, i)["gap"] + F.element_at(parts, i)["size"])
+
+        def found(run: Column, begin: Column) -> Column:
+            return F.aggregate(run, F.struct(begin.alias("at"), empty.alias("found")), lambda acc, i: once(
+                F.element_at(parts, i), lambda p: F.struct((acc["at"] + p["gap"] + p["size"]).alias("at"), F.concat(acc["found"], F.array(F.struct(
+                    (acc["at"] + p["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + p["gap"] + p["size"]).alias("end"),
+                    p["value"].alias("value")))).alias("found"))))["found"]
+
+        return once(runs(parts), lambda cut: F.flatten(F.zip_with(cut, begins(F.transform(cut, size), lambda at, n: at + n), found)))
+
+    walked = once(F.filter(parts, lambda p: p["size"].isNotNull()), walk)
     return F.when(text.rlike(pattern), walked).otherwise(empty)
 
 
@@ -95,7 +128,20 @@ def with_spans(found: DataFrame, ratios: list[float]) -> DataFrame:
     def is_random(span: Column) -> Column:
         score = F.aggregate(_pairs(span["value"]), F.lit(0.0), lambda s, n: s + F.element_at(table, n))
         return span["value"].rlike("[A-Za-z]") & (score >= PRIOR_ODDS) & (score >= MEAN_RATIO * (F.length(span["value"]) - 1))
-    random = F.filter("_tokens", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])) & is_random(t))
+    def clear(span: Column, own: Column, steps: Column) -> Column:
+        """No span of ``own``, which are in order and do not overlap, overlaps this one: the last that begins before its end ends in time."""
+        before = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (step <= F.size(own) - at) & (F.get(own, at + step - 1)["start"] < span["end"]), at + step).otherwise(at))
+        return F.coalesce(F.get(own, before - 1)["end"] <= span["start"], F.lit(True))
+
+    def added(kind: int, *others: tuple[Column, Column]) -> Column:
+        if kind == 3:
+            return F.filter("_tokens", lambda t: functools.reduce(Column.__and__, [clear(t, *o) for o in others]) & is_random(t))
+        halvings = F.array(*[F.lit(1 << h) for h in range(HALVINGS)][::-1])
+        return once(F.filter("_base", lambda s: s["kind"] == kind), lambda own: once(
+            F.filter(halvings, lambda h: h <= F.size(own)), lambda steps: added(kind + 1, *others, (own, steps))))
+
+    random = added(0)
     return found.withColumn("_spans", F.when(F.size("_tokens") == 0, F.col("_base")).otherwise(F.array_sort(F.concat("_base", random))))
 
 
@@ -117,10 +163,22 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret span of ``text`` replaced by ``mask``; overlapping spans become one mask."""
-    found = secret_spans(docs)
-    built = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-        .otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
-    rest = F.concat(F.col("_built")["out"], F.substring(F.col("text"), F.col("_built")["at"] + 1, F.length("text")))
-    return found.withColumn("_built", built).withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(rest)).drop(
-        "_base", "_tokens", "_spans", "_built")
+    found, text, spans = secret_spans(docs), F.col("text"), F.col("_spans")
+    none = F.array().cast("array<string>")
+
+    def last(run: Column) -> Column:
+        return F.aggregate(run, F.lit(0), lambda at, i: F.greatest(at, F.element_at(spans, i)["end"]))
+
+    def pieces(run: Column, begin: Column) -> Column:
+        # cuts are made in the run's own stretch of text, since finding a place walks from the beginning
+        stretch = F.substring(text, begin + 1, F.greatest(last(run) - begin, F.lit(0)))
+        return once(stretch, lambda own: F.aggregate(run, F.struct(begin.alias("at"), none.alias("out")), lambda acc, i: once(
+            F.element_at(spans, i), lambda s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(
+                acc["out"], F.array(F.concat(F.substring(own, acc["at"] - begin + 1, s["start"] - acc["at"]), F.lit(mask)))))
+                .otherwise(acc["out"]).alias("out"))))["out"])
+
+    built = once(runs(spans), lambda cut: F.array_join(F.flatten(F.zip_with(
+        cut, begins(F.transform(cut, last), F.greatest), pieces)), ""))
+    end = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+    return found.withColumn("text", F.when(F.size(spans) == 0, text).otherwise(
+        F.concat(built, F.substring(text, end + 1, F.length(text))))).drop("_base", "_tokens", "_spans")

@@ -127,6 +127,33 @@ def test_redaction(spark):
     assert markov_secrets.redacted(edge_docs(spark)).count() == edge_docs(spark).count()
 
 
+def test_many_hits(spark, monkeypatch):
+    """Spans, overlaps and redaction of texts with up to thousands of hits, against plain Python; every free token counts as random."""
+    monkeypatch.setattr(markov_secrets, "train", lambda found: [1.0] * len(markov_secrets.ALPHABET) ** 2)
+    rng, letters = random.Random(5), "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789"
+    pieces = [lambda: rng.randbytes(16).hex(), lambda: "token=" + "".join(rng.choices(letters, k=20)), lambda: "AKIA" + "Z9" * 10,
+              lambda: "".join(rng.choices(letters, k=30)), lambda: "token=AKIA" + "B7" * 9 + rng.randbytes(14).hex(), lambda: "plain é 𝒳"]
+    texts = [" ".join(rng.choice(pieces)() for _ in range(n)) for n in (0, 1, 2, 63, 64, 65, 130, 3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in markov_secrets.secret_spans(docs).collect():
+        base = plain_secrets(texts[r["doc_id"]])
+        assert [(s["start"], s["kind"], s["end"]) for s in r["_base"]] == base
+        tokens = [m.span() for m in re.finditer(markov_secrets.TOKEN, texts[r["doc_id"]])]
+        assert [(s["start"], s["end"]) for s in r["_tokens"]] == tokens
+        free = {(a, b) for a, b in tokens if re.search("[A-Za-z]", texts[r["doc_id"]][a:b]) and not any(s < b and a < e for s, _, e in base)}
+        added = [(s["start"], s["end"]) for s in r["_spans"] if s["kind"] == 3]
+        assert added == sorted(free)
+        assert [(s["start"], s["kind"], s["end"]) for s in r["_spans"] if s["kind"] < 3] == base
+    spans = {r["doc_id"]: sorted((s["start"], s["end"]) for s in r["_spans"]) for r in markov_secrets.secret_spans(docs).collect()}
+    for r in markov_secrets.redacted(docs).collect():
+        out, at = [], 0
+        for start, end in spans[r["doc_id"]]:
+            if start >= at:
+                out += [texts[r["doc_id"]][at:start], "[SECRET]"]
+            at = max(at, end)
+        assert r["text"] == "".join(out) + texts[r["doc_id"]][at:]
+
+
 def test_skip_chain(spark):
     """A phone number given once in full and once without its sign: the skip edge carries the label over."""
     rng = np.random.default_rng(3)
@@ -202,6 +229,18 @@ def test_mixing(spark):
     assert len(rows) == len(docs) and all(abs(taken[s] - t) <= 0.02 * t for s, t in targets.items())
 
 
+def test_small_sources(spark):
+    """Sources of 1 to 4000 words come near their targets: within 5 %, or half a word and rounding."""
+    sizes = [1, 2, 3, 7, 20, 50, 64, 99, 100, 128, 129, 500, 1000, 4000]
+    rows = [(100 * i + j, " ".join(["w"] * part), f"s{i:02d}") for i, n in enumerate(sizes) for j, part in enumerate(x for x in (n // 3, n - n // 3) if x)]
+    got = mixing.Mixture(spark.createDataFrame(rows, "doc_id long, text string, source string")).taken().collect()
+    taken, targets = Counter(), plain_targets({f"s{i:02d}": n for i, n in enumerate(sizes)})
+    for r in got:
+        assert r["taken"] <= 2 * r["size"]
+        taken[f"s{r['doc_id'] // 100:02d}"] += r["taken"]
+    assert all(abs(taken[s] - t) <= max(0.05 * t, 0.5) for s, t in targets.items())
+
+
 def test_permutation(spark):
     for size in (1, 2, 7, 1000):
         got = spark.range(size).select(mixing.permuted(F.col("id"), F.lit(size).cast("long"), [F.lit(3), F.lit(1)]).alias("p")).collect()

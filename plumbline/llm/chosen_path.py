@@ -147,6 +147,34 @@ def token_order(tree: int) -> list[int]:
     return np.random.default_rng(100 + tree).permutation(SKETCH)[:DEPTH].tolist()
 
 
+def worth(one: np.ndarray, two: np.ndarray, component: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows differ in component and have alike sketches."""
+    near = component[one] != component[two]
+    near[near] = (marks[one[near]] == marks[two[near]]).sum(axis=1) >= ALIKE
+    return near
+
+
+def small_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows (node, class_id, component, marks) of one node, at most ``NODE`` of them, that are worth comparing."""
+    held = rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("class_id", "component", "marks"))).alias("held")).select("held")
+    kind = rows.schema["class_id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 4096):
+            lists = batch.column("held")
+            ids, component, marks = lists.flatten().flatten()
+            component = component.dictionary_encode().indices.to_numpy()
+            marks = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, SKETCH)
+            sizes = lists.value_lengths().to_numpy()
+            begins = np.cumsum(sizes) - sizes
+            met = [(begins[sizes == n][:, None, None] + np.stack(np.triu_indices(n, 1))).transpose(1, 0, 2).reshape(2, -1) for n in np.unique(sizes)]
+            one, two = np.concatenate(met, axis=1) if met else np.zeros((2, 0), np.int64)
+            near = worth(one, two, component, marks)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(one[near])), ids.take(pa.array(two[near]))], names=["a", "b"])
+
+    return held.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
 def subtree(members: pd.DataFrame, first: int, last: int, names: list[str]) -> pd.DataFrame:
     """All that ``walk`` finds below one node, in the columns ``names``: pairs (kind 0), stays (1) and rows that are left (2)."""
     members = members.sort_values("class_id", ignore_index=True)
@@ -163,12 +191,13 @@ def subtree(members: pd.DataFrame, first: int, last: int, names: list[str]) -> p
     while waiting:
         rows, depth, node = waiting.pop()
         if len(rows) <= NODE:
-            one, two = np.triu_indices(len(rows), 1)
-            pairs.append((rows[one], rows[two]))
+            one, two = (rows[x] for x in np.triu_indices(len(rows), 1))
+            near = worth(one, two, component, marks)
+            pairs.append((one[near], two[near]))
             continue
         pivot = rows[node % len(rows)]
         alike = (marks[rows] == marks[pivot]).sum(axis=1)
-        star = rows[(alike >= ALIKE) & (rows != pivot)]
+        star = rows[(alike >= ALIKE) & (component[rows] != component[pivot])]
         pairs.append((np.minimum(star, pivot), np.maximum(star, pivot)))
         if alike.min() >= TIGHT or (component[rows] == component[rows[0]]).all():
             continue
@@ -204,6 +233,7 @@ def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame |
     pair by pair.  In a larger one every document is compared with a pivot; unless all
     of them nearly equal it or hang together already, the node branches on with all its documents.
     Below a node of at most ``SUBTREE`` documents this happens in one task; only larger ones take Spark's rounds.
+    Pairs of one component or with sketches that are not alike are dropped where they meet.
     """
     order = [token_order(t) for t in range(TREES)]
     fresh = [c for c in rows.columns if c == "path"]
@@ -213,9 +243,10 @@ def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame |
     small, pairs, stays, rest = [], [], [], []
     for depth in range(first, last + 1):
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(
-            F.xxhash64("class_id", "node").alias("h"), F.col("class_id").alias("id"), F.col("marks").alias("marks"))).alias("p")).where("n > 1")
-        level = settle(rows.join(nodes, "node").select(*own, "n", F.col("p.id").alias("pivot"), F.col("p.marks").alias("marks_b")))
-        small.append(level.where(F.col("n") <= NODE).select("node", "class_id"))
+            F.xxhash64("class_id", "node").alias("h"), F.col("class_id").alias("id"), F.col("marks").alias("marks"), F.col("component").alias("component"))).alias("p")).where("n > 1")
+        level = settle(rows.join(nodes, "node").select(*own, "n", F.col("p.id").alias("pivot"),
+                                                      F.col("p.component").alias("pivot_component"), F.col("p.marks").alias("marks_b")))
+        small.append(level.where(F.col("n") <= NODE).select("node", "class_id", "component", "marks"))
         below = settle(level.where((F.col("n") > NODE) & (F.col("n") <= SUBTREE)).select(*own).groupBy("node").applyInPandas(
             walker(depth, last, list(fields)), ", ".join(f"{c} {t}" for c, t in fields.items())))
         pairs.append(below.where("kind = 0").select("a", "b"))
@@ -226,8 +257,8 @@ def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame |
         rows = level.where(F.col("n") > SUBTREE)
         if rows.isEmpty():
             break
-        large = settle(equal_marks(rows.select(*own, "pivot", F.xxhash64("node", byte).alias("next"), F.col("marks").alias("marks_a"), "marks_b")))
-        pairs.append(large.where((F.col("alike") >= ALIKE) & (F.col("class_id") != F.col("pivot"))).select(
+        large = settle(equal_marks(rows.select(*own, "pivot", "pivot_component", F.xxhash64("node", byte).alias("next"), F.col("marks").alias("marks_a"), "marks_b")))
+        pairs.append(large.where((F.col("alike") >= ALIKE) & (F.col("component") != F.col("pivot_component"))).select(
             F.least("class_id", "pivot").alias("a"), F.greatest("class_id", "pivot").alias("b")))
         loose = large.groupBy("node").agg(F.min("alike").alias("least"), F.min("component").alias("c"), F.max("component").alias("d")).where(
             (F.col("least") < TIGHT) & (F.col("c") != F.col("d"))).select("node")
@@ -236,10 +267,7 @@ def walk(rows: DataFrame, first: int, last: int) -> tuple[DataFrame, DataFrame |
         if depth == last:
             rest.append(rows.select(*own))
     small, pairs, rest = (united(x) for x in (small, pairs, rest))
-    ids = small.groupBy("node").agg(F.sort_array(F.collect_set("class_id")).alias("ids"))  # at most NODE each
-    met = ids.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(
-        F.slice("ids", i + 2, F.greatest(F.size("ids") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
-    return met.select("p.a", "p.b").unionByName(pairs).distinct(), (None if rest.isEmpty() else rest), stays
+    return small_pairs(small).unionByName(pairs).distinct(), (None if rest.isEmpty() else rest), stays
 
 
 def united(parts: list[DataFrame]) -> DataFrame:
@@ -298,11 +326,10 @@ def whole_pairs(rows: DataFrame) -> DataFrame:
 
 
 def tested(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and sketches allow the similarity."""
-    left = reps.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("marks").alias("marks_a"))
-    right = reps.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("marks").alias("marks_b"))
-    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return equal_marks(sized.select("a", "b", "marks_a", "marks_b")).where(F.col("alike") >= ALIKE).select("a", "b")
+    """The pairs, alike in sketch already, whose sizes allow the similarity."""
+    left = reps.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"))
+    right = reps.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"))
+    return pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -360,16 +387,11 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     if rest is not None:
         pairs = pairs.unionByName(whole_pairs(rest)).distinct()
 
-    def across(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(linked.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
     def placed_rows(rows: DataFrame) -> DataFrame:
         return rows.join(linked.select(F.col("id").alias("class_id"), "component"), "class_id", "left").withColumn(
             "component", F.coalesce("component", "class_id"))
 
-    links = links.unionByName(link(across(pairs)))
+    links = links.unionByName(link(pairs))
     linked = settle(components(links))
     stays.append(large.select("class_id", F.lit(FIRST).alias("depth")))
     seen = counted(stays).withColumn("trees", F.lit(TREES).cast("long"))
@@ -379,7 +401,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
         return linked
     paths = fresh_paths(docs, reps.select("class_id", "rep_id", "rep_hash").join(seen.select("class_id", "need"), "class_id"), n, words)
     pairs, _, stays = walk(settle(placed_rows(paths.join(reps.select("class_id", "marks"), "class_id"))), 1, SHALLOW)
-    links = links.unionByName(link(across(pairs)))
+    links = links.unionByName(link(pairs))
     linked = settle(components(links))
     more = counted([*stays, seen.select("class_id", F.lit(0).alias("depth"))])
     counts = [f"stay_{d}" for d in DEPTHS]
@@ -390,7 +412,7 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     if n < 2:
         return linked
     pairs = whole_pairs(placed_rows(large.drop("component").join(bounded(left, n), "class_id", "left_semi")))
-    return components(links.unionByName(link(across(settle(pairs)))))
+    return components(links.unionByName(link(settle(pairs))))
 
 
 def grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -99,6 +99,21 @@ def test_near_duplicates_of_a_template(spark):
     assert sum(got[k] == got[k + 1] for k in range(0, 600, 2)) >= 0.99 * 300
 
 
+@pytest.mark.parametrize("count, small, whole", [(10, 12, 4096), (40, 12, 4096), (40, 12, 20)])
+def test_pairs_meet_only_across_components(spark, monkeypatch, count, small, whole):
+    """Nodes compared pair by pair, in one task and in rounds: no pair of one component, none with other sketches."""
+    monkeypatch.setattr(chosen_path, "NODE", small)
+    monkeypatch.setattr(chosen_path, "SUBTREE", whole)
+    alike, other = bytes(64), bytes([1] * 30 + [0] * 34)
+    rows = [(0, 7, bytes([i]), bytes([0 if i < count - 2 else i]), alike if i < count - 1 else other) for i in range(count)]
+    frame = spark.createDataFrame(rows, "tree int, node long, class_id binary, component binary, marks binary")
+    pairs, rest, _ = chosen_path.walk(frame, 1, 3)
+    found = pairs.collect() + (chosen_path.whole_pairs(rest).collect() if rest is not None else [])
+    found = {tuple(x[0] for x in p) for p in found}
+    lone = count - 2
+    assert found == {(i, lone) for i in range(lone)} if count <= small else found and found <= {(i, lone) for i in range(lone)}
+
+
 def test_near_duplicate_edges(spark):
     rows = chosen_path.near_duplicates(edge_docs(spark)).collect()
     assert len(rows) == edge_docs(spark).count()

@@ -22,10 +22,14 @@ def worker_kept(name: object, make: Callable[[], object]) -> object:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in small pieces, so a worker turns few texts at a time into Python objects."""
+    """Arrow batches in small pieces, so a worker turns few texts at a time into Python objects.
+
+    After each batch the worker gives back what Arrow has freed: an executor's memory holds several workers.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

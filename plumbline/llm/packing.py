@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.sizing import local_frame, settle
+from plumbline.functions.sizing import local_frame, settle, small_batches
 from plumbline.llm.common import numbered, slices, worker_kept
 
 MEMO_WORDS = 400_000  # words whose ids one worker keeps at a time
@@ -188,4 +188,6 @@ def harmonic_pack(pieces: DataFrame, capacity: int = 2048, buckets: int = 1024)
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
     """Tokenise, cut and pack whole documents.  Repeated rows are packed as often as they occur; extra columns are ignored."""
-    return harmonic_pack(settle(tokenised_pieces(docs, tokenizer_path, capacity=capacity)), capacity)
+    with small_batches(docs.sparkSession):
+        pieces = settle(tokenised_pieces(docs, tokenizer_path, capacity=capacity))
+    return harmonic_pack(pieces, capacity)

@@ -50,6 +50,16 @@ def test_packing_round_trip(spark):
     assert check_packing(rows, texts) > 0.97
 
 
+def test_packing_hands_over_few_texts_at_a_time(spark, monkeypatch):
+    """Texts reach Python in bounded batches while they are tokenised; the session's own setting comes back."""
+    name, seen, settle = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.settle
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "settle", lambda df: (seen.append(int(spark.conf.get(name))), settle(df))[1])
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(5000)], "doc_id long, text string").repartition(1)
+    assert packing.pack_documents(docs, word_tokenizer()).count() >= 5000
+    assert 0 < seen[0] <= 2000 and spark.conf.get(name) == before
+
+
 def test_packing_edges(spark):
     docs = edge_docs(spark)
     rows = packing.pack_documents(docs, word_tokenizer()).collect()

@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.sizing import settle
+from plumbline.functions.sizing import settle, small_batches
 from plumbline.llm.common import bounded, components, slices
 
 TREES = 10  # of the first round; documents that need more for TARGET get fresh ones
@@ -20,12 +20,14 @@ FRESH = 96  # most fresh trees of a document; those below TARGET after them are
 SHALLOW = 8  # tokens a fresh tree may branch by
 TILE = 256  # documents of a node, about, that are compared whole with as many others in one step
 SKETCH = 64  # minwise tokens of a document
+WIDE = 512  # of one that is compared whole with others of its kind
 SUBTREE = 4096  # documents a node may hold to be walked to its end in one task
 NODE = 12  # documents a node may hold to be compared pair by pair
 FIRST = 3  # minwise tokens before the pairs found so far are verified
 DEPTH = 16  # minwise tokens a tree may branch by
 DEPTHS = range(FIRST, SHALLOW + 1)  # at which a document's trees are counted
 ALIKE = 38  # equal sketch bytes below which a pair is not verified: 4 deviations under 0.8
+WIDE_ALIKE = 373  # the same of ``WIDE`` bytes
 TIGHT = 58  # equal sketch bytes with the pivot from which on a member needs no further node of its tree
 MEMO_WORDS = 150_000  # word hashes one worker keeps at a time
 
@@ -293,8 +295,24 @@ def counted(stays: list[DataFrame]) -> DataFrame:
     return united(stays).groupBy("class_id").agg(*[F.count_if(F.col("depth") == d).alias(f"stay_{d}") for d in DEPTHS])
 
 
-def whole_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of rows (node, class_id, component, marks) of a node that differ in component and may be alike.
+def wide_marks(docs: DataFrame, wanted: DataFrame, rows: int, words: int) -> DataFrame:
+    """(class_id, marks): bytes of ``WIDE`` minwise tokens of each of these classes."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in slices(batches):
+            ids, marks = [], []
+            for own, text in zip(batch.column("class_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = shingle_set(text, words, memo)
+                if digest_of(found) == own:  # not another text with the hash
+                    ids.append(own)
+                    marks.append(((minwise(found, WIDE, 23) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(56)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(marks, pa.binary())], names=["class_id", "marks"])
+
+    return texts_of(docs, wanted, rows).select("class_id", "text").mapInArrow(sketch, "class_id binary, marks binary").dropDuplicates(["class_id"])
+
+
+def whole_pairs(rows: DataFrame, least: int = ALIKE) -> DataFrame:
+    """All pairs of rows (node, class_id, component, marks) of a node that differ in component and have ``least`` equal bytes of marks.
 
     Nodes are cut into tiles by hash; two tiles meet in one row, and only pairs with alike sketches leave it.
     """
@@ -312,10 +330,10 @@ def whole_pairs(rows: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             one, two = batch.column("left").to_pylist()[0], batch.column("right").to_pylist()[0]
-            marks = np.frombuffer(b"".join(r["marks"] for r in two), np.uint8).reshape(-1, SKETCH)
+            marks = np.frombuffer(b"".join(r["marks"] for r in two), np.uint8).reshape(len(two), -1)
             firsts, seconds = [], []
             for r in one:
-                for i in np.flatnonzero((marks == np.frombuffer(r["marks"], np.uint8)).sum(axis=1) >= ALIKE).tolist():
+                for i in np.flatnonzero((marks == np.frombuffer(r["marks"], np.uint8)).sum(axis=1) >= least).tolist():
                     if two[i]["component"] != r["component"]:
                         firsts.append(min(r["class_id"], two[i]["class_id"]))
                         seconds.append(max(r["class_id"], two[i]["class_id"]))
@@ -411,7 +429,8 @@ def linked_classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -
     n = left.count()
     if n < 2:
         return linked
-    pairs = whole_pairs(placed_rows(large.drop("component").join(bounded(left, n), "class_id", "left_semi")))
+    wide = wide_marks(docs, reps.select("class_id", "rep_id", "rep_hash").join(bounded(left, n), "class_id", "left_semi"), n, words)
+    pairs = whole_pairs(placed_rows(large.drop("component", "marks").join(settle(wide), "class_id")), WIDE_ALIKE)
     return components(links.unionByName(link(settle(pairs))))
 
 
@@ -421,7 +440,8 @@ def grouped(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     Classes are keyed by the digest of their set, so neither a null id nor one with several texts mixes
     them.  ``first`` is the group's row of smallest id (rows without an id come last) and text hash.
     """
-    table = settle(sketches(docs, words))
+    with small_batches(docs.sparkSession):
+        table = settle(sketches(docs, words))
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     classes = settle(table.where(F.col("digest").isNotNull()).groupBy(F.col("digest").alias("class_id")).agg(
         smallest.alias("first"), F.count("*").alias("copies")))
